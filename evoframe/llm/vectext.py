@@ -49,14 +49,14 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Zero-copy row ranges of a batch of about ``limit`` text bytes, one row at least."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Zero-copy row ranges of a batch of about ``limit`` text bytes, of 1 to ``rows`` rows."""
     if not batch.num_rows:
         return
     _, at = utf8(batch.column(text))
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
+        end = max(start + 1, min(start + rows, int(np.searchsorted(at, at[start] + limit, "right")) - 1))
         yield batch.slice(start, end - start)
         start = end
 
