@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evoframe.llm import exact_dedup, near_dedup, packing
+from evoframe.llm import bpe, exact_dedup, near_dedup, packing, token_counts
 from evoframe.llm.common import read
 
+_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -41,3 +43,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(read(spark, sf_dir, "documents"), _RANKS, public_tokenizers.PATTERN)
+
+
+@_query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), _RANKS, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, _RANKS))
