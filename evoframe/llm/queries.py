@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evoframe.llm import bpe, exact_dedup, near_dedup, packing, token_counts
+from evoframe.llm import bpe, exact_dedup, near_dedup, packing, token_counts, toxicity
 from evoframe.llm.common import read
 
 _RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +50,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(read(spark, sf_dir, "documents"), _RANKS, public_tokenizers.PATTERN)
 
 
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, read(spark, sf_dir, "labels")))
+
+
 @_query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(read(spark, sf_dir, "documents"), _RANKS, public_tokenizers.PATTERN)
