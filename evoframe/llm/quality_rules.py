@@ -138,24 +138,28 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[list[int]]]:
-    """Counts of good and bad rows by feature and bin; bin k holds values above k of the cuts."""
+def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[list[float]]]:
+    """Good rows, bad rows, least and largest value by feature and bin; bin k holds values above k of the cuts."""
+
     def bin_of(at: list[float], value: Column) -> Column:
         return F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c < value))
 
     value = features()
-    binned = [F.struct(F.lit(name).alias("feature"), bin_of(at, value[name]).alias("bin")) for name, at in cuts.items() if at]
+    binned = [F.struct(F.lit(name).alias("feature"), bin_of(at, value[name]).alias("bin"), value[name].alias("value")) for name, at in cuts.items() if at]
     if not binned:
         return {}
-    counts = rows.select("bad", F.explode(F.array(*binned)).alias("b")).groupBy("b.feature", "b.bin").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
-    out = {name: [[0, 0] for _ in range(len(at) + 1)] for name, at in cuts.items()}
+    counts = rows.select("bad", F.explode(F.array(*binned)).alias("b")).groupBy("b.feature", "b.bin").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.min("b.value").alias("low"), F.max("b.value").alias("high"))
+    out = {name: [[0, 0, math.inf, -math.inf] for _ in range(len(at) + 1)] for name, at in cuts.items()}
     for r in counts.collect():  # features times cuts, whatever the data
-        out[r.feature][r.bin] = [r.n - r.bad, r.bad]
+        out[r.feature][r.bin] = [r.n - r.bad, r.bad, r.low, r.high]
     return out
 
 
-def _best_term(hist: dict[str, list[list[int]]], cuts: dict[str, list[float]]) -> tuple[Term, int, int] | None:
-    """The term of the largest FOIL gain over the rows of a histogram, with the good and bad rows it keeps."""
+def _best_term(hist: dict[str, list[list[float]]]) -> tuple[Term, int, int] | None:
+    """The term of the largest FOIL gain over the rows of a histogram, with the good and bad rows it keeps.
+
+    Its threshold lies halfway between the values on either side of the cut.
+    """
     best, found = 1e-9, None
     for name, bins in hist.items():
         good, bad = sum(b[0] for b in bins), sum(b[1] for b in bins)
@@ -163,12 +167,15 @@ def _best_term(hist: dict[str, list[list[int]]], cuts: dict[str, list[float]]) -
             continue
         base = math.log2(bad / (good + bad))
         g = b = 0
-        for k, at in enumerate(cuts[name]):
+        for k in range(len(bins) - 1):
             g, b = g + bins[k][0], b + bins[k][1]
-            for above, (p, n) in ((False, (b, g)), (True, (bad - b, good - g))):
+            low, high = max(x[3] for x in bins[: k + 1]), min(x[2] for x in bins[k + 1 :])
+            if not math.isfinite(low) or not math.isfinite(high):
+                continue
+            for above, p, n in ((False, b, g), (True, bad - b, good - g)):
                 gain = p * (math.log2(p / (p + n)) - base) if p else 0
                 if gain > best:
-                    best, found = gain, (Term(name, above, at), n, p)
+                    best, found = gain, (Term(name, above, (low + high) / 2), n, p)
     return found
 
 
@@ -201,7 +208,7 @@ def learn(statistics: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
         terms: list[Term] = []
         covered = grow
         while len(terms) < max_terms:
-            found = _best_term(_histogram(covered, cuts), cuts)
+            found = _best_term(_histogram(covered, cuts))
             if found is None:
                 break
             terms.append(found[0])
