@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evoframe.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, token_counts, toxicity
+from evoframe.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_rules, token_counts, toxicity
 from evoframe.llm.common import read
 
 _RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +61,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@_query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(read(spark, sf_dir, "documents")))
+
+
 @_query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(read(spark, sf_dir, "documents"), _RANKS, public_tokenizers.PATTERN)
