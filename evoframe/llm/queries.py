@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evoframe.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_rules, token_counts, toxicity
+from evoframe.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, toxicity
 from evoframe.llm.common import read
 
 _RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +50,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(read(spark, sf_dir, "documents"), _RANKS, public_tokenizers.PATTERN)
 
 
+@_query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_spans(read(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
