@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evoframe.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, toxicity
+from evoframe.llm import bpe, exact_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, toxicity
 from evoframe.llm.common import read
 
 _RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,6 +40,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all."""
+    documents = read(spark, sf_dir, "documents")
+    target = read(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.score(documents, lm_scoring.fit(documents, target))
+
+
 @_query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read(spark, sf_dir, "documents"), words=4, percent=80)
