@@ -11,8 +11,9 @@ does not follow the number of documents either.
 
 from __future__ import annotations
 
-import os
+import json
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -30,7 +31,8 @@ CAPACITY = 4096
 GROUPS = 16
 #: Lengths above this part of the capacity are grouped and configured; others are placed by best fit.
 LARGE_PART = 1 / 6
-CACHE_WORDS = 400_000
+#: Distinct words a worker remembers; about 250 bytes each.
+CACHE_WORDS = 800_000
 
 
 # ---------------------------------------------------------------- the plan
@@ -201,35 +203,65 @@ _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
 class WordTokens:
-    """Ids of a tokenizer whose tokens never cross white space, as bytes, word by word.
+    """Ids of a lower-casing byte-level BPE with an end-of-word suffix, as bytes, word by word.
 
-    Each distinct chunk between ASCII white space is encoded once and remembered, up
-    to ``cache`` chunks; the whole text's ids are the chunks' ids joined.
+    No token crosses white space, so each distinct lower-case chunk between white space
+    is encoded once and remembered, up to ``cache`` chunks, and a text's ids are its
+    chunks' ids joined. A chunk's pieces are merged by the tiktoken library: the suffix
+    becomes the byte 0xFF, which UTF-8 never uses, and its pairs rank first.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        import regex
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        model, suffix = held["model"], held["model"]["end_of_word_suffix"]
+        split = held["pre_tokenizer"]["pretokenizers"][0]
+        if model["type"] != "BPE" or not suffix or not split["invert"]:
+            raise ValueError(f"{path} is not a BPE with an end-of-word suffix over matched pieces")
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): bytes([b]) for b in own}
+        byte |= {chr(256 + k): bytes([b]) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+        def raw(token: str) -> bytes:
+            end = token.endswith(suffix)
+            return b"".join(byte[c] for c in (token[: -len(suffix)] if end else token)) + b"\xff" * end
+
+        tokens = [bytes([b]) for b in range(256)] + [bytes([b, 255]) for b in range(256)]
+        tokens += [raw("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        number = {raw(token): i for token, i in model["vocab"].items()}
+        ranks = {token: i for i, token in reversed(list(enumerate(tokens)))}
+        self.number = np.array([number.get(token, 0) for token in tokens], "<u4")
+        self.single = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)._core_bpe.encode_single_piece
+        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
         self.cache = cache
 
+    def piece(self, piece: str) -> bytes:
+        if len(self.known_pieces) >= self.cache:
+            self.known_pieces.clear()
+        ids = self.known_pieces[piece] = self.number[self.single(piece.encode() + b"\xff")].tobytes()
+        return ids
+
     def __call__(self, text: str) -> bytes:
-        words = (_WORD.findall(text) if any(c in text for c in _NOT_SPACE) else text.split())
-        known = self.known
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # lower() would make a final sigma
+        text = text.lower()
+        words = _WORD.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
+        known, pieces = self.known, self.known_pieces
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        new = list({w for w in words if w not in known})
+        new = {w for w in words if w not in known}
         if len(known) + len(new) > self.cache:
             known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+            new = set(words)
+        for word in new:
+            known[word] = b"".join([pieces.get(p) or self.piece(p) for p in self.pieces(word)])
         return b"".join([known[w] for w in words])
 
 
@@ -240,7 +272,6 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordTokens(path))
         for batch in batches:
             for part in vectext.slices(batch, "text"):
