@@ -1,7 +1,68 @@
-"""A training-data pipeline in five stages."""
-STAGES = []
+"""A training-data pipeline: toxicity, exact copies, near copies, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and
+all but the last return the columns of ``docs``. Rows keep their doc_id; a null text
+counts as empty and stays null until masking; tables without rows pass through empty.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evoframe.llm import exact_dedup, near_dedup, packing, pii, toxicity
+from evoframe.llm.common import ascii_lower, read
+from evoframe.session import use_checkpoint_dir
+
+#: No SQL expresses the learned stages; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels of these documents, rejects go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    kept = exact_dedup.group_copies(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256) == F.col("kept_sha"))
+    return docs.join(kept, same, "left_semi")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id stays."""
+    kept = near_dedup.near_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span found is replaced by its kind; n_chars, where there is one, follows the text."""
+    return pii.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document with its sequence and place."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    folder = f"{use_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

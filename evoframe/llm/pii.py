@@ -220,6 +220,27 @@ def train(rows: list[tuple[tuple[int, ...], float, float]], rounds: int = 400, l
     return weights
 
 
+def all_spans(text: Column, weights: list[float] | None, base: Column | None = None) -> Column:
+    """Base spans and the candidates the classifier accepts, by start, then kind; without weights the base only."""
+    base = base_spans(text) if base is None else base
+    if weights is None:
+        return base
+    order = F.create_map(*[x for kind in ADDED_KINDS for x in (F.lit(kind), F.lit(KINDS.index(kind)))])
+
+    def joined(held: Column) -> Column:
+        def accepted(c: Column) -> Column:
+            score = F.lit(weights[-1])
+            for value, w in zip(span_features(c), weights):
+                score = score + value * F.lit(w)
+            clear = ~F.exists(held, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            return clear & (score >= math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY)))
+
+        added = F.transform(F.filter(_candidates(text), accepted), lambda c: F.struct(c["start"].alias("start"), order[c["kind"]].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind")))
+        return F.array_sort(F.concat(held, added.cast(_SPANS)))
+
+    return bind(base, joined)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text, base (the base spans) and spans (base and added), one row per document.
 
@@ -229,21 +250,8 @@ def find(docs: DataFrame) -> DataFrame:
     """
     rows = id_text(docs)
     weights = _classifier(rows)
-    text = F.col("text")
-    rows = rows.withColumn("base", base_spans(text))
-    if weights is None:
-        return rows.withColumn("spans", F.col("base"))
-
-    def accepted(c: Column) -> Column:
-        score = F.lit(weights[-1])
-        for value, w in zip(span_features(c), weights):
-            score = score + value * F.lit(w)
-        clear = ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return clear & (score >= math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY)))
-
-    order = F.create_map(*[x for kind in ADDED_KINDS for x in (F.lit(kind), F.lit(KINDS.index(kind)))])
-    added = F.transform(F.filter(_candidates(text), accepted), lambda c: F.struct(c["start"].alias("start"), order[c["kind"]].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", added.cast(_SPANS))))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    return rows.withColumn("spans", all_spans(F.col("text"), weights, F.col("base")))
 
 
 def _classifier(rows: DataFrame) -> list[float] | None:
@@ -285,3 +293,12 @@ def masked(text: Column, spans: Column) -> Column:
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data masked in text, null texts still null; n_chars, if there is one, is the new length."""
+    weights = _classifier(id_text(docs))
+    text = F.coalesce(docs["text"], F.lit(""))
+    clean = bind(text, lambda t: bind(all_spans(t, weights), lambda s: masked(t, s)))
+    out = docs.withColumn("text", F.when(docs["text"].isNotNull(), clean))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -179,3 +179,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     rows = id_text(docs).withColumn("held_out", held_out(F.col("doc_id")))
     return rows.mapInArrow(_scored(model), SCHEMA)
+
+
+def _passed(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in vectext.slices(batch, "text"):
+                clean = model.score(*vectext.utf8(part.column("text"))) < 0.5
+                if clean.any():
+                    yield part.filter(pa.array(clean))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score() does not predict toxic."""
+    return docs.mapInArrow(_passed(model), docs.schema)
