@@ -11,14 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a block of the distance search; two blocks and their distances are one task's state.
 BLOCK_ROWS = 1024
 #: Distances and scores are rounded before they are compared, as summation order is not fixed.
 PLACES = 6
 
-_KNN = "sample_id int, id long, nid long, npos long, dist double"
-
 
 def nearest_join(traj: DataFrame, k: int) -> DataFrame:
     """k nearest other rows of each row's population by a self-join; right for small populations."""
@@ -69,7 +68,9 @@ def nearest(traj: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asking = dealt.select(F.col("sample_id").alias("s"), F.col("own").alias("a"), every.alias("b"), F.col("id").alias("qid"), F.col("embedding").alias("q"))
     asked = dealt.select("sample_id", every.alias("a"), F.col("own").alias("b"), "id", "pos", "embedding")
-    found = asking.groupBy("s", "a", "b").cogroup(asked.groupBy("sample_id", "a", "b")).applyInPandas(_block_search(k), _KNN)
+    of = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType().add("sample_id", of["sample_id"]).add("id", of["id"]).add("nid", of["id"]).add("npos", of["pos"]).add("dist", "double")
+    found = asking.groupBy("s", "a", "b").cogroup(asked.groupBy("sample_id", "a", "b")).applyInPandas(_block_search(k), schema)
     return _k_smallest(found, k)
 
 
