@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+PART_ROWS = 200_000
 
 
 def local_session(cpus: int = 8, name: str = "evoframe", **conf: str) -> SparkSession:
@@ -40,10 +41,15 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a plan once in the shared folder and cut its lineage there."""
+def parts_for(rows: int) -> int:
+    """Partitions for a table of narrow rows: enough to bound a task, few enough not to scatter small tables over files."""
+    return max(1, -(-rows // PART_ROWS))
+
+
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Materialise a plan once in the shared folder, in ``parts`` partitions at most, and cut its lineage there."""
     use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
