@@ -11,7 +11,6 @@ whatever its count, so no key grows with the corpus' word frequencies.
 from __future__ import annotations
 
 import base64
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,12 +23,13 @@ from pyspark.sql import functions as F
 from evoframe.llm import vectext
 from evoframe.llm.common import id_text
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 BUCKETS = (16, 4096)
 #: Distinct words a bucket task remembers; beyond, it starts anew and may encode a word again.
 KNOWN_WORDS = 2_000_000
 
 _SEQUENCE, _WORDS, _IDS = 0, 1, 2
+_NO_ID = -(1 << 63)
 _MOVED = "kind int, dest long, block long, bucket int, payload binary"
 
 
@@ -51,21 +51,31 @@ def encoding(path: str, pattern: str):
     return _LOADED[path, pattern]
 
 
-def _pack(arrays: list[np.ndarray | bytes]) -> bytes:
-    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    return zlib.compress(np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts), 1)
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays as one compressed payload; integers go byte by byte of like weight, which compresses best."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    raw = np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(payload: bytes, *kinds: str | None) -> list:
-    raw = zlib.decompress(payload)
-    sizes = np.frombuffer(raw, "<i8", len(kinds))
+    raw = pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
     out, at = [], 8 * len(kinds)
-    for size, kind in zip(sizes, kinds):
-        out.append(raw[at : at + size] if kind is None else np.frombuffer(raw[at : at + size], kind))
+    for size, kind in zip(np.frombuffer(raw, "<i8", len(kinds)).tolist(), kinds):
+        part = raw[at : at + size]
+        if kind is not None:
+            width = np.dtype(kind).itemsize
+            part = np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+        out.append(part)
         at += size
     return out
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """Values as 16-bit where they all fit, else as 32-bit."""
+    return values.astype("<u2" if not len(values) or values.max() < 1 << 16 else "<u4")
+
+
 def _moved(kind: int, dest: list[int], block: int | list[int], bucket: list[int], payload: list[bytes]) -> pa.RecordBatch:
     n = len(dest)
     blocks = [block] * n if isinstance(block, int) else block
@@ -94,20 +104,29 @@ def _explode(pattern: str, buckets: int, block_bytes: int):
         held = 0
 
         def flush():
-            words = [w.encode() for w in numbers]
-            of = _bucket(words, buckets) if words else np.zeros(0, np.int64)
+            flat = np.concatenate(sequences)
+            counts = np.bincount(flat, minlength=len(numbers))
+            by_count = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(numbers), "<u4")
+            rank[by_count] = np.arange(len(numbers))
+            flat = rank[flat]
+            often = np.minimum(flat, 255).astype(np.uint8)
+            docs_ = np.array([_NO_ID if d is None else d for d in docs], "<i8")
+            yield _moved(_SEQUENCE, [block], block, [-1], [_pack(docs_, np.array([len(s) for s in sequences], "<u4"), often, flat[often == 255] - np.uint32(255))])
+            if not numbers:
+                return
+            spelled = list(numbers)
+            words = [spelled[i].encode() for i in by_count.tolist()]
+            of = _bucket(words, buckets)
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(buckets + 1))
-            payload = [_pack([np.array(docs, "<i8"), np.array([len(s) for s in sequences], "<i8"), np.concatenate(sequences) if sequences else np.zeros(0, "<u4")])]
-            yield _moved(_SEQUENCE, [block], block, [-1], payload)
             used, payload = [], []
             for b in np.flatnonzero(np.diff(ends)).tolist():
                 mine = order[ends[b] : ends[b + 1]]
                 chosen = [words[i] for i in mine.tolist()]
                 used.append(b)
-                payload.append(_pack([mine.astype("<u4"), np.array([len(w) for w in chosen], "<u4"), b"".join(chosen)]))
-            if used:
-                yield _moved(_WORDS, used, block, used, payload)
+                payload.append(_pack(np.diff(mine, prepend=0).astype("<u4"), np.array([len(w) for w in chosen], "<u4"), b"".join(chosen)))
+            yield _moved(_WORDS, used, block, used, payload)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -120,8 +139,12 @@ def _explode(pattern: str, buckets: int, block_bytes: int):
                     numbers.clear()
                     docs, sequences, held = [], [], 0
                     block += 1
+                    vectext.release_memory()
         if docs:
             yield from flush()
+        numbers.clear()
+        docs, sequences = [], []
+        vectext.release_memory()
 
     return run
 
@@ -137,7 +160,7 @@ def _encode_words(path: str, pattern: str, known_words: int):
                 yield passed
             for row in np.flatnonzero(kind == _WORDS).tolist():
                 block, bucket = batch.column("block")[row].as_py(), batch.column("bucket")[row].as_py()
-                number, sizes, raw = _unpack(batch.column("payload")[row].as_py(), "<u4", "<u4", None)
+                steps, sizes, raw = _unpack(batch.column("payload")[row].as_py(), "<u4", "<u4", None)
                 ends = np.cumsum(sizes).tolist()
                 out, at = [], 0
                 for end in ends:
@@ -149,8 +172,11 @@ def _encode_words(path: str, pattern: str, known_words: int):
                         ids = known[word] = np.array(single(word), "<u4").tobytes()
                     out.append(ids)
                     at = end
-                payload = _pack([number, np.array([len(x) >> 2 for x in out], "<u4"), b"".join(out)])
+                flat = _small(np.frombuffer(b"".join(out), "<u4"))
+                payload = _pack(steps, np.array([len(x) >> 2 for x in out], "<u4"), bytes([flat.itemsize]), flat)
                 yield _moved(_IDS, [block], block, [bucket], [payload])
+        known.clear()
+        vectext.release_memory()
 
     return run
 
@@ -162,13 +188,20 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _unpack_ids(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = _unpack(payload, "<u4", "<u4", None, None)
+    kind = f"<u{raw[2][0]}"
+    ids = np.ascontiguousarray(np.frombuffer(raw[3], np.uint8).reshape(raw[2][0], -1).T).reshape(-1).view(kind)
+    return raw[0], raw[1], ids.astype("<u4")
+
+
 def _reassemble(table: pa.Table) -> pa.Table:
     kind = table.column("kind").to_numpy()
     payload = table.column("payload")
     numbers, sizes, flat = [], [], []
     for row in np.flatnonzero(kind == _IDS).tolist():
-        number, size, ids = _unpack(payload[row].as_py(), "<u4", "<u4", "<u4")
-        numbers.append(number)
+        steps, size, ids = _unpack_ids(payload[row].as_py())
+        numbers.append(np.cumsum(steps, dtype=np.int64))
         sizes.append(size)
         flat.append(ids)
     flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
@@ -180,8 +213,10 @@ def _reassemble(table: pa.Table) -> pa.Table:
         start[number] = np.cumsum(found) - found
     docs, ids = [], []
     for row in np.flatnonzero(kind == _SEQUENCE).tolist():
-        doc, lengths, sequence = _unpack(payload[row].as_py(), "<i8", "<i8", "<u4")
-        docs.extend(doc.tolist())
+        doc, lengths, often, rest = _unpack(payload[row].as_py(), "<i8", "<u4", "u1", "<u4")
+        docs.extend(None if d == _NO_ID else d for d in doc.tolist())
+        sequence = often.astype(np.int64)
+        sequence[often == 255] += rest
         at = 0
         for length in lengths.tolist():
             words = sequence[at : at + length]
@@ -216,12 +251,15 @@ def _decode(path: str, column: str):
             size = np.array([len(t) for t in tokens], np.int64)
             _LOADED[path, "bytes"] = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
         flat, start, size = _LOADED[path, "bytes"]
-        for batch in batches:
-            out = []
-            for ids in batch.column(column):
-                ids = np.frombuffer(ids.as_py() or b"", "<u4")
-                out.append(flat[_gather(start[ids], size[ids])].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):  # small outputs keep a task's memory low
+                batch = whole.slice(low, 512)
+                out = []
+                for ids in batch.column(column):
+                    ids = np.frombuffer(ids.as_py() or b"", "<u4")
+                    out.append(flat[_gather(start[ids], size[ids])].tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            vectext.release_memory()
 
     return run
 
