@@ -106,6 +106,19 @@ def general_chemistry(prediction: Column, truth: Column) -> Column:
     return _result(exact, share)
 
 
+def molecule_edit(prediction: Column, truth: Column, strict: bool = False) -> Column:
+    """struct<valid,exact_match,accuracy,similarity>: the defined text forms of the checks without a molecule library.
+
+    A structure is valid if it isn't empty; it is right if it equals the truth, in strict
+    mode as written and else after trimming; similarity cannot be known and is 0.
+    """
+    said, true = strip(prediction), strip(truth)
+    equal = (prediction == truth) if strict else (said == true)
+    valid = F.coalesce(said != "", F.lit(False))
+    exact = valid & F.coalesce(equal, F.lit(False))
+    return F.struct(valid.alias("valid"), exact.alias("exact_match"), F.when(exact, 1.0).otherwise(0.0).alias("accuracy"), F.lit(0.0).alias("similarity"))
+
+
 def longest_structure(text: Column) -> Column:
     """The longest line-notation structure in a text, the first of equals; null without any."""
     forms = [r"([CNOcnoFfPSpsBbBr?Ii][A-Za-z0-9@+\-\[\]\(\)\\=#$]+)", r"([CNOcno].{0,100})"]

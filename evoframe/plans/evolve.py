@@ -36,6 +36,7 @@ class EvolutionConfig:
     epsilon: float = 0.1
     threshold: float = 1.8
     length_bounds: tuple[int, int] = (1000, 4000)
+    weight_length: float = 0.3
     modes: tuple[tuple[str, float], ...] = MODES
     seed: int = 42
 
@@ -67,7 +68,7 @@ def _parsed(rows: DataFrame, method: str | None = None) -> DataFrame:
 
 def initial_pool(samples: DataFrame, config: EvolutionConfig, generate: Generate, model: str = "offline") -> DataFrame:
     """``population`` draws a sample: plain ones first, then ones whose prompt holds the sample's knowledge."""
-    slots = samples.select(F.col("id").alias("sample_id"), "query", "answer", "knowledge").withColumnRenamed("answer", "truth").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.population - 1).cast("long"))))
+    slots = samples.select(F.col("id").alias("sample_id"), F.coalesce("query", F.lit("")).alias("query"), F.col("answer").alias("truth"), "knowledge").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.population - 1).cast("long"))))
     informed = (F.col("pos") >= config.vanilla) & F.col("knowledge").isNotNull()
     ask = F.concat(F.lit("Question:\n"), "query", F.when(informed, F.concat(F.lit("\nKnowledge:\n"), "knowledge")).otherwise(""), F.lit("\nDraw "), F.col("pos").cast("string"))
     rows = slots.withColumn("prompt", ask).withColumn("source_model", F.lit(model)).withColumn("generation_method", F.when(informed, "knowledge_augmented").otherwise("vanilla"))
@@ -80,7 +81,7 @@ def evaluated(traj: DataFrame, config: EvolutionConfig) -> DataFrame:
     new = F.col("fitness").isNull()
     rows = traj.withColumn("exact_match", F.when(new, exact_match("answer", "truth")).otherwise(F.col("exact_match")))
     rows = rows.withColumn("length_score", F.when(new, length_score("reasoning", *config.length_bounds)).otherwise(F.col("length_score")))
-    return rows.withColumn("fitness", F.when(new, F.round(fitness("exact_match", "length_score", F.lit(None).cast("double")), 6)).otherwise(F.col("fitness")))
+    return rows.withColumn("fitness", F.when(new, F.round(fitness("exact_match", "length_score", F.lit(None).cast("double"), config.weight_length), 6)).otherwise(F.col("fitness")))
 
 
 def offspring(scored: DataFrame, config: EvolutionConfig, generate: Generate, generation: int) -> DataFrame:

@@ -123,6 +123,26 @@ def _(spark, d):
     return m.select("doc_id", "m.exact_match", F.round("m.accuracy", 6).alias("accuracy"))
 
 
+@query("molecule_edit", "SELECT doc_id, doc_id % 3 <> 0 AS valid, doc_id % 3 = 1 AS exact_match, CASE WHEN doc_id % 3 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM documents")
+def _(spark, d):
+    said = F.expr("CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN concat(source, ' ') ELSE 'C=C' END")
+    return _docs(spark, d).select("doc_id", E.molecule_edit(said, F.col("source")).alias("m")).select("doc_id", "m.valid", "m.exact_match", "m.accuracy")
+
+
+_STRUCTURE = "CASE WHEN doc_id % 2 = 0 THEN concat('is CC(=O)O', doc_id, ' or CCO') ELSE 'xyz' END"
+
+
+@query("extract_structure", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('CC(=O)O', doc_id) END AS structure FROM documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", E.longest_structure(F.expr(_STRUCTURE)).alias("structure"))
+
+
+@query("confidence", "SELECT doc_id, concat('yes ', source) AS answer, (doc_id % 100)::DOUBLE / 100 AS confidence FROM documents")
+def _(spark, d):
+    said = F.concat(F.lit("yes "), "source", F.when(F.col("doc_id") % 2 == 0, " & ").otherwise(" "), (F.col("doc_id") % 100).cast("string"))
+    return _docs(spark, d).select("doc_id", E.confidence(said).alias("m")).select("doc_id", "m.answer", "m.confidence")
+
+
 @query("cache_split", "WITH c AS (SELECT DISTINCT sha256(concat(source, ':', text)) AS key FROM documents WHERE length(text) > 1500) SELECT doc_id, c.key IS NOT NULL AS hit FROM documents d LEFT JOIN c ON c.key = sha256(concat(d.source, ':', d.text))")
 def _(spark, d):
     return _cached(spark, d).select("doc_id", "hit")

@@ -98,3 +98,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     save_population(rows, str(tmp_path / "pop"), 1)
     assert load_population(spark, str(tmp_path / "pop"), 1).count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from evoframe.cli import main
+
+    (tmp_path / "d.json").write_text(json.dumps(SAMPLES))
+    (tmp_path / "catalog.json").write_text(json.dumps({"d": {"train_path": str(tmp_path / "d.json")}}))
+    (tmp_path / "config.json").write_text(json.dumps({"evolution": {"generations": 1, "population": 2}}))
+    common = ["--catalog", str(tmp_path / "catalog.json"), "--output-dir", str(tmp_path / "out"), "--config", str(tmp_path / "config.json")]
+    assert main(["--dataset", "d", *common], spark) == 0
+    assert json.loads(capsys.readouterr().out)["successful"] == 4
+    assert spark.read.json(str(tmp_path / "out/d/results")).count() == 4
+    assert main(["--dataset", "none", *common], spark) == 1
