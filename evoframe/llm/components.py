@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.session import cut
+from evoframe.session import cut, parts_for
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -21,17 +21,18 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     a minimum per node, which combines before its shuffle, and an equi-join that
     adaptive execution can split at a hot node. No edges give no rows.
     """
-    links = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
-    links = cut(links)
+    parts = parts_for(edges.count())  # no step makes more links than twice what it reads
+    links = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").coalesce(parts).distinct()
+    links = cut(links, parts)
     before = _fingerprint(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.coalesce(parts).distinct(), parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        links = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct(), parts)
         after = _fingerprint(links)
         if after == before:
             break

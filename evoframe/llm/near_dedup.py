@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from evoframe.llm import vectext
 from evoframe.llm.common import id_text
 from evoframe.llm.components import connected
-from evoframe.session import cut, small_side
+from evoframe.session import cut, parts_for, small_side
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
@@ -226,8 +226,9 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMI
     spokes = banded.join(stars.select("bucket", "c"), "bucket").where("rep <> c.rep")
     fits = (F.least("n_shingles", "c.n_shingles") * 100 >= F.greatest("n_shingles", "c.n_shingles") * percent)
     candidates = cut(spokes.select(F.col("c.rep").alias("u"), F.col("rep").alias("v"), fits.alias("fits")).distinct())
-    nodes = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    nodes = cut(nodes)
+    parts = parts_for(candidates.count())
+    candidates = candidates.coalesce(parts)
+    nodes = cut(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct(), parts)
     wanted = small_side(nodes)
     sets = texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi")
     sets = cut(sets.mapInArrow(_sets(words), "node long, elements binary"))
@@ -235,28 +236,28 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMI
     ready = ready.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("set_v")), "v")
     ready = ready.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("set_u")), "u")
     links = cut(ready.mapInArrow(_confirm(percent), "u long, v long, linked boolean").where("linked").select("u", "v"))
-    roots = cut(connected(links))
-    more = _rest(candidates, roots, classes, sets, percent, block_shingles)
+    roots = cut(connected(links), parts)
+    more = _rest(candidates, roots, classes, sets, percent, block_shingles, parts)
     if more is not None:
         stars_ = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = cut(connected(stars_.unionByName(more)))
+        roots = cut(connected(stars_.unionByName(more)), parts)
     placed = classes.select(*keys, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", *keys).join(placed, keys, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _rest(candidates: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame | None:
+def _rest(candidates: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block_shingles: int, parts: int) -> DataFrame | None:
     """Links between components of one candidate cluster that no star has tested, as pairs of components."""
-    clusters = cut(connected(candidates.select("u", "v"))).select("node", F.col("root").alias("cluster"))
+    clusters = cut(connected(candidates.select("u", "v")), parts).select("node", F.col("root").alias("cluster"))
     sized = classes.select(F.col("rep").alias("node"), "n_shingles")
     members = clusters.join(roots.select("node", F.col("root").alias("comp")), "node", "left").join(sized, "node")
-    members = cut(members.select("node", "cluster", F.coalesce("comp", "node").alias("comp"), "n_shingles"))
-    parts = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("mass"))
-    whole = parts.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("k").alias("k"), F.sum("mass").alias("mass"), F.max_by(F.struct("comp", "mass"), F.struct("k", "comp")).alias("main"))
+    members = cut(members.select("node", "cluster", F.coalesce("comp", "node").alias("comp"), "n_shingles"), parts)
+    by_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("mass"))
+    whole = by_comp.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("k").alias("k"), F.sum("mass").alias("mass"), F.max_by(F.struct("comp", "mass"), F.struct("k", "comp")).alias("main"))
     blocks = lambda mass: F.ceil(mass / F.lit(float(block_shingles))).cast("int")
     open_ = whole.where("comps > 1 AND k > 2").select("cluster", F.col("main.comp").alias("main"), blocks(F.col("mass")).alias("row_blocks"), blocks(F.col("mass") - F.col("main.mass")).alias("query_blocks"))
-    open_ = cut(open_)
+    open_ = cut(open_, parts)
     if open_.isEmpty():
         return None
     rows = members.join(open_, "cluster").join(sets, "node")
