@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -205,6 +206,42 @@ def test_language_models(make, spark):
     assert lm_scoring.score(make(["a b"]), empty).first().n_tokens == 2
 
 
+def exact_losses(texts, chosen, smoothing=32.0):
+    """(background loss, target loss) of every text from counts of all words and pairs in dicts."""
+    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    models = []
+    for named in (range(len(texts)), chosen):
+        one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+        for i in named:
+            one.update(words[i])
+            two.update(zip([None, *words[i]], words[i]))
+            context.update(words[i] + [None] * bool(words[i]))
+        models.append((one, two, context, sum(one.values())))
+    size, out = len(models[0][0]), []
+    for w in words:
+        p = [[(two[h, x] + smoothing * (one[x] + 1) / (n + size + 1)) / (context[h] + smoothing) for h, x in zip([None, *w], w)] for one, two, context, n in models]
+        out.append([-sum(map(math.log, q)) / max(len(w), 1) for q in p])
+    return out
+
+
+@pytest.mark.parametrize("n_docs", [30, 300])
+def test_language_models_count_exactly(make, spark, monkeypatch, n_docs):
+    monkeypatch.setattr(lm_scoring, "_BUCKET_WORDS", 1 << 12)
+    rng = random.Random(n_docs)
+    texts = [*EDGES[:7], *(" ".join(f"w{int(rng.paretovariate(0.2)) % 10**6}" for _ in range(400)) for _ in range(n_docs))]
+    if n_docs == 300:
+        texts += [" ".join(f"u{i}" for i in range(k, k + 5_000)) for k in range(0, 80_000, 5_000)]  # more words than a fixed vocabulary holds
+    chosen = range(5, len(texts), 3)
+    docs, target = make(texts, extra=True), spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    models = lm_scoring.fit(docs, target)
+    want = exact_losses(texts, chosen)
+    for frame in (docs, make(texts)):  # the rows counted, and rows that only ask
+        got = {r.doc_id: r for r in lm_scoring.score(frame, models).collect()}
+        assert len(got) == len(texts)
+        for i, (background, target_loss) in enumerate(want):
+            assert got[i].background_loss == pytest.approx(background, abs=1e-9) and got[i].target_loss == pytest.approx(target_loss, abs=1e-9)
+
+
 def test_toxicity(make, spark):
     random.seed(7)
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(3))
