@@ -60,7 +60,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removed_spans(read(spark, sf_dir, "documents"))
+    return substring_dedup.removed_spans(read(spark, sf_dir, "documents"), words=True)
 
 
 @_query

@@ -5,6 +5,10 @@ consecutive sentences that reaches a number of sentences and of words is hashed.
 The hashes of all documents meet in one shuffle that keeps a count and the first
 place of each; a run that stands there a second time is repeated text, and the
 sentences it covers go.
+
+By words, windows of words join the runs, so a repeat need not begin or end with a
+sentence: of the windows at every word those of least hash in their neighbourhood are
+sent ("Winnowing", Schleimer, Wilkerson and Aiken, 2003), whatever stands before them.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ RUN_SENTENCES = 2
 RUN_WORDS = 20
 #: A sentence of more words counts as several of at most this many.
 SENTENCE_WORDS = 20
+#: Windows among which the least is sent. Every repeat of run words + NEAR - 1 words has a window in common.
+NEAR = 11
 
 
 def sentences(data: np.ndarray, at: np.ndarray, limit: int = SENTENCE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,41 +79,89 @@ def sentence_runs(data: np.ndarray, at: np.ndarray, run_sentences: int, run_word
     for k in range(int((stop - first).max()) if len(first) else 0):
         live = first + k < stop
         run = np.where(live, vectext.mix(run * np.uint64(3) + sentence[np.where(live, first + k, first)] + np.uint64(1)), run)
-    return {"doc": doc[whole], "first": first - of[doc[whole]], "stop": stop - of[doc[whole]], "hash": run, "starts": starts[begin] if m else begin, "ends": ends[after - 1] if m else after, "of": of}
+    word_of = np.r_[begin, n][of]
+    at_word = {"word_first": begin[first] - word_of[doc[first]], "word_stop": after[stop - 1] - word_of[doc[first]]}
+    return at_word | {"doc": doc[whole], "first": first - of[doc[whole]], "stop": stop - of[doc[whole]], "hash": run, "starts": starts[begin] if m else begin, "ends": ends[after - 1] if m else after, "of": of}
+
+
+def _least(x: np.ndarray, near: int, pick) -> np.ndarray:
+    """``pick`` over x[i : i + near], for every i at which it is whole."""
+    width = 1
+    while 2 * width <= near:
+        x, width = pick(x[: len(x) - width], x[width:]), 2 * width
+    return pick(x[: len(x) - (near - width)], x[near - width :]) if near > width else x
 
 
-def _hashed(run_sentences: int, run_words: int):
+def word_windows(data: np.ndarray, at: np.ndarray, size: int, near: int = NEAR) -> dict[str, np.ndarray]:
+    """Windows of ``size`` words that have the least hash among some ``near`` windows on end: document, first word, hash.
+
+    Equal windows are all among them. They are chosen by the text inside the neighbourhood
+    alone, so texts that share size + near - 1 words share one, and those of a shared
+    stretch overlap.
+    """
+    starts, ends, of = vectext.word_spans(data, at)
+    counts = np.maximum(np.diff(of) - size + 1, 0)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    first = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(doc):
+        return {"doc": doc, "first": first, "hash": np.zeros(0, np.uint64)}
+    word = vectext.span_hashes(vectext.lowered(data), starts, ends)
+    factor = 0x9E3779B97F4A7C15
+    powers, back = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(word), f, np.uint64)]) for f in (np.uint64(factor), np.uint64(pow(factor, -1, 1 << 64))))
+    sums = np.r_[np.uint64(0), np.cumsum(word * powers[:-1], dtype=np.uint64)]
+    begin = of[doc] + first
+    hashes = vectext.mix((sums[begin + size] - sums[begin]) * back[begin] + np.uint64(size))
+    place = np.arange(len(doc)) + (near - 1) * (doc + 1)  # documents apart
+    apart = np.full(int(place[-1]) + near, np.iinfo(np.uint64).max, np.uint64)
+    apart[place] = hashes
+    least = _least(_least(apart, near, np.minimum), near, np.maximum)
+    chosen = hashes == least[place - (near - 1)]
+    return {"doc": doc[chosen], "first": first[chosen], "hash": hashes[chosen]}
+
+
+def _hashed(run_sentences: int, run_words: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["run", "doc_id", "first", "stop", "window"]
         for batch in batches:
             for part in vectext.slices(batch, "text"):
-                found = sentence_runs(*vectext.utf8(part.column("text")), run_sentences, run_words)
-                ids = part.column("doc_id").take(pa.array(found["doc"]))
-                yield pa.RecordBatch.from_arrays([pa.array(found["hash"].view(np.int64)), ids, pa.array(found["first"].astype(np.int32)), pa.array(found["stop"].astype(np.int32))], ["run", "doc_id", "first", "stop"])
+                data, at = vectext.utf8(part.column("text"))
+                found = sentence_runs(data, at, run_sentences, run_words)
+                first, stop = (found[f"word_{k}" if words else k] for k in ("first", "stop"))
+                parts = [(found["hash"], found["doc"], first, stop, False)]
+                if words:
+                    found = word_windows(data, at, run_words)
+                    parts.append((found["hash"], found["doc"], found["first"], found["first"] + run_words, True))
+                for hashes, doc, first, stop, window in parts:
+                    ids = part.column("doc_id").take(pa.array(doc))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids, pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(np.full(len(doc), window))], names)
 
     return run
 
 
-def repeated_runs(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
     """doc_id, first, stop, first_doc_id: each occurrence of a run that isn't its first.
 
     The first occurrence is that of the smallest doc_id, then of the earliest sentence;
-    later ones in the same document count too. Rows without doc_id are left out.
+    later ones in the same document count too, windows unless they overlap it. Places
+    are sentences, or with ``words`` words. Rows without doc_id are left out.
     """
-    runs = id_text(docs).where("doc_id IS NOT NULL").mapInArrow(_hashed(run_sentences, run_words), "run long, doc_id long, first int, stop int")
-    places = runs.groupBy("run").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = runs.join(places, "run").where("NOT (doc_id = origin.doc_id AND first = origin.first)")
+    runs = id_text(docs).where("doc_id IS NOT NULL").mapInArrow(_hashed(run_sentences, run_words, words), "run long, doc_id long, first int, stop int, window boolean")
+    places = runs.groupBy("run").agg(F.min(F.struct("doc_id", "first", "stop")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = runs.join(places, "run").where("NOT (doc_id = origin.doc_id AND (first = origin.first OR window AND first < origin.stop))")
     return again.select("doc_id", "first", "stop", F.col("origin.doc_id").alias("first_doc_id"))
 
 
-def removed_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
-    """One row per maximal stretch of removed sentences: doc_id, first, stop, n_runs, first_doc_id.
+def removed_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
+    """One row per maximal stretch of removed sentences, or words: doc_id, first, stop, n_runs, first_doc_id.
 
     Sentences ``first`` to ``stop`` - 1 are covered by non-first runs; ``first_doc_id`` is
     the smallest document that had one of them. Null, empty and short texts have no runs.
     Rows that repeat a doc_id count as one document's occurrences. Other columns are
-    ignored; no rows give no rows.
+    ignored; no rows give no rows. With ``words`` repeats are found inside sentences too,
+    from run_words + NEAR - 1 words on for certain, and places are words; up to NEAR - 1
+    words at either end of one may stay.
     """
-    per_doc = repeated_runs(docs, run_sentences, run_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "stop", "first_doc_id"))).alias("runs"))  # a document's own runs
+    per_doc = repeated_runs(docs, run_sentences, run_words, words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "stop", "first_doc_id"))).alias("runs"))  # a document's own runs
     return per_doc.mapInArrow(_merged, "doc_id long, first int, stop int, n_runs int, first_doc_id long")
 
 
@@ -130,7 +184,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _clean(limit: int):
+def _clean(limit: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, cut_ = [], []
@@ -138,6 +192,8 @@ def _clean(limit: int):
                 raw, spans = (text.as_py() or "").encode(), gone.as_py() or []
                 data = np.frombuffer(raw, np.uint8)
                 starts, ends, begin, _ = sentences(data, np.array([0, len(data)]), limit)
+                if words:
+                    begin = np.arange(len(starts))
                 after = np.r_[begin[1:], len(starts)].astype(np.int64)
                 at, parts = 0, []
                 for s in spans:
@@ -151,7 +207,7 @@ def _clean(limit: int):
     return run
 
 
-def without_repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, text without its repeated sentences, n_removed: one row per document."""
-    gone = removed_spans(docs, run_sentences, run_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("gone"))
-    return id_text(docs).join(gone, "doc_id", "left").mapInArrow(_clean(SENTENCE_WORDS), "doc_id long, text string, n_removed int")
+def without_repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
+    """doc_id, text without its repeated sentences, or words, n_removed: one row per document."""
+    gone = removed_spans(docs, run_sentences, run_words, words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("gone"))
+    return id_text(docs).join(gone, "doc_id", "left").mapInArrow(_clean(SENTENCE_WORDS, words), "doc_id long, text string, n_removed int")

@@ -206,6 +206,37 @@ def test_language_models(make, spark):
     assert lm_scoring.score(make(["a b"]), empty).first().n_tokens == 2
 
 
+def test_repeats_inside_sentences(make):
+    """A passage of 60 words at any offset of a long sentence, and one between changed ends of short sentences."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    passage, short = fresh(60), [*fresh(14), "One", "two.", *fresh(16)]
+    texts = [*EDGES, " ".join(fresh(7) + passage + fresh(9)), " ".join(fresh(5) + short + fresh(5))]
+    origins = len(texts) - 2, len(texts) - 1
+    planted = {}
+    for offset in range(0, 45):
+        planted[len(texts)] = offset, 60, origins[0]
+        texts.append(" ".join(fresh(offset) + passage + fresh(30)))
+    for offset in (0, 3, 11, 24):
+        planted[len(texts)] = offset, len(short), origins[1]
+        texts.append(" ".join(fresh(offset) + short + fresh(3)) + ".")
+    found = collections.defaultdict(list)
+    for r in substring_dedup.removed_spans(make(texts, extra=True), words=True).collect():
+        found[r.doc_id].append(r)
+    near = substring_dedup.NEAR - 1
+    for i, (offset, n, origin) in planted.items():
+        (r,) = found[i]
+        assert offset <= r.first <= offset + near and offset + n - near <= r.stop <= offset + n and r.first_doc_id == origin
+    assert not set(origins) & set(found)
+    clean = {r.doc_id: r for r in substring_dedup.without_repeats(make(texts), words=True).collect()}
+    for i, (offset, n, _) in planted.items():
+        w, (r,) = WORD.findall(texts[i]), found[i]
+        assert WORD.findall(clean[i].text) == w[: r.first] + w[r.stop :] and clean[i].n_removed == r.stop - r.first
+    for i, text in enumerate(EDGES):  # equal windows of one text: its first one stays
+        if text and text.startswith("word "):
+            assert [(r.first, r.stop) for r in found[i]] == [(20, 30_000)]
+
+
 def exact_losses(texts, chosen, smoothing=32.0):
     """(background loss, target loss) of every text from counts of all words and pairs in dicts."""
     words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
