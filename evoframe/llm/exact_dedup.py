@@ -1,7 +1,7 @@
 """Exact deduplication over a sharded cuckoo-filter index.
 
-Digests are partially aggregated where they are read, so a text that fills a third
-of the corpus reaches its shard as one row a task. Each shard owns the digests of
+Digests are added up within the task that reads them, so a text that fills a third
+of the corpus reaches its shard as a few rows a task. Each shard owns the digests of
 one hash range: a cuckoo filter says which are certainly new, stored keys settle
 the hits, and the index can be kept, extended and purged between runs. Equal
 digests are then verified on content: the texts of multi-row groups are compared
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from evoframe.session import cut
 
 #: Digests a shard is sized for; a shard is one task's state, about 40 MB.
 SHARD_KEYS = 100_000
+#: Rows a task adds up before they leave it.
+TASK_ROWS = 500_000
 INDEX_SCHEMA = "shard int, digest binary, keep_id long, group_size long"
 
 
@@ -33,29 +37,58 @@ def shard_of(digest, shards: int):
     return F.pmod(F.xxhash64(digest), F.lit(shards)).cast("int")
 
 
+def _larger(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
+def _within_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a digest added up inside the task, without a shuffle; other tasks may have it too."""
+
+    def added(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+        grouped = pa.concat_tables(tables).group_by("digest").aggregate([("keep_id", "max"), ("group_size", "sum")])
+        return grouped.rename_columns({"keep_id_max": "keep_id", "group_size_sum": "group_size"}).select(["digest", "keep_id", "group_size"]).to_batches()
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]).select(["digest", "keep_id", "group_size"]))
+        size += batch.num_rows
+        if size >= TASK_ROWS:
+            yield from added(held)
+            held, size = [], 0
+    if held:
+        yield from added(held)
+
+
 def _fold(expected: int):
-    """Stream a partition's (digest, doc_id, n) rows through one filter per shard in it."""
+    """Stream a partition's (shard, digest, keep_id, group_size) rows through one filter per shard in it.
+
+    A digest that several tasks have read meets its first row as a filter hit, and the
+    stored key settles it.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: dict[int, CuckooFilter] = {}
-        for frame in batches:
-            for shard, rows in frame.groupby("shard", sort=False):
+        for batch in batches:
+            shards = batch.column("shard").to_numpy(zero_copy_only=False)
+            for shard in np.unique(shards).tolist():
+                rows = batch.filter(pa.array(shards == shard))
                 index = filters.setdefault(shard, CuckooFilter(expected))
-                digests = [bytes(d) for d in rows.digest]
+                digests = rows.column("digest").to_pylist()
                 new: dict[bytes, list] = {}
-                for digest, hit, top, n in zip(digests, index.maybe(digests), rows.keep_id, rows.group_size):
+                for digest, hit, top, n in zip(digests, index.maybe(digests), rows.column("keep_id").to_pylist(), rows.column("group_size").to_pylist()):
                     stored = index.get(digest) if hit else None
                     stored = new.get(digest) if stored is None else stored
                     if stored is None:
                         new[digest] = [top, n]
                     else:
-                        stored[0], stored[1] = max(stored[0], top), stored[1] + n
+                        stored[0], stored[1] = _larger(stored[0], top), stored[1] + n
                 index.insert(list(new.items()))
         for shard, index in filters.items():
             items = list(index.keys.items())
             for i in range(0, len(items), 10_000):
                 part = items[i : i + 10_000]
-                yield pd.DataFrame({"shard": shard, "digest": [k for k, _ in part], "keep_id": [v[0] for _, v in part], "group_size": [v[1] for _, v in part]}).astype({"shard": "int32"})
+                columns = [pa.array([shard] * len(part), pa.int32()), pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "digest", "keep_id", "group_size"])
 
     return run
 
@@ -66,9 +99,9 @@ def build_index(digests: DataFrame, shards: int) -> DataFrame:
     ``keep_id`` becomes the largest and ``group_size`` the sum over rows of a digest.
     An empty input gives an empty index.
     """
-    partial = digests.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    partial = digests.select("digest", "keep_id", "group_size").mapInArrow(_within_task, "digest binary, keep_id long, group_size long")
     placed = partial.select(shard_of("digest", shards).alias("shard"), "digest", "keep_id", "group_size").repartition(shards, "shard")
-    return placed.mapInPandas(_fold(SHARD_KEYS), INDEX_SCHEMA)
+    return placed.mapInArrow(_fold(SHARD_KEYS), INDEX_SCHEMA)
 
 
 def _apply_changes(expected: int):

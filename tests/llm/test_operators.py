@@ -103,6 +103,20 @@ def test_index_inserts_and_deletes(make):
     assert exact_dedup.update_index(index, 3) is index
 
 
+def test_filters_settle_copies_of_different_tasks(make, monkeypatch):
+    digests = exact_dedup.digest_table(make([(None, "a"), (7, "b"), (None, "c")] + [(i, f"t{i % 50}") for i in range(400)] + [((1 << 60) + 1, "a")]))
+    digests = digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    index = exact_dedup.build_index(digests.repartition(4), 3)
+    assert "Aggregate" not in index._jdf.queryExecution().toString()  # nothing else groups the digests
+    assert collections.Counter((r.keep_id, r.group_size) for r in index.collect()) == collections.Counter([((1 << 60) + 1, 2), (7, 1), (None, 1), *((350 + i, 8) for i in range(50))])
+    hits = []
+    real = exact_dedup.CuckooFilter.get
+    monkeypatch.setattr(exact_dedup.CuckooFilter, "get", lambda self, key: hits.append(key) or real(self, key))
+    batch = digests.withColumn("shard", F.lit(0).cast("int")).limit(3).toArrow().combine_chunks().to_batches()[0]
+    (folded,) = exact_dedup._fold(100)(iter([batch, batch]))
+    assert len(set(hits)) == 3 and folded.column("group_size").to_pylist() == [2, 2, 2]
+
+
 def test_packing(make):
     got = packing.pack(make(EDGES, extra=True), WORDS).collect()
     encode = packing.WordTokens(WORDS)
