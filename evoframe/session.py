@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 PART_ROWS = 200_000
+#: Files of the checkpoints made inside checkpoints_released(), if one is open.
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 def local_session(cpus: int = 8, name: str = "evoframe", **conf: str) -> SparkSession:
@@ -20,6 +25,7 @@ def local_session(cpus: int = 8, name: str = "evoframe", **conf: str) -> SparkSe
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=settings).getOrCreate()
 
@@ -46,10 +52,38 @@ def parts_for(rows: int) -> int:
     return max(1, -(-rows // PART_ROWS))
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names; a missing one is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def checkpoints_released(spark: SparkSession) -> Iterator[None]:
+    """Delete what cut() writes inside, once results that rest on it are written elsewhere."""
+    held: list[str] = []
+    token = _HELD.set(held)
+    try:
+        yield
+    finally:
+        _HELD.reset(token)
+        for path in held:
+            remove_folder(spark, path)
+
+
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Materialise a plan once in the shared folder, in ``parts`` partitions at most, and cut its lineage there."""
+    """Materialise a plan once in the shared folder, in ``parts`` partitions at most, and cut its lineage there.
+
+    The files go when the session's cleaner finds them unused, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, or with checkpoints_released().
+    """
     use_checkpoint_dir(df.sparkSession)
-    return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
+    out = (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
+    held = _HELD.get()
+    if held is not None:
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        held.extend([file.get()] if file.isDefined() else [])
+    return out
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
