@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evoframe.session import cut
+
 #: A-Z and a-z for translate(): only these letters fold, whatever the locale.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -25,6 +27,24 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *more)
 
 
+def fixed_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with an order inside each partition that a repeated task sees again.
+
+    Operators that number rows by partition and order rely on it. A scan has it; rows that
+    come out of a shuffle do not, and are written once.
+    """
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return cut(rows) if "Exchange" in plan else rows
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
