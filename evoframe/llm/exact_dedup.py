@@ -5,7 +5,8 @@ of the corpus reaches its shard as a few rows a task. Each shard owns the digest
 one hash range: a cuckoo filter says which are certainly new, stored keys settle
 the hits, and the index can be kept, extended and purged between runs. Equal
 digests are then verified on content: the texts of multi-row groups are compared
-with the row that stays, and rows that differ form groups of their own.
+with the row that stays, in buckets of bounded size, and rows that differ form
+groups of their own.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import ascii_lower, id_text
+from evoframe.llm.common import ascii_lower, id_text, meet
 from evoframe.llm.cuckoo import CuckooFilter
 from evoframe.session import cut
 
 #: Digests a shard is sized for; a shard is one task's state, about 40 MB.
 SHARD_KEYS = 100_000
+#: Members of a group of copies that are compared with the kept text in one place.
+BUCKET_ROWS = 64
 #: Rows a task adds up before they leave it.
 TASK_ROWS = 500_000
 INDEX_SCHEMA = "shard int, digest binary, keep_id long, group_size long"
@@ -107,20 +110,21 @@ def build_index(digests: DataFrame, shards: int) -> DataFrame:
 def _apply_changes(expected: int):
     def run(key, index: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
         held = CuckooFilter(max(expected, len(index)))
-        held.insert([(bytes(d), [k, n]) for d, k, n in zip(index.digest, index.keep_id, index.group_size)])
+        held.insert([(bytes(d), [None if pd.isna(k) else int(k), n]) for d, k, n in zip(index.digest, index.keep_id, index.group_size)])
         gone = [bytes(d) for d in changes.digest[changes.deleted]]
         held.delete([d for d, hit in zip(gone, held.maybe(gone)) if hit])
         added = changes[~changes.deleted]
         digests = [bytes(d) for d in added.digest]
         new: dict[bytes, list] = {}
-        for digest, hit, top, n in zip(digests, held.maybe(digests), added.keep_id, added.group_size):
+        tops = [None if pd.isna(top) else int(top) for top in added.keep_id]
+        for digest, hit, top, n in zip(digests, held.maybe(digests), tops, added.group_size):
             stored = (held.get(digest) if hit else None) or new.get(digest)
             if stored is None:
                 new[digest] = [top, n]
             else:
-                stored[0], stored[1] = max(stored[0], top), stored[1] + n
+                stored[0], stored[1] = _larger(stored[0], top), stored[1] + n
         held.insert(list(new.items()))
-        return pd.DataFrame({"shard": key[0], "digest": list(held.keys), "keep_id": [v[0] for v in held.keys.values()], "group_size": [v[1] for v in held.keys.values()]}).astype({"shard": "int32", "keep_id": "int64", "group_size": "int64"})
+        return pd.DataFrame({"shard": key[0], "digest": list(held.keys), "keep_id": pd.array([v[0] for v in held.keys.values()], "Int64"), "group_size": [v[1] for v in held.keys.values()]}).astype({"shard": "int32", "group_size": "int64"})
 
     return run
 
@@ -154,8 +158,10 @@ def group_copies(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; null text is empty and
-    equals empty text. The largest doc_id of a group stays. Rows that repeat a doc_id
-    count one each. An empty table gives an empty result; other columns are ignored.
+    equals empty text. The largest doc_id of a group stays; rows without doc_id stay only
+    where no row of the group has one. Rows that repeat a doc_id count one each, and all
+    of them are kept if theirs is. An empty table gives an empty result; other columns
+    are ignored.
     """
     keyed = cut(digest_table(docs, digest_bytes))
     rows = keyed.count()
@@ -163,16 +169,17 @@ def group_copies(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     while rows:
         source = left.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
         index = cut(build_index(source, shards_for(rows)))
-        several = index.where("group_size > 1").select("digest", "keep_id")
-        owned = left.join(index.select("digest", "keep_id", "group_size"), "digest")
-        differing = cut(_differing(docs, left, several))
+        owned = meet(left, index.select("digest", "keep_id", F.col("group_size").alias("n")), ["digest"], ["doc_id", "text_sha256"]).withColumnRenamed("n", "group_size")
+        differing = cut(_differing(docs, owned.where("group_size > 1")))
         n_differing = differing.count()
         if n_differing:
-            owned = owned.join(differing.select("doc_id"), "doc_id", "left_anti")
+            owned = owned.join(differing, owned["doc_id"].eqNullSafe(differing["other_id"]) & (owned["text_sha256"] == differing["other_sha256"]), "left_anti")
             sizes = owned.groupBy("digest").agg(F.count("*").alias("group_size"))
             owned = owned.drop("group_size").join(sizes, "digest")
-        out.append(owned.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"))
-        left, rows = differing, n_differing
+            left = left.join(differing, left["doc_id"].eqNullSafe(differing["other_id"]) & (left["text_sha256"] == differing["other_sha256"]), "left_semi")
+            left = cut(left)
+        out.append(owned.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+        rows = n_differing and left.count()
     if not out:
         return keyed.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     result = out[0]
@@ -181,14 +188,19 @@ def group_copies(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     return result
 
 
-def _differing(docs: DataFrame, keyed: DataFrame, several: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose content is not that of the row their digest keeps.
+def _differing(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """other_id, other_sha256: rows whose content is not that of the row their digest keeps.
 
-    Only groups of several rows bring their texts here, laid out by digest.
+    Texts come here by doc_id, which spreads the copies of one text. A group's members
+    are then dealt over buckets of about BUCKET_ROWS, each with a copy of the kept text.
     """
     content = id_text(docs).select(F.col("doc_id").alias("content_id"), ascii_lower("text").alias("content"))
-    members = keyed.join(several, "digest").dropDuplicates(["doc_id", "text_sha256"])
-    same_row = (F.col("doc_id") == F.col("content_id")) & (F.col("text_sha256") == F.sha2("content", 256))
-    texts = members.join(content, same_row).select("digest", "doc_id", "keep_id", "text_sha256", "content")
-    keepers = texts.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("content").alias("kept_content"))
-    return texts.join(keepers, "digest").where("content <> kept_content").select("doc_id", "text_sha256", "digest")
+    members = several.select("digest", "doc_id", "keep_id", "text_sha256", F.ceil(F.col("group_size") / BUCKET_ROWS).cast("int").alias("buckets")).distinct()
+    same_row = F.col("doc_id").eqNullSafe(F.col("content_id")) & (F.col("text_sha256") == F.sha2("content", 256))
+    texts = members.join(content, same_row)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    every = F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket")
+    keepers = texts.where(kept).groupBy("digest").agg(F.min("content").alias("kept_content"), F.max("buckets").alias("buckets")).select(F.col("digest").alias("kept_digest"), every, "kept_content")
+    others = texts.select("digest", F.pmod(F.xxhash64("doc_id", "text_sha256"), F.col("buckets")).cast("int").alias("of"), "doc_id", "text_sha256", "content")
+    met = others.join(keepers, (F.col("digest") == F.col("kept_digest")) & (F.col("of") == F.col("bucket")))
+    return met.where("content <> kept_content").select(F.col("doc_id").alias("other_id"), F.col("text_sha256").alias("other_sha256")).distinct()
