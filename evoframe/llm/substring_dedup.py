@@ -2,9 +2,10 @@
 
 A text is split into sentences. From every sentence on, the shortest run of
 consecutive sentences that reaches a number of sentences and of words is hashed.
-The hashes of all documents meet in one shuffle that keeps a count and the first
-place of each; a run that stands there a second time is repeated text, and the
-sentences it covers go.
+The hashes of all documents are counted; occurrences of those that stand there a
+second time meet by 128 bits, and of each run all but the first occurrence is repeated
+text, whose sentences go. Runs so frequent that one task should not hold their
+occurrences are few by their definition; their first occurrences are broadcast instead.
 
 By words, windows of words join the runs, so a repeat need not begin or end with a
 sentence: of the windows at every word those of least hash in their neighbourhood are
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoframe.llm import vectext
-from evoframe.llm.common import id_text
+from evoframe.llm.common import HOT_KEYS, HOT_ROWS, id_text
+from evoframe.session import cut
 
 RUN_SENTENCES = 2
 RUN_WORDS = 20
@@ -29,21 +31,51 @@ RUN_WORDS = 20
 SENTENCE_WORDS = 20
 #: Windows among which the least is sent. Every repeat of run words + NEAR - 1 words has a window in common.
 NEAR = 11
+#: Bits of the filter over repeated hashes, 8 MB however many there are. A fuller filter lets more runs through; the join decides.
+FILTER_BITS = 26
+_CHECK = np.uint64(0x6A09E667F3BCC909)
+_RUNS = "run long, check long, doc_id long, version long, first int, stop int, window boolean"
+
+
+def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as in vectext.word_spans, but each letter of a script without blanks (U+3040 to U+9FFF) is one.
+
+    A full-width stop right after such a letter belongs to it; other text after it is a new word.
+    """
+    starts, ends, of = vectext.word_spans(data, at)
+    second = np.r_[data[1:], np.uint8(0)] if len(data) else data
+    alone = np.flatnonzero(((data == 0xE3) & (second >= 0x81)) | ((data >= 0xE4) & (data <= 0xE9)))
+    if not len(alone):
+        return starts, ends, of
+    ended = _full_stops(data, alone + 6)
+    begins = np.unique(np.r_[starts, alone, alone + 3 + 3 * ended])
+    word = np.searchsorted(starts, begins, "right") - 1
+    inside = begins < ends[word]
+    begins, word = begins[inside], word[inside]
+    return begins, np.minimum(np.r_[begins[1:], len(data)], ends[word]), np.searchsorted(begins, at, "left")
+
+
+def _full_stops(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the three bytes before each place are a full-width full stop, exclamation or question mark."""
+    found = (ends >= 3) & (ends <= len(data))
+    held = [data[np.where(found, ends, 3) - k].astype(np.int64) for k in (3, 2, 1)] if len(data) >= 3 else [np.zeros(len(ends), np.int64)] * 3
+    code = held[0] << 16 | held[1] << 8 | held[2]
+    return found & ((code == 0xE38082) | (code == 0xEFBC81) | (code == 0xEFBC9F))
 
 
 def sentences(data: np.ndarray, at: np.ndarray, limit: int = SENTENCE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentences of every document by words: (word starts, word ends, first word of each sentence, documents' offsets among sentences).
 
-    A sentence ends with a word whose last byte is ``.``, ``!`` or ``?``, before a line
-    break, or after ``limit`` words. Words between two ends are one sentence, so every
-    word is in exactly one.
+    A sentence ends with a word whose last character is ``.``, ``!`` or ``?``, or their
+    full-width forms, before a line break, or after ``limit`` words. Words between two
+    ends are one sentence, so every word is in exactly one.
     """
-    starts, ends, of = vectext.word_spans(data, at)
+    starts, ends, of = units(data, at)
     n = len(starts)
     if not n:
         return starts, ends, np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     last = data[ends - 1]
-    closes = (last == 46) | (last == 33) | (last == 63)
+    closes = (last == 46) | (last == 33) | (last == 63) | _full_stops(data, ends)
     lines = np.cumsum(data == 10)
     broken = np.zeros(n, bool)
     broken[:-1] = lines[starts[1:]] != lines[ends[:-1] - 1]
@@ -58,30 +90,32 @@ def sentences(data: np.ndarray, at: np.ndarray, limit: int = SENTENCE_WORDS) ->
 
 
 def sentence_runs(data: np.ndarray, at: np.ndarray, run_sentences: int, run_words: int, limit: int = SENTENCE_WORDS) -> dict[str, np.ndarray]:
-    """Every run: its document, first sentence, sentence after its last, and hash; with the sentences' byte spans."""
+    """Every run: its document, first sentence, sentence after its last, and two hashes; with the sentences' byte spans."""
     starts, ends, begin, of = sentences(data, at, limit)
     m, n = len(begin), len(starts)
     after = np.r_[begin[1:], n].astype(np.int64) if m else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(of))
-    if m:
-        word = vectext.span_hashes(vectext.lowered(data), starts, ends)
-        order = (np.arange(n) - begin[np.searchsorted(begin, np.arange(n), "right") - 1]).astype(np.uint64)
-        sentence = vectext.mix(np.add.reduceat(vectext.mix(word + (order + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), begin) + (after - begin).astype(np.uint64))
-    else:
-        sentence = np.zeros(0, np.uint64)
     index = np.arange(m)
     limit_at = of[1:][doc] if m else index
     enough = np.searchsorted(after, begin + run_words, "left") + 1 if m else index  # sentences up to the one that completes the words
     stop = np.maximum(index + run_sentences, enough)
     whole = stop <= limit_at
     first, stop = index[whole], stop[whole]
-    run = np.zeros(len(first), np.uint64)
-    for k in range(int((stop - first).max()) if len(first) else 0):
-        live = first + k < stop
-        run = np.where(live, vectext.mix(run * np.uint64(3) + sentence[np.where(live, first + k, first)] + np.uint64(1)), run)
+    hashes = []
+    if m:
+        word = vectext.span_hashes(vectext.lowered(data), starts, ends)
+        order = (np.arange(n) - begin[np.searchsorted(begin, np.arange(n), "right") - 1]).astype(np.uint64)
+        order = (order + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for salt in (np.uint64(0), _CHECK):
+        run = np.zeros(len(first), np.uint64)
+        sentence = vectext.mix(np.add.reduceat(vectext.mix((word ^ salt) + order), begin) + (after - begin).astype(np.uint64)) if m else run
+        for k in range(int((stop - first).max()) if len(first) else 0):
+            live = first + k < stop
+            run = np.where(live, vectext.mix(run * np.uint64(3) + sentence[np.where(live, first + k, first)] + np.uint64(1)), run)
+        hashes.append(run)
     word_of = np.r_[begin, n][of]
     at_word = {"word_first": begin[first] - word_of[doc[first]], "word_stop": after[stop - 1] - word_of[doc[first]]}
-    return at_word | {"doc": doc[whole], "first": first - of[doc[whole]], "stop": stop - of[doc[whole]], "hash": run, "starts": starts[begin] if m else begin, "ends": ends[after - 1] if m else after, "of": of}
+    return at_word | {"doc": doc[whole], "first": first - of[doc[whole]], "stop": stop - of[doc[whole]], "hash": hashes[0], "check": hashes[1], "starts": starts[begin] if m else begin, "ends": ends[after - 1] if m else after, "of": of}
 
 
 def _least(x: np.ndarray, near: int, pick) -> np.ndarray:
@@ -93,62 +127,121 @@ def _least(x: np.ndarray, near: int, pick) -> np.ndarray:
 
 
 def word_windows(data: np.ndarray, at: np.ndarray, size: int, near: int = NEAR) -> dict[str, np.ndarray]:
-    """Windows of ``size`` words that have the least hash among some ``near`` windows on end: document, first word, hash.
+    """Windows of ``size`` words that have the least hash among some ``near`` windows on end: document, first word, two hashes.
 
     Equal windows are all among them. They are chosen by the text inside the neighbourhood
     alone, so texts that share size + near - 1 words share one, and those of a shared
     stretch overlap.
     """
-    starts, ends, of = vectext.word_spans(data, at)
+    starts, ends, of = units(data, at)
     counts = np.maximum(np.diff(of) - size + 1, 0)
     doc = np.repeat(np.arange(len(counts)), counts)
     first = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     if not len(doc):
-        return {"doc": doc, "first": first, "hash": np.zeros(0, np.uint64)}
+        return {"doc": doc, "first": first, "hash": np.zeros(0, np.uint64), "check": np.zeros(0, np.uint64)}
     word = vectext.span_hashes(vectext.lowered(data), starts, ends)
     factor = 0x9E3779B97F4A7C15
     powers, back = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(word), f, np.uint64)]) for f in (np.uint64(factor), np.uint64(pow(factor, -1, 1 << 64))))
-    sums = np.r_[np.uint64(0), np.cumsum(word * powers[:-1], dtype=np.uint64)]
     begin = of[doc] + first
-    hashes = vectext.mix((sums[begin + size] - sums[begin]) * back[begin] + np.uint64(size))
+
+    def hashed(word: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        sums = np.r_[np.uint64(0), np.cumsum(word * powers[:-1], dtype=np.uint64)]
+        return vectext.mix((sums[begin + size] - sums[begin]) * back[begin] + np.uint64(size))
+
+    hashes = hashed(word, begin)
     place = np.arange(len(doc)) + (near - 1) * (doc + 1)  # documents apart
     apart = np.full(int(place[-1]) + near, np.iinfo(np.uint64).max, np.uint64)
     apart[place] = hashes
     least = _least(_least(apart, near, np.minimum), near, np.maximum)
     chosen = hashes == least[place - (near - 1)]
-    return {"doc": doc[chosen], "first": first[chosen], "hash": hashes[chosen]}
+    return {"doc": doc[chosen], "first": first[chosen], "hash": hashes[chosen], "check": hashed(vectext.mix(word ^ _CHECK), begin[chosen])}
+
+
+def _filter(several: DataFrame):
+    """A broadcast Bloom filter of two bits over the hashes in ``run``, as 64-bit words."""
+    mask = (1 << FILTER_BITS) - 1
+    bits = F.array(F.shiftrightunsigned("run", 64 - FILTER_BITS), F.shiftrightunsigned("run", 10).bitwiseAND(F.lit(mask)))
+    bit = several.select(F.explode(bits).alias("bit"))
+    word = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow()  # 2^20 words at most
+    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    words[word["word"].to_numpy()] = word["bits"].to_numpy().view(np.uint64)
+    return several.sparkSession.sparkContext.broadcast(words)
+
 
+def _may_repeat(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    one = np.uint64(1)
+    places = hashes >> np.uint64(64 - FILTER_BITS), (hashes >> np.uint64(10)) & np.uint64((1 << FILTER_BITS) - 1)
+    return np.logical_and(*((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & one).astype(bool) for p in places))
+
+
+def _hashed(run_sentences: int, run_words: int, words: bool, repeated=None, hot: np.ndarray | None = None, wanted: bool = False):
+    """The runs of every document; given ``repeated``, those that it lets through and that are ``hot`` if ``wanted``, else are not."""
+
+    def chosen(hashes: np.ndarray):
+        if repeated is None:
+            return slice(None)
+        return _may_repeat(repeated.value, hashes) & (np.isin(hashes, hot) == wanted)
 
-def _hashed(run_sentences: int, run_words: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["run", "doc_id", "first", "stop", "window"]
+        names = [c.split()[0] for c in _RUNS.split(", ")]
         for batch in batches:
             for part in vectext.slices(batch, "text"):
                 data, at = vectext.utf8(part.column("text"))
                 found = sentence_runs(data, at, run_sentences, run_words)
-                first, stop = (found[f"word_{k}" if words else k] for k in ("first", "stop"))
-                parts = [(found["hash"], found["doc"], first, stop, False)]
+                parts = [(found, *(found[f"word_{k}" if words else k] for k in ("first", "stop")), False)]
                 if words:
                     found = word_windows(data, at, run_words)
-                    parts.append((found["hash"], found["doc"], found["first"], found["first"] + run_words, True))
-                for hashes, doc, first, stop, window in parts:
-                    ids = part.column("doc_id").take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids, pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(np.full(len(doc), window))], names)
+                    parts.append((found, found["first"], found["first"] + run_words, True))
+                for found, first, stop, window in parts:
+                    some = chosen(found["hash"])
+                    doc = pa.array(found["doc"][some])
+                    keys = [pa.array(found[k][some].view(np.int64)) for k in ("hash", "check")]
+                    rest = [part.column(k).take(doc) for k in ("doc_id", "version")]
+                    yield pa.RecordBatch.from_arrays([*keys, *rest, pa.array(first[some].astype(np.int32)), pa.array(stop[some].astype(np.int32)), pa.array(np.full(len(doc), window))], names)
 
     return run
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """doc_id, version, text of rows with a doc_id; version tells different texts of one doc_id apart and is 0 elsewhere."""
+    rows = id_text(docs).where("doc_id IS NOT NULL")
+    shared = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if shared.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("version"), "text")
+    rows = rows.join(shared.withColumn("shared", F.lit(True)), "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("shared"), F.xxhash64("text")).otherwise(0).cast("long").alias("version"), "text")
+
+
 def repeated_runs(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
-    """doc_id, first, stop, first_doc_id: each occurrence of a run that isn't its first.
+    """doc_id, version, first, stop, first_doc_id: each occurrence of a run that isn't its first.
 
-    The first occurrence is that of the smallest doc_id, then of the earliest sentence;
-    later ones in the same document count too, windows unless they overlap it. Places
-    are sentences, or with ``words`` words. Rows without doc_id are left out.
+    The first occurrence is that of the smallest doc_id, then version, then of the earliest
+    sentence; later ones in the same document count too, windows unless they overlap it.
+    Places are sentences, or with ``words`` words. Rows without doc_id are left out.
     """
-    runs = id_text(docs).where("doc_id IS NOT NULL").mapInArrow(_hashed(run_sentences, run_words, words), "run long, doc_id long, first int, stop int, window boolean")
-    places = runs.groupBy("run").agg(F.min(F.struct("doc_id", "first", "stop")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = runs.join(places, "run").where("NOT (doc_id = origin.doc_id AND (first = origin.first OR window AND first < origin.stop))")
-    return again.select("doc_id", "first", "stop", F.col("origin.doc_id").alias("first_doc_id"))
+    texts = _documents(docs)
+    options = run_sentences, run_words, words
+    several = cut(texts.mapInArrow(_hashed(*options), _RUNS).groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
+    limit = max((several.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS, HOT_ROWS)
+    hot = np.array([r.run for r in several.where(F.col("n") > limit).collect()], np.int64).view(np.uint64)  # fewer than HOT_KEYS
+    repeated = _filter(several)
+    key, origin = ["run", "check"], F.min(F.struct("doc_id", "version", "first", "stop"))
+    runs = texts.mapInArrow(_hashed(*options, repeated, hot), _RUNS).join(several.where(F.col("n") <= limit).select("run"), "run")
+    every = Window.partitionBy(*key)
+    again = runs.withColumn("origin", origin.over(every)).withColumn("n", F.count("*").over(every)).where("n > 1")
+    if len(hot):
+        runs = cut(texts.mapInArrow(_hashed(*options, repeated, hot, True), _RUNS))
+        origins = runs.groupBy(*key).agg(origin.alias("origin"), F.count("*").alias("n")).where("n > 1")
+        again = again.unionByName(runs.join(F.broadcast(origins), key))
+    same = F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) & (F.col("version") == F.col("origin.version"))
+    again = again.where(~(same & ((F.col("first") == F.col("origin.first")) | (F.col("window") & (F.col("first") < F.col("origin.stop"))))))
+    return again.select("doc_id", "version", "first", "stop", F.col("origin.doc_id").alias("first_doc_id"))
+
+
+def _stretches(docs: DataFrame, run_sentences: int, run_words: int, words: bool) -> DataFrame:
+    runs = repeated_runs(docs, run_sentences, run_words, words)
+    per_doc = runs.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("first", "stop", "first_doc_id"))).alias("runs"))  # a document's own runs
+    return per_doc.mapInArrow(_merged, "doc_id long, version long, first int, stop int, n_runs int, first_doc_id long")
 
 
 def removed_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
@@ -156,13 +249,14 @@ def removed_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words
 
     Sentences ``first`` to ``stop`` - 1 are covered by non-first runs; ``first_doc_id`` is
     the smallest document that had one of them. Null, empty and short texts have no runs.
-    Rows that repeat a doc_id count as one document's occurrences. Other columns are
-    ignored; no rows give no rows. With ``words`` repeats are found inside sentences too,
-    from run_words + NEAR - 1 words on for certain, and places are words; up to NEAR - 1
-    words at either end of one may stay.
+    Words part at white space, and each letter of a script without blanks is one. Rows
+    with the same doc_id and text are one document; other texts under its doc_id are
+    documents of their own, whose stretches are listed too. Other columns are ignored; no
+    rows give no rows. With ``words`` repeats are found inside sentences too, from
+    run_words + NEAR - 1 words on for certain, and places are words; up to NEAR - 1 words
+    at either end of one may stay.
     """
-    per_doc = repeated_runs(docs, run_sentences, run_words, words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "stop", "first_doc_id"))).alias("runs"))  # a document's own runs
-    return per_doc.mapInArrow(_merged, "doc_id long, first int, stop int, n_runs int, first_doc_id long")
+    return _stretches(docs, run_sentences, run_words, words).drop("version")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +273,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(begins):
             continue
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(doc[begins])), pa.array(first[begins].astype(np.int32)), pa.array((high[ends - 1] - shift[begins]).astype(np.int32)), pa.array((ends - begins).astype(np.int32)), pa.array(np.minimum.reduceat(origin, begins))],
-            ["doc_id", "first", "stop", "n_runs", "first_doc_id"],
+            [*(batch.column(k).take(pa.array(doc[begins])) for k in ("doc_id", "version")), pa.array(first[begins].astype(np.int32)), pa.array((high[ends - 1] - shift[begins]).astype(np.int32)), pa.array((ends - begins).astype(np.int32)), pa.array(np.minimum.reduceat(origin, begins))],
+            ["doc_id", "version", "first", "stop", "n_runs", "first_doc_id"],
         )
 
 
@@ -208,6 +302,7 @@ def _clean(limit: int, words: bool):
 
 
 def without_repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
-    """doc_id, text without its repeated sentences, or words, n_removed: one row per document."""
-    gone = removed_spans(docs, run_sentences, run_words, words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("gone"))
-    return id_text(docs).join(gone, "doc_id", "left").mapInArrow(_clean(SENTENCE_WORDS, words), "doc_id long, text string, n_removed int")
+    """doc_id, text without its repeated sentences, or words, n_removed: one row per document, those without doc_id whole."""
+    gone = _stretches(docs, run_sentences, run_words, words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("gone"))
+    ours = _documents(docs).join(gone, ["doc_id", "version"], "left").unionByName(id_text(docs).where("doc_id IS NULL"), allowMissingColumns=True)
+    return ours.mapInArrow(_clean(SENTENCE_WORDS, words), "doc_id long, text string, n_removed int")
