@@ -8,9 +8,13 @@ rows of the band table, never with its square. Full sets confirm the links.
 
 A star can miss a link between two members that both differ from its centre.
 Clusters of star candidates that the confirmed links leave in several components
-are therefore searched once more: rows outside a cluster's largest component
-against all its rows, in hashed blocks of bounded size whose intersections are
-counted inside the task, and only pairs of components leave it.
+are therefore searched once more. Two sets of similarity s share an element among the
+1 - s of each that come first in any common order ("prefix filter", Chaudhuri, Ganti
+and Kaushik, 2006); in an order by frequency those are rare ones, so a text's own words
+tell it from others of its template. Stars over shared first elements, among sets of
+admissible sizes, cut a cluster into small parts. In a part, rows outside its largest
+component meet the rows of admissible sizes in blocks of bounded size, whose
+intersections are counted inside the task, and only pairs of components leave it.
 """
 
 from __future__ import annotations
@@ -31,7 +35,11 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 BANDS = 60
 ROWS = 6
+#: Shingles, and rows, that a block of the search holds on either side in expectation.
 BLOCK_SHINGLES = 1 << 17
+BLOCK_ROWS = 2048
+#: Bits of the hashed cells whose counts order shingles by frequency: a table of a megabyte, whatever the corpus.
+CELL_BITS = 18
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PROBES = 24
 
@@ -174,7 +182,7 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 
 def _search_blocks(percent: int):
-    """Rows come sorted by (cluster, query_block, row_block); each such group is one bounded search."""
+    """Rows come sorted by (piece, window, query_block, row_block); each such group is one bounded search."""
 
     def search(rows: list[tuple]) -> list[tuple[int, int]]:
         asking = [r for r in rows if r[0]]
@@ -194,11 +202,11 @@ def _search_blocks(percent: int):
 
         group, held = None, []
         for batch in batches:
-            for cluster, q, r, asks, comp, elements in zip(*(batch.column(c).to_pylist() for c in ("cluster", "query_block", "row_block", "asks", "comp", "elements"))):
-                if (cluster, q, r) != group:
+            for *key, asks, comp, elements in zip(*(batch.column(c).to_pylist() for c in ("piece", "window", "query_block", "row_block", "asks", "comp", "elements"))):
+                if key != group:
                     if pairs := search(held):
                         yield out(pairs)
-                    group, held = (cluster, q, r), []
+                    group, held = key, []
                 held.append((asks, comp, elements))
         if pairs := search(held):
             yield out(pairs)
@@ -212,14 +220,15 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMI
     A document's set is its distinct ``words``-word shingles of A-Z-lowered text; a
     shorter text is one shingle. Sets with 100 * intersection >= percent * union are
     linked, and component_id is the smallest doc_id reachable. Null, empty and blank
-    texts have no shingle and stay alone. Repeated rows share a component. At
+    texts have no shingle and stay alone, as do rows without doc_id, whose component_id
+    is null. Rows that repeat a doc_id share a component, whatever their texts. At
     similarity 0.8 the default bands miss a pair with probability 1e-8. Other columns
     are ignored; no rows give no rows.
     """
     texts = id_text(docs)
     signed = cut(texts.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"))
     keys = ["n_shingles", "key_a", "key_b"]
-    classes = signed.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = cut(classes)
     banded = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.count("*").alias("k")).where("k > 1")
@@ -232,6 +241,8 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMI
     wanted = small_side(nodes)
     sets = texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi")
     sets = cut(sets.mapInArrow(_sets(words), "node long, elements binary"))
+    if sets.count() > nodes.count():  # rows that repeat a doc_id
+        sets = cut(sets.distinct())
     ready = candidates.where("fits").select("u", "v")
     ready = ready.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("set_v")), "v")
     ready = ready.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("set_u")), "u")
@@ -243,8 +254,45 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMI
         roots = cut(connected(stars_.unionByName(more)), parts)
     placed = classes.select(*keys, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", *keys).join(placed, keys, "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _cells(elements: np.ndarray) -> np.ndarray:
+    return (vectext.mix(elements) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        for elements in batch.column("elements"):
+            total += np.bincount(_cells(np.frombuffer(elements.as_py(), np.uint64)), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """How many first elements of a set of ``n`` must hold one of any similar set's first ones."""
+    return n - -(-n * percent // 100) + 1
+
+
+def _prefixes(frequency: np.ndarray, percent: int):
+    """node, cluster, class, element: the first elements of each set by frequency, then hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                firsts = []
+                for raw in part.column("elements"):
+                    elements = np.frombuffer(raw.as_py(), np.uint64)
+                    n = prefix_length(len(elements), percent)
+                    firsts.append(elements[np.lexsort((elements, frequency[_cells(elements)]))[:n]])
+                of = pa.array(np.repeat(np.arange(len(firsts)), [len(x) for x in firsts]))
+                columns = [part.column(c).take(of) for c in ("node", "cluster", "class")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(firsts).view(np.int64))], ["node", "cluster", "class", "element"])
+
+    return run
 
 
 def _rest(candidates: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block_shingles: int, parts: int) -> DataFrame | None:
@@ -252,19 +300,43 @@ def _rest(candidates: DataFrame, roots: DataFrame, classes: DataFrame, sets: Dat
     clusters = cut(connected(candidates.select("u", "v")), parts).select("node", F.col("root").alias("cluster"))
     sized = classes.select(F.col("rep").alias("node"), "n_shingles")
     members = clusters.join(roots.select("node", F.col("root").alias("comp")), "node", "left").join(sized, "node")
-    members = cut(members.select("node", "cluster", F.coalesce("comp", "node").alias("comp"), "n_shingles"), parts)
-    by_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("mass"))
-    whole = by_comp.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("k").alias("k"), F.sum("mass").alias("mass"), F.max_by(F.struct("comp", "mass"), F.struct("k", "comp")).alias("main"))
-    blocks = lambda mass: F.ceil(mass / F.lit(float(block_shingles))).cast("int")
-    open_ = whole.where("comps > 1 AND k > 2").select("cluster", F.col("main.comp").alias("main"), blocks(F.col("mass")).alias("row_blocks"), blocks(F.col("mass") - F.col("main.mass")).alias("query_blocks"))
-    open_ = cut(open_, parts)
-    if open_.isEmpty():
+    # Similar sets are of one size class or of neighbouring ones.
+    size_class = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    members = cut(members.select("node", "cluster", F.coalesce("comp", "node").alias("comp"), "n_shingles", size_class.alias("class")), parts)
+    whole = members.groupBy("cluster").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k"))
+    open_ = members.join(whole.where("a <> b AND k > 2").select("cluster"), "cluster", "left_semi").select("node", "cluster", "class")
+    rows = cut(open_.join(sets, "node"))
+    if rows.isEmpty():
+        return None
+    frequency = np.zeros(1 << CELL_BITS, np.int64)
+    counted = rows.mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # one row a cell
+    frequency[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    first = rows.mapInArrow(_prefixes(frequency, percent), "node long, cluster long, class int, element long")
+    # Classes a and a + 1 share the window a + 1.
+    entries = first.select("node", "cluster", "element", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("window"))
+    key = ["cluster", "element", "window"]
+    centres = entries.groupBy(*key).agg(F.min("node").alias("centre"), F.count("*").alias("k")).where("k > 1").drop("k")
+    spokes = cut(entries.join(centres, key).where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
+    pieces = cut(connected(spokes), parts).select("node", F.col("root").alias("piece"))
+    members = pieces.join(members, "node").select("node", "piece", "comp", "n_shingles", "class")
+    return _searched(cut(members, parts), sets, percent, block_shingles, parts)
+
+
+def _searched(members: DataFrame, sets: DataFrame, percent: int, block_shingles: int, parts: int) -> DataFrame | None:
+    """Links between components of one piece: rows outside its largest component against its rows of like sizes."""
+    largest = members.groupBy("piece", "comp").agg(F.count("*").alias("k")).groupBy("piece").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    open_ = members.join(largest.where("comps > 1").select("piece", "main"), "piece")
+    asking = open_.where("comp <> main").select("*", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("window"))
+    asked = open_.withColumn("window", F.col("class"))
+    blocks = lambda: F.greatest(F.ceil(F.sum("n_shingles") / F.lit(float(block_shingles))), F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS)))).cast("int")
+    sides = [side.groupBy("piece", "window").agg(blocks().alias(name)) for side, name in ((asking, "query_blocks"), (asked, "row_blocks"))]
+    plan = cut(sides[0].join(sides[1], ["piece", "window"]), parts)
+    if plan.isEmpty():
         return None
-    rows = members.join(open_, "cluster").join(sets, "node")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = rows.select("cluster", every("query_blocks").alias("query_block"), at("row_blocks").alias("row_block"), F.lit(False).alias("asks"), "comp", "elements")
-    asking = rows.where("comp <> main").select("cluster", at("query_blocks").alias("query_block"), every("row_blocks").alias("row_block"), F.lit(True).alias("asks"), "comp", "elements")
-    group = ["cluster", "query_block", "row_block"]
-    dealt = asked.unionByName(asking).repartition(*group).sortWithinPartitions(*group)
+    placed = lambda side, asks, q, r: side.join(plan, ["piece", "window"]).select("node", "piece", "window", q.alias("query_block"), "row_blocks", F.lit(asks).alias("asks"), "comp").select("node", "piece", "window", "query_block", r.alias("row_block"), "asks", "comp")
+    dealt = placed(asked, False, every("query_blocks"), at("row_blocks")).unionByName(placed(asking, True, at("query_blocks"), every("row_blocks")))
+    group = ["piece", "window", "query_block", "row_block"]
+    dealt = dealt.join(sets, "node").repartition(*group).sortWithinPartitions(*group)
     return cut(dealt.mapInArrow(_search_blocks(percent), "u long, v long").distinct())
