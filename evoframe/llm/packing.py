@@ -12,8 +12,8 @@ does not follow the number of documents either.
 from __future__ import annotations
 
 import json
+import os
 import re
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -205,15 +205,18 @@ _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 class WordTokens:
     """Ids of a lower-casing byte-level BPE with an end-of-word suffix, as bytes, word by word.
 
-    No token crosses white space, so each distinct lower-case chunk between white space
-    is encoded once and remembered, up to ``cache`` chunks, and a text's ids are its
-    chunks' ids joined. A chunk's pieces are merged by the tiktoken library: the suffix
-    becomes the byte 0xFF, which UTF-8 never uses, and its pairs rank first.
+    No token crosses white space, so each distinct chunk between white space is encoded
+    once and remembered, up to ``cache`` chunks, and a text's ids are its chunks' ids
+    joined. An ASCII chunk's pieces are merged by the tiktoken library: the suffix becomes
+    the byte 0xFF, which UTF-8 never uses, and its pairs rank first. Other chunks, whose
+    ids depend on the library's tables of characters, and chunks that may hold an added
+    token go through the tokenizers library itself.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         import regex
         import tiktoken
+        import tokenizers
 
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
@@ -221,6 +224,12 @@ class WordTokens:
         split = held["pre_tokenizer"]["pretokenizers"][0]
         if model["type"] != "BPE" or not suffix or not split["invert"]:
             raise ValueError(f"{path} is not a BPE with an end-of-word suffix over matched pieces")
+        added = [t["content"].lower() for t in held["added_tokens"]]
+        if any(not t.isascii() or len(t.split()) != 1 for t in added):
+            raise ValueError(f"{path} has added tokens that white space does not part")
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.library = tokenizers.Tokenizer.from_file(path)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): bytes([b]) for b in own}
         byte |= {chr(256 + k): bytes([b]) for k, b in enumerate(b for b in range(256) if b not in own)}
@@ -231,7 +240,8 @@ class WordTokens:
 
         tokens = [bytes([b]) for b in range(256)] + [bytes([b, 255]) for b in range(256)]
         tokens += [raw("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
-        number = {raw(token): i for token, i in model["vocab"].items()}
+        special = {t["content"] for t in held["added_tokens"]}
+        number = {raw(token): i for token, i in model["vocab"].items() if token not in special}
         ranks = {token: i for i, token in reversed(list(enumerate(tokens)))}
         self.number = np.array([number.get(token, 0) for token in tokens], "<u4")
         self.single = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)._core_bpe.encode_single_piece
@@ -246,12 +256,21 @@ class WordTokens:
         ids = self.known_pieces[piece] = self.number[self.single(piece.encode() + b"\xff")].tobytes()
         return ids
 
+    def _learn(self, words: set[str]) -> None:
+        other = []
+        for word in words:
+            if word.isascii() and not self.added(lower := word.lower()):
+                self.known[word] = b"".join([self.known_pieces.get(p) or self.piece(p) for p in self.pieces(lower)])
+            else:
+                other.append(word)
+        for word, found in zip(other, self.library.encode_batch(other, add_special_tokens=False)):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # lower() would make a final sigma
-        text = text.lower()
+        if text.isascii() and "<" not in text:  # so no word has an added token in some case
+            text = text.lower()
         words = _WORD.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
-        known, pieces = self.known, self.known_pieces
+        known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
@@ -260,8 +279,7 @@ class WordTokens:
         if len(known) + len(new) > self.cache:
             known.clear()
             new = set(words)
-        for word in new:
-            known[word] = b"".join([pieces.get(p) or self.piece(p) for p in self.pieces(word)])
+        self._learn(new)
         return b"".join([known[w] for w in words])
 
 
