@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from evoframe.llm.bpe import encoding
 from evoframe.llm.common import id_text
 
+#: From here on texts are split by the regex package: the library's own splitter recurses over a run of white space.
+LONG_CHARS = 100_000
 RULES = ("first", "last", "most")
 _OUT = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 
@@ -56,7 +58,15 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.
 
 def _count(path: str, pattern: str, rule: str, own: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoding(path, pattern)
+        import regex
+
+        model, find = encoding(path, pattern), regex.compile(pattern).findall
+
+        def encode(text: str) -> list[int]:
+            if len(text) < LONG_CHARS:
+                return model.encode_ordinary(text)
+            return [i for piece in find(text) for i in model._encode_single_piece(piece)]
+
         size = np.zeros(model.n_vocab, np.int64)
         for token in model.token_byte_values():
             size[model.encode_single_token(token)] = len(token)
@@ -73,7 +83,7 @@ def _count(path: str, pattern: str, rule: str, own: bool):
                 else:
                     starts, ends = line_intervals(data)
                     numbers = np.arange(len(starts))
-                ids = np.array(model.encode_ordinary(text), np.int64)
+                ids = np.array(encode(text), np.int64)
                 to = np.cumsum(size[ids])
                 point = np.cumsum((data & 0xC0) != 0x80) - 1  # code point of each byte
                 if len(ids):
