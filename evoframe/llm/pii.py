@@ -37,6 +37,7 @@ NATIONAL_WORDS = ("ssn", "social", "security", "national", "id", "identity", "ta
 CONTEXT_CHARS = 40
 MIN_PROBABILITY = 0.5
 _CHUNK = 512
+_CHUNK_CHARS = 2048
 
 
 def bind(value: Column, body) -> Column:
@@ -44,6 +45,21 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def chunked(text: Column) -> Column:
+    """A text in order in pieces of _CHUNK_CHARS code points, so that a place in it is near a piece's beginning."""
+    return F.when(F.length(text) <= _CHUNK_CHARS, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK_CHARS}}}+"), F.lit(0)))
+
+
+def part(chunks: Column, low: Column, high: Column) -> Column:
+    """Code points ``low`` to ``high`` - 1 of a chunked text, as far as it goes."""
+    k, last = (F.floor(x / _CHUNK_CHARS).cast("int") for x in (low, high))
+    piece = lambda i, at, n: F.coalesce(F.substring(F.get(chunks, i), at, n), F.lit(""))
+    at = (low - k * _CHUNK_CHARS + 1).cast("int")
+    inner = F.array_join(F.slice(chunks, k + 2, F.greatest(last - k - 1, F.lit(0))), "")
+    across = F.concat(piece(k, at, F.lit(_CHUNK_CHARS)), inner, piece(last, F.lit(1), (high - last * _CHUNK_CHARS).cast("int")))
+    return F.when(k == last, piece(k, at, (high - low).cast("int"))).otherwise(across)
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start,end,hit>>: leftmost non-overlapping matches, in code points.
 
@@ -134,17 +150,19 @@ def _candidates(text: Column) -> Column:
     """array<struct<start,end,hit,kind,before,after>> of added kinds, with the text around them."""
 
     def shaped(kind: str, pattern: str) -> Column:
-        def one(s: Column) -> Column:
-            low = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            before = F.substring(text, (low + 1).cast("int"), (s["start"] - low).cast("int"))
-            after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(2))
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"))
+        def around(found: Column, chunks: Column) -> Column:
+            def one(s: Column) -> Column:
+                before = part(chunks, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"])
+                after = part(chunks, s["end"], s["end"] + 2)
+                return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"))
 
-        return F.transform(located(text, pattern), one)
+            return F.transform(found, one)
 
-    kind = "array<struct<start:bigint,end:bigint,hit:string,kind:string,before:string,after:string>>"
-    found = F.concat(shaped("secret", SECRET).cast(kind), shaped("national_id", NATIONAL).cast(kind))
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(kind))
+        return bind(located(text, pattern), lambda found: F.when(F.size(found) > 0, bind(chunked(text), lambda c: around(found, c).cast(shape))).otherwise(F.array().cast(shape)))
+
+    shape = "array<struct<start:bigint,end:bigint,hit:string,kind:string,before:string,after:string>>"
+    found = F.concat(shaped("secret", SECRET), shaped("national_id", NATIONAL))
+    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(shape))
 
 
 # ------------------------------------------------------------ labelers: 1 personal, 0 abstain, -1 not
@@ -227,20 +245,35 @@ def all_spans(text: Column, weights: list[float] | None, base: Column | None = N
         return base
     order = F.create_map(*[x for kind in ADDED_KINDS for x in (F.lit(kind), F.lit(KINDS.index(kind)))])
 
+    def likely(c: Column) -> Column:
+        score = F.lit(weights[-1])
+        for value, w in zip(span_features(c), weights):
+            score = score + value * F.lit(w)
+        return score >= math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY))
+
     def joined(held: Column) -> Column:
-        def accepted(c: Column) -> Column:
-            score = F.lit(weights[-1])
-            for value, w in zip(span_features(c), weights):
-                score = score + value * F.lit(w)
-            clear = ~F.exists(held, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            return clear & (score >= math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY)))
+        def with_added(found: Column) -> Column:
+            added = F.transform(_clear_of(found, held), lambda c: F.struct(c["start"].alias("start"), order[c["kind"]].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind")))
+            return F.array_sort(F.concat(held, added.cast(_SPANS)))
 
-        added = F.transform(F.filter(_candidates(text), accepted), lambda c: F.struct(c["start"].alias("start"), order[c["kind"]].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind")))
-        return F.array_sort(F.concat(held, added.cast(_SPANS)))
+        return bind(F.filter(_candidates(text), likely), lambda found: F.when(F.size(found) > 0, with_added(found)).otherwise(held))
 
     return bind(base, joined)
 
 
+def _clear_of(found: Column, held: Column) -> Column:
+    """Candidates that overlap none of the spans in ``held``, which are in order; chunks of them are asked first."""
+    own = lambda k: F.slice(held, k * _CHUNK + 1, F.lit(_CHUNK))
+    reach = lambda k: F.struct(k.alias("k"), F.get(held, k * _CHUNK)["start"].alias("low"), F.array_max(F.transform(own(k), lambda x: x["end"])).alias("high"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / _CHUNK).cast("int")), reach)
+
+    def clear(c: Column, bounds: Column) -> Column:
+        meets = lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+        return ~F.exists(bounds, lambda b: (b["low"] < c["end"]) & (c["start"] < b["high"]) & F.exists(own(b["k"]), meets))
+
+    return F.when(F.size(held) > 0, bind(chunks, lambda bounds: F.filter(found, lambda c: clear(c, bounds)))).otherwise(found)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text, base (the base spans) and spans (base and added), one row per document.
 
@@ -283,20 +316,35 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans become one."""
+    """The text with each span replaced by its kind in brackets; overlapping spans become one.
+
+    ``spans`` are in order. Each gives one piece, from the furthest end before it on, and
+    the pieces are joined once.
+    """
+    tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _CHUNK).cast("int")), lambda k: F.array_max(F.transform(F.slice(spans, k * _CHUNK + 1, F.lit(_CHUNK)), lambda s: s["end"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        tag = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], tag)).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def joined(held: Column) -> Column:
+        def reached(i: Column) -> Column:
+            k = F.floor(i / _CHUNK).cast("int")
+            near = F.transform(F.slice(spans, k * _CHUNK + 1, i - k * _CHUNK), lambda s: s["end"])
+            return F.greatest(F.lit(0).cast("long"), F.array_max(F.slice(held["tops"], F.lit(1), k)), F.array_max(near))
+
+        placed = F.transform(spans, lambda s, i: F.struct(reached(i).alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+        first = F.filter(placed, lambda p: p["start"] >= p["at"])
+        pieces = F.transform(first, lambda p: F.concat(part(held["chunks"], p["at"], p["start"]), F.lit("["), F.upper(p["kind"]), F.lit("]")))
+        end = F.array_max(held["tops"])
+        return F.concat(F.array_join(pieces, ""), part(held["chunks"], end, F.greatest(end, F.length(text).cast("long"))))
 
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, bind(F.struct(tops.alias("tops"), chunked(text).alias("chunks")), joined)).otherwise(text)
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked in text, null texts still null; n_chars, if there is one, is the new length."""
+    """``docs`` with personal data masked in text; n_chars, if there is one, is the new length.
+
+    Null texts stay null, and so does their n_chars; empty texts stay empty. Repeated rows
+    are masked each, other columns stay as they are, no rows give no rows. The time a
+    text takes grows with its length and its spans, not with their product.
+    """
     weights = _classifier(id_text(docs))
     text = F.coalesce(docs["text"], F.lit(""))
     clean = bind(text, lambda t: bind(all_spans(t, weights), lambda s: masked(t, s)))
