@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoframe.llm import vectext
-from evoframe.llm.common import id_text
+from evoframe.llm.common import fixed_order, id_text
 
 BLOCK_BYTES = 12 << 20
 BUCKETS = (16, 4096)
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, buckets: int | None = None
     empty texts have no ids. Rows that repeat a doc_id give a row each. Other columns are
     ignored; no rows give no rows. ``ranks`` is a path each executor can read.
     """
-    texts = id_text(docs)
+    texts = fixed_order(id_text(docs))  # words are numbered as they come
     parts = texts.rdd.getNumPartitions() if buckets is None else buckets
     buckets = min(max(parts, BUCKETS[0]), BUCKETS[1]) if buckets is None else buckets
     moved = texts.mapInArrow(_explode(pattern, buckets, block_bytes), _MOVED)
@@ -276,5 +276,8 @@ def decode(encoded: DataFrame, ranks: str, column: str = "ids") -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of ids and of decoded bytes, from encode() and decode()."""
+    """doc_id, n_tokens and SHA-256 of ids and of decoded bytes, from encode() and decode(), row by row.
+
+    Null ids have null digests; empty ones are no tokens and the digest of no bytes.
+    """
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoframe.llm import vectext
-from evoframe.llm.common import SPACES, id_text
+from evoframe.llm.common import SPACES, fixed_order, id_text
 from evoframe.session import BROADCAST_ROWS, cut, small_side
 
 VOCABULARY = 1 << 16
@@ -342,7 +342,7 @@ def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     ids = cut(ids)
     n = ids.count()
     joined = id_text(docs).join(small_side(ids, n), F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("is_target"))
-    return joined if n <= BROADCAST_ROWS else cut(joined)  # blocks need rows in a fixed order
+    return fixed_order(joined) if n <= BROADCAST_ROWS else cut(joined)  # blocks need rows in a fixed order
 
 
 def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, bits: int | None = None, smoothing: float = SMOOTHING) -> Models | ExactModels:
@@ -350,7 +350,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, b
 
     The background is every row, the target the named ones; both count whole texts.
     The shared vocabulary is every word of the background and pairs are counted exactly.
-    With ``vocabulary`` or ``bits`` it is the most frequent words, ties by hash, and pairs
+    Rows that repeat an id count one each, in the target too if it names them. With
+    ``vocabulary`` or ``bits`` the vocabulary is the most frequent words, ties by hash, and pairs
     are counted in 2^bits cells. Without target rows the target is the smoothed uniform
     model. No rows give an empty vocabulary.
     """
@@ -403,7 +404,7 @@ def _score_exactly(docs: DataFrame, models: ExactModels) -> DataFrame:
     if docs is models.docs:
         sent = models.rows.mapInArrow(_sent(bits, True, True), _SENT)
     else:
-        sent = models.rows.mapInArrow(_sent(bits, True, False), _SENT).unionByName(id_text(docs).mapInArrow(_sent(bits, False, True), _SENT))
+        sent = models.rows.mapInArrow(_sent(bits, True, False), _SENT).unionByName(fixed_order(id_text(docs)).mapInArrow(_sent(bits, False, True), _SENT))
     answered = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, _SENT)
     by_block = answered.repartition(1 << bits, "block").sortWithinPartitions("block", F.col("asks").isNotNull(), "bucket")
     return by_block.mapInArrow(_losses(models.words, models.tokens, models.smoothing), SCHEMA)

@@ -247,6 +247,11 @@ def apply_rules(statistics: DataFrame, rules: list[Rule], min_words: int = MIN_W
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics, a list learnt from the labels of rows that pass the base, and its verdict for every document."""
+    """Statistics, a list learnt from the labels of rows that pass the base, and its verdict for every document.
+
+    One row per document, as apply_rules() gives it. Null and empty texts have no words and
+    fail the base. Repeated rows are judged each; learning counts each of them under its
+    id's label. Other columns are ignored; no rows give no rows; no labels, no rules.
+    """
     statistics = cut(text_statistics(docs))
     return apply_rules(statistics, learn(statistics.where(~base_failed()), labels))

@@ -30,4 +30,4 @@ def corpus():
 
 
 #: Null, empty, blank, tiny, repeated, odd and very long texts.
-EDGES = [None, "", " \n\t ", "a", "a", "One two three. Four five six! Seven", "x" * 70_000, "word " * 30_000, "É\x1cß　日本 \U0001f600", "ABC abc", "abc ABC"]
+EDGES = [None, "", " \n\t ", "a", "a", "One two three. Four five six! Seven", "x" * 70_000, "word " * 30_000, "É\x1cß　日本 \U0001f600", "ABC abc", "abc ABC", "x<|endoftext|>y <|StartOfText|> <|startoftext|>", "a\u0558b \ua7cb \U0002cea4c", "start" + " " * 1_000_000 + "end"]

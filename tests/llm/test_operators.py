@@ -12,7 +12,9 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from evoframe.llm import bpe, exact_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, queries, substring_dedup, token_counts, toxicity
@@ -29,6 +31,13 @@ def rows(frame, *columns):
     return sorted(tuple(r) for r in frame.select(*columns).collect())
 
 
+def ordinary(model, text):
+    """Ids as the library gives them; it cannot split a million blanks at once, so such texts are split before."""
+    if len(text or "") < 500_000:
+        return model.encode_ordinary(text or "")
+    return [i for piece in regex.findall(public_tokenizers.PATTERN, text) for i in model._encode_single_piece(piece)]
+
+
 def near_texts(seed=0):
     """Groups of near and exact copies whose members often differ from each other more than from the first."""
     random.seed(seed)
@@ -73,13 +82,51 @@ def test_near_groups(make, words, blocks):
 
 
 def test_links_that_stars_miss_are_found(make, spark):
-    """With one band of one row all texts share buckets, so only the block search can separate them."""
+    """With bands of one row all texts share buckets, so the search has to find what the stars leave."""
     texts = near_texts(9)[len(EDGES) :]
-    got = near_dedup.near_groups(make(texts), words=4, bands=1, rows=1, block_shingles=300)
-    wanted = components(texts, 4)
-    groups = lambda r: {frozenset(i for i, _, c, _ in r if c == k) for k in {c for _, _, c, _ in r}}
-    found = groups(rows(got, "doc_id", "n_shingles", "component_id", "kept"))
-    assert all(any(g <= w for w in groups(wanted)) for g in found)
+    got = near_dedup.near_groups(make(texts), words=4, bands=30, rows=1, block_shingles=300)
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == components(texts, 4)
+
+
+def template_texts(seed=5):
+    """Many short texts around shared phrases, and chains in which each text differs little from the next."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(400)}"
+    phrases = [[f"p{k}{c}" for c in "abcdef"] for k in range(3)]
+    texts = []
+    for _ in range(900):
+        own = [word() for _ in range(rng.randint(0, 5))]
+        at = rng.randint(0, len(own))
+        texts.append(" ".join(own[:at] + rng.choice(phrases) + own[at:]))
+    for changes in (1, 2, 3):
+        now = [f"t{changes}{i}" for i in range(40)]
+        for _ in range(60):
+            for _ in range(changes):
+                now[rng.randrange(40)] = word()
+            texts.append(" ".join(now))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("options", [{}, {"bands": 30, "rows": 1, "block_shingles": 500}])
+def test_templates_and_chains(make, monkeypatch, options):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 50)
+    texts = template_texts()
+    got = near_dedup.near_groups(make(texts), words=4, **options)
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == components(texts, 4)
+
+
+def test_prefixes_meet():
+    """Similar sets share one of their first elements, whatever the order."""
+    rng = random.Random(4)
+    for _ in range(3000):
+        both, a, b = (rng.randrange(n) for n in (30, 6, 6))
+        x = set(range(both + a))
+        y = set(range(both)) | set(range(100, 100 + b))
+        order = {e: rng.random() for e in x | y}
+        if x and y and near_dedup.similar(both, len(x), len(y), 80):
+            first = [set(sorted(s, key=order.get)[: near_dedup.prefix_length(len(s), 80)]) for s in (x, y)]
+            assert first[0] & first[1]
 
 
 @pytest.mark.parametrize("digest_bytes", [32, 1])
@@ -119,10 +166,12 @@ def test_filters_settle_copies_of_different_tasks(make, monkeypatch):
 
 def test_packing(make):
     got = packing.pack(make(EDGES, extra=True), WORDS).collect()
-    encode = packing.WordTokens(WORDS)
+    encode = Tokenizer.from_file(WORDS)
     wanted = {}
     for i, text in enumerate(EDGES):
-        ids = encode(text or "") + struct.pack("<I", 1)
+        ids = struct.pack("<I", 1)
+        if text:
+            ids = np.array(encode.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + ids
         for k, s in enumerate(range(0, len(ids), 4 * 4096)):
             piece = ids[s : s + 4 * 4096]
             wanted[i, k] = (s // 4, len(piece) // 4, zlib.crc32(piece))
@@ -144,7 +193,7 @@ def test_bpe_round_trip(make, corpus):
     encoded = bpe.encode(make(texts, extra=True), RANKS, public_tokenizers.PATTERN, buckets=5, block_bytes=20_000, known_words=100)
     model = bpe.encoding(RANKS, public_tokenizers.PATTERN)
     got = {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in bpe.decode(encoded, RANKS).collect()}
-    assert got == {i: (np.array(model.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in enumerate(texts)}
+    assert got == {i: (np.array(ordinary(model, t), "<u4").tobytes(), (t or "").encode()) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
@@ -153,13 +202,44 @@ def test_token_counts(make, spark, rule):
     got = token_counts.section_counts(make(texts, extra=True), RANKS, public_tokenizers.PATTERN, rule=rule)
     model = bpe.encoding(RANKS, public_tokenizers.PATTERN)
     totals = {r.doc_id: (r.n, r.end) for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("end").alias("end")).collect()}
-    assert totals == {i: (len(model.encode_ordinary(t or "")), len(t or "")) for i, t in enumerate(texts)}
+    assert totals == {i: (len(ordinary(model, t)), len(t or "")) for i, t in enumerate(texts)}
     sections = spark.createDataFrame([(0, 0, 0, 3), (0, 1, 5, 9)], "doc_id long, section int, start long, end long")
     own = token_counts.section_counts(make(["abc  defg hi"]), RANKS, public_tokenizers.PATTERN, sections, rule)
     words = [(m.start(), m.end()) for m in re.finditer(r"\S+|\s+", "abc  defg hi")]
     assert len(words) == 5 and sum(r.n_tokens for r in own.collect()) <= len(model.encode_ordinary("abc  defg hi"))
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_by_section(make, spark, corpus, rule):
+    """Every token of every text placed by a plain loop over characters and sections."""
+    rng = random.Random(12)
+    texts = [t or "" for t in EDGES[:5]] + ["one\ntwo  three\n\nfour 日本語テキスト 😀😀", "x" * 300] + [t[:3000] for _, t in corpus[:40]]
+    given = {}
+    for i, t in enumerate(texts):
+        cuts = sorted(rng.sample(range(len(t) + 1), min(len(t) + 1, 2 * rng.randint(0, 6))))
+        given[i] = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[::2], cuts[1::2])) if a < b]
+    sections = spark.createDataFrame([(i, *s) for i, held in given.items() for s in held], "doc_id long, section int, start long, end long")
+    model = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    wanted = {}
+    for i, t in enumerate(texts):
+        place = [k for k, c in enumerate(t) for _ in c.encode()]
+        counts = {k: [a, b, 0, 0] for k, a, b in given[i]}
+        at = 0
+        for token in ordinary(model, t):
+            n = len(model.decode_single_token_bytes(token))
+            chars = set(place[at : at + n])
+            at += n
+            share = {k: sum(a <= c < b for c in chars) for k, a, b in given[i]}
+            touched = [k for k, v in share.items() if v]
+            if touched:
+                chosen = {"first": touched[0], "last": touched[-1], "most": max(touched, key=lambda k: (share[k], -k))}[rule]
+                counts[chosen][2] += 1
+                counts[chosen][3] += len(touched) > 1
+        wanted |= {(i, k): tuple(v) for k, v in counts.items()}
+    got = token_counts.section_counts(make(texts, extra=True), RANKS, public_tokenizers.PATTERN, sections, rule)
+    assert {(r.doc_id, r.section): (r.start, r.end, r.n_tokens, r.n_crossing) for r in got.collect()} == wanted
+
+
 def test_attribution_rules():
     starts, ends = np.array([0, 4]), np.array([4, 9])
     first, last = np.array([0, 3, 2, 8]), np.array([2, 6, 5, 11])
@@ -251,6 +331,39 @@ def test_repeats_inside_sentences(make):
             assert [(r.first, r.stop) for r in found[i]] == [(20, 30_000)]
 
 
+def test_repeats_without_blanks(make):
+    """A passage in a script without blanks, under other beginnings and ends, and under an id with other texts."""
+    rng = random.Random(6)
+    fresh = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    passage = "".join(fresh(9) + "。" for _ in range(25))
+    texts = [fresh(40) + "。" + passage + fresh(30), fresh(17) + passage + fresh(11), "clean " + fresh(60), "the cat " + passage]
+    docs = make([*enumerate(texts), (3, "other words under the same id " * 2), (None, passage)])
+    found = collections.defaultdict(list)
+    for r in substring_dedup.removed_spans(docs, words=True).collect():
+        found[r.doc_id].append((r.first, r.stop))
+    near = substring_dedup.NEAR
+    assert set(found) == {1, 3} and len(found[1]) == len(found[3]) == 1
+    for i, at in ((1, 17), (3, 2)):
+        (first, stop), = found[i]
+        assert at <= first <= at + near and at + 225 - near <= stop <= at + 225
+    clean = sorted((r.doc_id or -1, r.text, r.n_removed) for r in substring_dedup.without_repeats(docs, words=True).collect())
+    assert (3, "other words under the same id " * 2, 0) in clean and (-1, passage, 0) in clean and len(clean) == 6
+    (short,) = [t for i, t, n in clean if i == 3 and n]
+    assert short.startswith("the cat") and len(short) < 30
+
+
+def test_hot_runs(make, monkeypatch):
+    """Runs above the limit take another way to the same rows."""
+    words = [" ".join(f"s{i}" for i in range(25)) + f" tail{k} " + " ".join(f"u{k}x{i}" for i in range(30)) + "." for k in range(60)]
+    texts = words + [f"{w} one more two more" for w in words[:3]]
+    results = []
+    for limit in (500, 5):
+        monkeypatch.setattr(substring_dedup, "HOT_ROWS", limit)
+        monkeypatch.setattr(substring_dedup, "HOT_KEYS", 1 << 40)
+        results.append(rows(substring_dedup.removed_spans(make(texts), words=True), "doc_id", "first", "stop", "n_runs", "first_doc_id"))
+    assert results[0] == results[1] and len({r[0] for r in results[0]}) == 62
+
+
 def exact_losses(texts, chosen, smoothing=32.0):
     """(background loss, target loss) of every text from counts of all words and pairs in dicts."""
     words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
@@ -304,6 +417,45 @@ def test_toxicity(make, spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).agg(F.max("score")).first()[0] == 0.5
 
 
+def test_toxicity_scores_by_hand(make, spark):
+    """The learner and the scores against dictionaries: one step a labelled row, in the learner's own order."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["nice", "day", "Bad", "awful", "rain", "über", "x1"]) for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    labels = {i: int("awful" in t and "Bad" in t) for i, t in enumerate(texts) if i % 4}
+    docs = make([*texts, None], extra=True)
+    model = toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), epochs=2, l1=0.5)
+
+    def features(text):
+        found = toxicity.word_features(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))[0]
+        return sorted(set(found.tolist()))
+
+    order = spark.createDataFrame([(e, i) for e in (1, 2) for i in labels if zlib.crc32(str(i).encode()) % 5], "epoch int, turn long")
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), "bias"
+    alpha, beta, l1, l2 = 3.0, 1.0, 0.5, 0.05
+
+    def weight(k):
+        strong = 0.0 if k == bias else l1
+        return 0.0 if abs(z[k]) <= strong else -(z[k] - math.copysign(strong, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for row in order.orderBy("epoch", F.xxhash64("epoch", "turn"), "turn").collect():
+        held = {k: weight(k) for k in [*features(texts[row.turn]), bias]}
+        g = 1 / (1 + math.exp(-sum(held.values()))) - labels[row.turn]
+        for k, w in held.items():
+            z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w
+            n[k] += g * g
+    for r in toxicity.score(docs, model).collect():
+        text = texts[r.doc_id] if r.doc_id < len(texts) else ""
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(weight(k) for k in [*features(text), bias]))), abs=1e-9)
+
+
+def test_features_of_a_text():
+    """Words, neighbours and pairs around one word, told apart by a dictionary."""
+    hashed = lambda t: collections.Counter(toxicity.word_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 60)[0].tolist())
+    one = hashed("Ab, cd-ab: É")
+    assert sum(one.values()) == 4 + 3 + 2 and hashed("ab cd ab É") == one and max(one.values()) == 2
+    assert len(hashed("ab cd") & hashed("cd ab")) == 2 and not hashed("") and not hashed("!?")
+
+
 def statistics(text):
     w = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
@@ -330,6 +482,28 @@ def test_decision_list(make, spark):
     assert quality_rules.judge(make([]), labels).count() == 0
 
 
+def test_verdicts_by_hand(make, spark, corpus):
+    """Rules applied by plain arithmetic on plain counts."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts = dict(corpus) | {10_000 + i: t for i, t in enumerate(EDGES)}
+    docs = make(list(texts.items()), extra=True)
+    table = quality_rules.text_statistics(docs)
+    rules = quality_rules.learn(table.where(~quality_rules.base_failed()), labels)
+    rules = rules + [quality_rules.Rule((quality_rules.Term("upper_share", True, 0.05), quality_rules.Term("words_per_line", False, 40.0)))]
+    ratio = lambda a, b: a / b if b else 0.0
+    kept = {}
+    for i, t in texts.items():
+        t = t or ""
+        n, chars, symbols, dup, repeat = statistics(t)
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        count = lambda chars, t=t: sum(c in chars for c in t)
+        value = {"n_words": n, "chars_per_word": ratio(chars, n), "symbols_per_word": ratio(symbols, n), "dup_line_share": ratio(dup, lines), "repeat_share": ratio(repeat, n), "words_per_line": ratio(n, lines), "upper_share": ratio(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), "marks_per_word": ratio(count("!?"), n), "digit_share": ratio(count("0123456789"), chars)}
+        met = any(all((value[x.feature] > x.cut) == x.above for x in rule.terms) for rule in rules)
+        kept[i] = not (n < 50 or 100 * repeat > 50 * n or met)
+    assert {r.doc_id: r.kept for r in quality_rules.apply_rules(table, rules).collect()} == kept
+    assert set(kept.values()) == {True, False}
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -375,6 +549,47 @@ def test_added_spans_and_mask(make):
     assert clean[60] == ('[EMAIL] token = "[SECRET]" [IP]', 31) and clean[61] == (None, None) and clean[62] == ("clean", 5)
 
 
+def added_spans(text, weights):
+    """Candidates by Python's own search, judged with the weights and dropped where a base span is."""
+    base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text)]
+    out = []
+    for kind, pattern in (("secret", pii.SECRET), ("national_id", pii.NATIONAL)):
+        for m in re.finditer(pattern, text) if re.search("[0-9]", text) else ():
+            hit, before = m[0], text[max(0, m.start() - pii.CONTEXT_CHARS) : m.start()]
+            share = sum(c in "0123456789" for c in hit) / len(hit)
+            marks = [kind == "national_id", len(hit) >= 32, share >= 0.25, share >= 0.6, bool(re.search("^[0-9a-fA-F-]+$", hit)), bool(re.search("[_-]", hit)), bool(re.search("[\"'=:]\\s*[\"']?$", before)), bool(re.search("[A-Za-z]{8,}", hit))]
+            if weights[-1] + sum(w for w, on in zip(weights, marks) if on) >= 0 and not any(a < m.end() and m.start() < b for a, b in base):
+                out.append((m.start(), len(PATTERNS) + (kind != "secret"), m.end(), kind))
+    return out
+
+
+def masked_text(text, spans):
+    out, at = [], 0
+    for start, _, end, kind in spans:
+        if start >= at:
+            out.append(text[at:start] + f"[{kind.upper()}]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_added_spans_by_hand(make, corpus):
+    rng = random.Random(13)
+    key = lambda n: "".join(rng.choice("abcdefABCDEF0123456789_") for _ in range(n))
+    bits = [lambda: f"token: {key(40)}", lambda: f"id {rng.randrange(100, 900)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", lambda: f"https://x.y/{key(22)}", lambda: "a.b@c.de", lambda: "plainword", lambda: "10.0.0.7", lambda: "é😀", lambda: "+44 20 7946 0958 12-3456789-01"]
+    texts = personal_texts()[len(EDGES) :][:100] + [" ".join(rng.choice(bits)() for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    texts += [" ".join(rng.choice(bits)() for _ in range(1500)), f"{key(30)} " * 700, "a@b.cd " * 3000 + key(30), "x" * 5000 + "é" * 3000 + f" {key(40)} 1.2.3.4"]
+    docs = make(texts)
+    weights = pii._classifier(docs)
+    wanted = {}
+    for i, t in enumerate(texts):
+        base = [(int(a), [n for n, _ in PATTERNS].index(k), int(b), k) for k, a, b in (s.split(":") for s in base_spans(t))]
+        wanted[i] = sorted(base + added_spans(t, weights))
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find(docs)).collect()}
+    assert found == {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k in s) for i, s in wanted.items()}
+    assert any(k == "secret" for s in wanted.values() for *_, k in s) and any(k == "national_id" for s in wanted.values() for *_, k in s)
+    assert {r.doc_id: r.text for r in pii.mask(docs).collect()} == {i: masked_text(t, wanted[i]) for i, t in enumerate(texts)}
+
+
 def test_empty_tables(make, spark):
     none = make([])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -417,6 +632,36 @@ def test_pipeline_stages(spark, corpus):
     assert all((masked[i] == t) for i, t in corpus if not re.search(r"[0-9]", t)) and not any(base_spans(t) for t in masked.values())
 
 
+def test_pipeline_stages_on_edges(spark, make):
+    """Null and repeated ids, clashing names, nulls, ties, long texts and empty tables, in every stage."""
+    stages = dict(corpus_pipeline.STAGES)
+    base = " ".join(f"w{i}" for i in range(60))
+    pairs = [*enumerate(EDGES), (100, base), (100, base), (101, base + " x"), (None, base), (None, "alone in the world"), (None, "alone in the world"), (102, "ab Cd"), (102, "AB cd"), (103, "a@b.cd " * 2)]
+    docs = make(pairs, extra=True).withColumns({c: F.lit("own") for c in ("kept_id", "kept_sha", "KEPT_ID_", "n", "a b", "row")})
+    out = {name: stages[name](spark, docs, SF) for name in ("toxicity", "exact_dedup", "near_dedup", "pii")}
+    assert all(o.columns == docs.columns for o in out.values())
+    exact = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in out["exact_dedup"].collect())
+    groups = collections.defaultdict(list)
+    for i, t in pairs:
+        groups[(t or "").translate(LOWER)].append(-1 if i is None else i)
+    assert sorted(i for i, _ in exact) == sorted(max(g) for g in groups.values()) and len(exact) == len(groups)
+    near = collections.Counter(r.doc_id for r in out["near_dedup"].collect())
+    assert near[100] == 2 and near[101] == 0 and near[None] == 3 and near[102] == 2
+    masked = {r.doc_id: r.text for r in out["pii"].collect()}
+    assert masked[103] == "[EMAIL] [EMAIL] " and masked[0] is None and masked[6] == EDGES[6] and out["pii"].count() == len(pairs)
+    assert out["toxicity"].count() <= len(pairs) and {r["a b"] for r in out["toxicity"].collect()} == {"own"}
+    packed = stages["packing"](spark, docs, SF)
+    assert packed.select("doc_id", "text_" if "text_" in packed.columns else "piece").count() >= len(pairs)
+    none = docs.limit(0)
+    assert [s(spark, none, SF).count() for s in stages.values()] == [0] * 5
+
+
 def test_pipeline_runs(spark):
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = {d for d in os.listdir(folder) if d.startswith("rdd-")}
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and "sequence_id" in out.columns
+    assert {d for d in os.listdir(folder) if d.startswith("rdd-")} <= before
+    assert [os.listdir(f"{folder}/{d}") for d in os.listdir(folder) if d.startswith("pipeline-")] == [["packing"]]

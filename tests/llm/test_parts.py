@@ -99,11 +99,12 @@ def test_plan_places_everything_once(seed):
 def test_word_tokens_equal_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     encode = WordTokens(path, cache=50)
     random.seed(4)
     alphabet = "aAbBeéÉêßΣσςİ'’st 0١²Ⅷ,.!?-_<|>\n\t\x1c\x85\xa0é日本語한😀ﬁ#"
     texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 40))) for _ in range(500)] + [t or "" for t in EDGES]
+    texts += ["".join(random.choice(["<|endoftext|>", "<|", "ENDOFTEXT|>", " ", "A", "\u0558", "\ua7cb", "\u0301", "\xa0"]) for _ in range(8)) for _ in range(300)]
+    texts += ["a".join(map(chr, range(c, c + 256))) for c in range(0, 0x32000, 256) if not 0xD800 <= c < 0xE000]
     for text in texts:
         assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
