@@ -18,13 +18,20 @@ ANSWER = "<|answer|>"
 ANSWER_KEYS = ("Major Product", "result", "answer", "By Product")
 #: Phrases that introduce a final answer after a blank line, in order (fixed values).
 ANSWER_PHRASES = ("final result", "The answer is", "Answer", "Thus, the answer is")
-_EDGES = r"(?U)^\s+|\s+$"
+#: The look-behind starts a run of white space once, which keeps the search linear.
+_END = r"(?U)(?<!\s)\s++$"
+_EDGES = r"(?U)^\s+|(?<!\s)\s++$"
 
 
 def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value, body) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text) -> Column:
     return F.regexp_replace(_c(text), _EDGES, "")
 
@@ -46,7 +53,8 @@ def word_set(text) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """|a and b| / |a or b| of two arrays of distinct elements; 0 if both are empty."""
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
+    share = lambda n: F.try_divide(n.cast("double"), (F.size(a) + F.size(b) - n).cast("double"))
+    return F.coalesce(bind(F.size(F.array_intersect(a, b)), share), F.lit(0.0))
 
 
 def length_score(text, lower: int, upper: int) -> Column:
@@ -80,36 +88,56 @@ def marker_parts(text) -> Column:
 
 
 def _with_markers(t: Column) -> Column:
-    i, j = F.locate(THINK, t), F.locate(ANSWER, t)
-    width = j - i - len(THINK)
-    reasoning = F.when(width > 0, strip(F.substring(t, i + len(THINK), F.greatest(width, F.lit(0))))).otherwise("")
-    return F.when((i > 0) & (j > 0), _pair(reasoning, strip(F.substring(t, j + len(ANSWER), F.length(t)))))
+    def parts(at: Column) -> Column:
+        i, j = at["i"], at["j"]
+        width = j - i - len(THINK)
+        reasoning = F.when(width > 0, strip(F.substring(t, i + len(THINK), F.greatest(width, F.lit(0))))).otherwise("")
+        return F.when((i > 0) & (j > 0), _pair(reasoning, strip(F.substring(t, j + len(ANSWER), F.length(t)))))
+
+    return bind(F.struct(F.locate(THINK, t).alias("i"), F.locate(ANSWER, t).alias("j")), parts)
 
 
 def _pair(reasoning: Column, answer: Column) -> Column:
     return F.struct(reasoning.alias("reasoning"), answer.alias("answer"))
 
 
+def _before(t: Column, found: Column) -> Column:
+    return strip(F.substring(t, F.lit(1), F.position(found, t) - 1))
+
+
 def _with_json(t: Column, key: str) -> Column:
     pattern = rf'\{{\s*"{key}"\s*:\s*"[^"]+"\s*\}}'
-    found = F.regexp_substr(t, F.lit(pattern))
-    value = F.try_variant_get(F.try_parse_json(found), f"$['{key}']", "string")
-    answer = F.to_json(F.create_map(F.lit(key), value))
-    return F.when(value.isNotNull(), _pair(strip(F.substring(t, F.lit(1), F.position(found, t) - 1)), answer))
+
+    def parts(found: Column) -> Column:
+        value = F.try_variant_get(F.try_parse_json(found), f"$['{key}']", "string")
+        return bind(value, lambda v: F.when(v.isNotNull(), _pair(_before(t, found), F.to_json(F.create_map(F.lit(key), v)))))
+
+    return F.when(t.contains(f'"{key}"'), bind(F.regexp_substr(t, F.lit(pattern)), parts))
 
 
 def _with_phrase(t: Column, phrase: str) -> Column:
     pattern = rf"(?isU)\n\n{phrase}\s*:?\s*(.+?)\s*$"
-    found = F.regexp_substr(t, F.lit(pattern))
-    return F.when(found.isNotNull(), _pair(strip(F.substring(t, F.lit(1), F.position(found, t) - 1)), strip(F.regexp_extract(t, pattern, 1))))
+
+    def parts(found: Column) -> Column:
+        return F.when(found.isNotNull(), _pair(_before(t, found), strip(F.regexp_extract(found, pattern, 1))))
+
+    return F.when(t.contains("\n\n"), bind(F.regexp_substr(t, F.lit(pattern)), parts))
+
+
+def last_line(text) -> Column:
+    """What follows the last line break, once white space at the end is off."""
+    return F.substring_index(F.regexp_replace(_c(text), _END, ""), "\n", -1)
 
 
 def _with_last_line(t: Column) -> Column:
     """The last line with text is the answer, what stands before it the reasoning."""
-    core = F.regexp_replace(t, r"(?U)\s+$", "")
-    answer = F.regexp_extract(core, r"[^\n]*$", 0)
-    head = F.substring(core, F.lit(1), F.length(core) - F.length(answer))
-    return F.when(t.contains("\n") & (core != ""), _pair(strip(head), strip(answer)))
+
+    def parts(core: Column) -> Column:
+        answer = F.substring_index(core, "\n", -1)
+        head = F.substring(core, F.lit(1), F.length(core) - F.length(answer))
+        return F.when(core != "", _pair(strip(head), strip(answer)))
+
+    return F.when(t.contains("\n"), bind(F.regexp_replace(t, _END, ""), parts))
 
 
 def reasoning_and_answer(text) -> Column:
@@ -117,9 +145,12 @@ def reasoning_and_answer(text) -> Column:
 
     Null gives two empty strings.
     """
-    t = _c(text)
-    ways = [_with_markers(t), *[_with_json(t, k) for k in ANSWER_KEYS[:3]], *[_with_phrase(t, p) for p in ANSWER_PHRASES], _with_last_line(t)]
-    return F.when(t.isNull(), _pair(F.lit(""), F.lit(""))).otherwise(F.coalesce(*ways, _pair(strip(t), F.lit(""))))
+
+    def parts(t: Column) -> Column:
+        ways = [_with_markers(t), *[_with_json(t, k) for k in ANSWER_KEYS[:3]], *[_with_phrase(t, p) for p in ANSWER_PHRASES], _with_last_line(t)]
+        return F.when(t.isNull(), _pair(F.lit(""), F.lit(""))).otherwise(F.coalesce(*ways, _pair(strip(t), F.lit(""))))
+
+    return bind(_c(text), parts)
 
 
 def combined(reasoning, answer) -> Column:
@@ -131,17 +162,23 @@ def clean_answer(text) -> Column:
 
     A JSON object without such a string stays as it is; null and empty give ''.
     """
-    bare = strip(F.regexp_replace(F.regexp_replace(_c(text), r"<\|think\|>", ""), r"<\|answer\|>", ""))
-    json = F.try_parse_json(bare)
-    is_object = F.coalesce(F.schema_of_variant(json).startswith("OBJECT"), F.lit(False))
 
-    def under(key: str) -> Column:
-        path = f"$['{key}']"
-        kind = F.schema_of_variant(F.try_variant_get(json, path, "variant"))
-        return F.when(kind == "STRING", strip(F.try_variant_get(json, path, "string")))
+    def cleaned(bare: Column) -> Column:
+        def of_json(json: Column) -> Column:
+            is_object = F.coalesce(F.schema_of_variant(json).startswith("OBJECT"), F.lit(False))
+
+            def under(key: str) -> Column:
+                path = f"$['{key}']"
+                kind = F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+                return F.when(kind == "STRING", strip(F.try_variant_get(json, path, "string")))
 
-    plain = squeeze(F.regexp_replace(bare, r"(?iU)^(final result|answer|the answer is)\s*:?\s*", ""))
-    return F.coalesce(F.when(is_object, F.coalesce(*[under(k) for k in ANSWER_KEYS], bare)).otherwise(plain), F.lit(""))
+            return F.when(is_object, F.coalesce(*[under(k) for k in ANSWER_KEYS], bare))
+
+        plain = squeeze(F.regexp_replace(bare, r"(?iU)^(final result|answer|the answer is)\s*:?\s*", ""))
+        return F.coalesce(F.when(bare.startswith("{"), bind(F.try_parse_json(bare), of_json)), plain, F.lit(""))
+
+    bare = F.replace(F.replace(_c(text), F.lit(THINK), F.lit("")), F.lit(ANSWER), F.lit(""))
+    return bind(strip(bare), cleaned)
 
 
 def exact_match(predicted, truth, strict: bool = True) -> Column:
@@ -164,9 +201,12 @@ def judge_score(text) -> Column:
 
 def first_number(text) -> Column:
     """The first decimal anywhere, else the first integer, without sign; null without either."""
-    t = _c(text)
-    part = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    return F.coalesce(part(r"(\d+\.\d+)"), part(r"(\d+)")).cast("double")
+
+    def found(t: Column) -> Column:
+        part = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
+        return F.coalesce(part(r"(\d+\.\d+)"), part(r"(\d+)")).cast("double")
+
+    return bind(_c(text), found)
 
 
 def bullets(text, fallback: bool = True) -> Column:

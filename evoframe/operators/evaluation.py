@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evoframe.functions.text import first_number, jaccard, strip, word_set
+from evoframe.functions.text import bind, first_number, jaccard, last_line, strip, word_set
 
 #: Answers that mean no where neither 'true' nor 'false' stands (fixed values).
 NEGATIVE = ("no", "none", "0")
 
 
+#: Ways an answer is announced, in order (fixed values).
+ANSWER_MARKED = r"(?s)\[ANSWER_START\](.*?)\[ANSWER_END\]"
+ANSWER_FORMS = (r"(?i)(?:Final )?answer:\s*(.*?)(?:\n|$)", r"(?i)answer\s+(?:is\s+)?:\s*(.*?)(?:\n|$)")
+
+
 def task_answer(text: Column) -> Column:
-    """The answer in a reply: between answer markers, after 'answer:', after 'answer is:', else the last line with text."""
-    marked = F.regexp_extract(text, r"(?s)\[ANSWER_START\](.*?)\[ANSWER_END\]", 1)
-    forms = [r"(?i)(?:Final )?answer:\s*(.*?)(?:\n|$)", r"(?i)answer\s+(?:is\s+)?:\s*(.*?)(?:\n|$)"]
-    core = F.regexp_replace(text, r"(?U)\s+$", "")
-    ways = [F.when(text.rlike(r"(?s)\[ANSWER_START\].*?\[ANSWER_END\]"), strip(marked))]
-    ways += [F.when(text.rlike(form), strip(F.regexp_extract(text, form, 1))) for form in forms]
-    return F.coalesce(*ways, strip(F.regexp_extract(core, r"[^\n]*$", 0)), F.lit(""))
+    """The answer in a reply: between answer markers, after 'answer:', after 'answer is:', else the last line with text.
+
+    'Answer' counts with a capital as well.
+    """
+
+    def parts(t: Column) -> Column:
+        ways = [F.when(t.contains("[ANSWER_START]") & t.rlike(ANSWER_MARKED), strip(F.regexp_extract(t, ANSWER_MARKED, 1)))]
+        ways += [F.when(t.rlike(form), strip(F.regexp_extract(t, form, 1))) for form in ANSWER_FORMS]
+        return F.coalesce(*ways, strip(last_line(t)), F.lit(""))
+
+    return bind(text, parts)
 
 
 def _result(exact: Column, accuracy: Column) -> Column:
@@ -27,25 +36,38 @@ def _result(exact: Column, accuracy: Column) -> Column:
 
 def error_recognition(prediction: Column, truth: Column) -> Column:
     """struct<exact_match,accuracy> of a yes-or-no reply against a boolean."""
-    answer = F.lower(task_answer(prediction))
-    said = F.when(answer.contains("true"), True).when(answer.contains("false"), False).otherwise((answer != "") & ~answer.isin(*NEGATIVE))
-    return _result(said == truth, F.when(said == truth, 1.0).otherwise(0.0))
+
+    def judged(answer: Column) -> Column:
+        said = F.when(answer.contains("true"), True).when(answer.contains("false"), False).otherwise((answer != "") & ~answer.isin(*NEGATIVE))
+        return _result(said == truth, F.when(said == truth, 1.0).otherwise(0.0))
+
+    return bind(F.lower(task_answer(prediction)), judged)
 
 
 def question_answer(prediction: Column, truth: Column) -> Column:
     """struct<exact_match,accuracy>: equal 1, contained 0.9, else word overlap, which is exact above 0.8."""
-    said, true = F.lower(strip(task_answer(prediction))), F.lower(strip(truth))
-    a, b = word_set(true), word_set(said)
-    overlap = F.when((F.size(a) > 0) & (F.size(b) > 0), jaccard(a, b)).otherwise(0.0)
-    return _result((said == true) | said.contains(true) | (overlap > 0.8), F.when(said == true, 1.0).when(said.contains(true), 0.9).otherwise(overlap))
+
+    def judged(x: Column) -> Column:
+        said, true = x["said"], x["true"]
+        return bind(_overlap(word_set(true), word_set(said)), lambda o: _result((said == true) | said.contains(true) | (o > 0.8), F.when(said == true, 1.0).when(said.contains(true), 0.9).otherwise(o)))
+
+    return bind(F.struct(F.lower(task_answer(prediction)).alias("said"), F.lower(strip(truth)).alias("true")), judged)
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """The Jaccard index of two word sets, 0 if one is empty."""
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), jaccard(x["a"], x["b"])).otherwise(0.0))
 
 
 def confidence(answer: Column) -> Column:
     """struct<answer,confidence>: 'text & 80' and 'text 80' give 0.8; other answers none."""
     forms = [r"(?s)^(.*?)\s*&\s*(\d+)", r"(?s)^(.*?)\s+(\d+)$"]
-    t = strip(answer)
-    form = lambda p: F.when(t.rlike(p), F.struct(strip(F.regexp_extract(t, p, 1)).alias("answer"), (F.regexp_extract(t, p, 2).try_cast("double") / 100).alias("confidence")))
-    return F.coalesce(*map(form, forms), F.struct(t.alias("answer"), F.lit(None).cast("double").alias("confidence")))
+
+    def parts(t: Column) -> Column:
+        form = lambda p: F.when(t.rlike(p), F.struct(strip(F.regexp_extract(t, p, 1)).alias("answer"), (F.regexp_extract(t, p, 2).try_cast("double") / 100).alias("confidence")))
+        return F.coalesce(*map(form, forms), F.struct(t.alias("answer"), F.lit(None).cast("double").alias("confidence")))
+
+    return bind(strip(answer), parts)
 
 
 def ordering(prediction: Column, correct: Column, wrong: Column | None = None) -> Column:
@@ -71,39 +93,90 @@ def ordering(prediction: Column, correct: Column, wrong: Column | None = None) -
 
 def generation_overlap(prediction: Column, truth: Column) -> Column:
     """Overlap score of generated text: 1 for equal texts, else the Jaccard index of their words."""
-    a, b = F.lower(strip(prediction)), F.lower(strip(truth))
-    p, g = word_set(a), word_set(b)
-    return F.when(a == b, 1.0).when((F.size(p) > 0) & (F.size(g) > 0), jaccard(p, g)).otherwise(0.0)
+    both = F.struct(F.lower(strip(prediction)).alias("a"), F.lower(strip(truth)).alias("b"))
+    return bind(both, lambda x: F.when(x["a"] == x["b"], 1.0).otherwise(_overlap(_words(x["a"]), _words(x["b"]))))
+
+
+def _words(lowered: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(lowered, r"(?U)\s+"), lambda w: w != ""))
+
+
+def _tokens(text: Column) -> Column:
+    """Lower-case words and single marks of punctuation, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
+
+
+def sentence_bleu(prediction: Column, truth: Column) -> Column:
+    """BLEU of one reply against one truth over words and word pairs, equally weighted, with a brevity penalty.
+
+    Clipped precisions; a precision without a hit counts as 0.1 hits, and 0 hits among
+    single words give 0, as in the first smoothing of Chen and Cherry (2014). Tokens are
+    words and marks of punctuation. Texts without tokens score 0, null gives null.
+    """
+
+    def counted(x: Column, n: int) -> Column:
+        grams = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+        def clipped(g: Column) -> Column:
+            times = lambda all_, w: F.size(F.filter(all_, lambda v: v == w))
+            return F.aggregate(F.array_distinct(g["p"]), F.lit(0), lambda total, w: total + F.least(times(g["p"], w), times(g["g"], w)))
+
+        return bind(F.struct(grams(x["p"]).alias("p"), grams(x["g"]).alias("g")), lambda g: F.struct(clipped(g).alias("hits"), F.greatest(F.size(g["p"]), F.lit(1)).alias("of")))
+
+    def scored(x: Column) -> Column:
+        precision = lambda c: F.when(c["hits"] > 0, c["hits"]).otherwise(0.1) / c["of"]
+        brevity = F.when(F.size(x["p"]) > F.size(x["g"]), 1.0).otherwise(F.exp(1 - F.size(x["g"]) / F.size(x["p"])))
+        both = F.struct(counted(x, 1).alias("one"), counted(x, 2).alias("two"))
+        return F.when(F.size(x["p"]) == 0, 0.0).otherwise(bind(both, lambda c: F.when(c["one"]["hits"] == 0, 0.0).otherwise(brevity * F.sqrt(precision(c["one"]) * precision(c["two"])))))
+
+    return F.when(prediction.isNotNull() & truth.isNotNull(), bind(F.struct(_tokens(prediction).alias("p"), _tokens(truth).alias("g")), scored))
+
+
+def generation(prediction: Column, truth: Column) -> Column:
+    """struct<exact_match,accuracy> of generated text: equal once stripped, and its BLEU."""
+    return _result(strip(prediction) == strip(truth), sentence_bleu(prediction, truth))
+
+
+def _numbers(prediction: Column, truth: Column, body) -> Column:
+    return bind(F.struct(first_number(prediction).alias("p"), truth.alias("g")), lambda x: body(x["p"], x["g"]))
 
 
 def molecular_weight(prediction: Column, truth: Column, tolerance: float = 0.01) -> Column:
     """struct<exact_match,accuracy,error>: relative error within the tolerance, bound included."""
-    p, g = first_number(prediction), F.coalesce(first_number(truth), truth.try_cast("double"))
-    error = F.when(p.isNull(), "no number in the prediction").when(g.isNull(), "no number in the truth")
-    off = F.when(g == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.abs(p - g), g))
-    return F.struct(F.when(error.isNull(), off <= tolerance).otherwise(False).alias("exact_match"), F.when(error.isNull(), F.greatest(F.lit(0.0), 1 - off)).otherwise(0.0).alias("accuracy"), error.alias("error"))
+
+    def judged(p: Column, g: Column) -> Column:
+        error = F.when(p.isNull(), "no number in the prediction").when(g.isNull(), "no number in the truth")
+        off = F.when(g == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.abs(p - g), g))
+        return F.struct(F.when(error.isNull(), off <= tolerance).otherwise(False).alias("exact_match"), F.when(error.isNull(), F.greatest(F.lit(0.0), 1 - off)).otherwise(0.0).alias("accuracy"), error.alias("error"))
+
+    return _numbers(prediction, F.coalesce(first_number(truth), truth.try_cast("double")), judged)
 
 
 def property_value(prediction: Column, truth: Column) -> Column:
     """struct<exact_match,accuracy,error>: relative error below 5 percent; a truth of 0 asks for equality."""
-    p, g = first_number(prediction), first_number(truth)
-    error = F.when(p.isNull(), "no number in the prediction").when(g.isNull(), "no number in the truth")
-    off = F.try_divide(F.abs(p - g), g)
-    exact = F.when(g == 0, p == 0).otherwise(off < 0.05)
-    share = F.when(g == 0, F.when(p == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - off))
-    return F.struct(F.when(error.isNull(), exact).otherwise(False).alias("exact_match"), F.when(error.isNull(), share).otherwise(0.0).alias("accuracy"), error.alias("error"))
+
+    def judged(p: Column, g: Column) -> Column:
+        error = F.when(p.isNull(), "no number in the prediction").when(g.isNull(), "no number in the truth")
+        off = F.try_divide(F.abs(p - g), g)
+        exact = F.when(g == 0, p == 0).otherwise(off < 0.05)
+        share = F.when(g == 0, F.when(p == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - off))
+        return F.struct(F.when(error.isNull(), exact).otherwise(False).alias("exact_match"), F.when(error.isNull(), share).otherwise(0.0).alias("accuracy"), error.alias("error"))
+
+    return _numbers(prediction, first_number(truth), judged)
 
 
 def general_chemistry(prediction: Column, truth: Column) -> Column:
     """struct<exact_match,accuracy>: by number where both have one, else equal 1, one within the other 0.8."""
-    p, g = first_number(prediction), first_number(truth)
-    a, b = F.lower(strip(prediction)), F.lower(strip(truth))
-    off = F.try_divide(F.abs(p - g), F.abs(g))
-    numeric = p.isNotNull() & g.isNotNull()
-    within = a.contains(b) | b.contains(a)
-    exact = F.when(numeric, F.when(g == 0, p == g).otherwise(off < 0.05)).otherwise((a == b) | within)
-    share = F.when(numeric, F.when(g == 0, F.when(p == g, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - off))).otherwise(F.when(a == b, 1.0).when(within, 0.8).otherwise(0.0))
-    return _result(exact, share)
+
+    def judged(p: Column, g: Column) -> Column:
+        a, b = F.lower(strip(prediction)), F.lower(strip(truth))
+        off = F.try_divide(F.abs(p - g), F.abs(g))
+        within = a.contains(b) | b.contains(a)
+        by_number = _result(F.when(g == 0, p == g).otherwise(off < 0.05), F.when(g == 0, F.when(p == g, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - off)))
+        by_text = _result((a == b) | within, F.when(a == b, 1.0).when(within, 0.8).otherwise(0.0))
+        return F.when(p.isNotNull() & g.isNotNull(), by_number).otherwise(by_text)
+
+    return _numbers(prediction, first_number(truth), judged)
 
 
 def molecule_edit(prediction: Column, truth: Column, strict: bool = False) -> Column:
@@ -146,12 +219,27 @@ def classification(results: DataFrame, predicted: str = "predicted", truth: str
 def kendall_tau_b(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """key, tau: Kendall's tau-b of the (x, y) rows of each key; null where one side has no spread.
 
-    All pairs of one ranking's own items, which a ranking bounds, meet by their key.
+    Rows with a null x or y don't count; keys with fewer than two others give no row.
+    Discordant pairs are inversions of y in the order of x. Two ranks differ first in some
+    bit, so each bit adds, for every rank without it, the earlier ranks that have it and
+    share the higher bits: n log n rows and a running sum, which spills, instead of all pairs.
     """
-    rows = pairs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
-    lists = rows.groupBy("k").agg(F.collect_list(F.struct("x", "y")).alias("items"))
-    lists = lists.select("k", "items", F.posexplode("items").alias("i", "a"))
-    rest = lists.select("k", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
-    dx, dy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    sums = rest.groupBy("k").agg(F.sum(dx * dy).alias("s"), F.sum(dx * dx).alias("nx"), F.sum(dy * dy).alias("ny"))
-    return sums.select(F.col("k").alias(key), F.round(F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))), 6).alias("tau"))
+    rows = pairs.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    tied = lambda *by: rows.groupBy("k", *by).agg(F.count("*").alias("t")).groupBy("k").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("_".join(("ties", *by))))
+    ranked = rows.select("k", "x", (F.dense_rank().over(Window.partitionBy("k").orderBy("y")) - 1).alias("rank"))
+    ranked = ranked.withColumn("bits", F.length(F.bin(F.max("rank").over(Window.partitionBy("k")).cast("long"))))
+    bits = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    set_, above = F.expr("shiftright(rank, bit) & 1"), F.expr("shiftright(rank, bit + 1)")
+    bits = bits.select("k", "x", "rank", "bit", set_.alias("one"), above.alias("above"))
+    earlier = Window.partitionBy("k", "bit", "above").orderBy("x", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bits = bits.withColumn("before", F.sum("one").over(earlier))
+    inverted = bits.groupBy("k").agg(F.sum(F.when(F.col("one") == 0, F.col("before")).otherwise(0)).alias("discordant"))
+    sums = tied().join(tied("x"), "k").join(tied("y"), "k").join(tied("x", "y"), "k").join(inverted, "k").where("ties > 0")
+    nx, ny = F.col("ties") - F.col("ties_x"), F.col("ties") - F.col("ties_y")
+    concordant = nx - F.col("ties_y") + F.col("ties_x_y") - F.col("discordant")
+    return sums.select(F.col("k").alias(key), F.round(F.try_divide(concordant - F.col("discordant"), F.sqrt(nx * ny)), 6).alias("tau"))
+
+
+def mean_kendall_tau(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """One row: tau, the mean over keys with one; 0 without any."""
+    return kendall_tau_b(pairs, key, x, y).agg(F.round(F.coalesce(F.avg("tau"), F.lit(0.0)), 6).alias("tau"))

@@ -75,8 +75,50 @@ def crossover_route(u: Column, exact_match: Column, probability: float) -> Colum
 def parent_pairs(front: DataFrame, population: DataFrame, n: int, seed: int, epsilon: float = 0.1) -> DataFrame:
     """sample_id, slot, target_id, provider_id: targets drawn by weight, providers uniformly from the whole population."""
     targets = with_replacement(front, n, seed, epsilon).withColumnRenamed("id", "target_id")
+    return with_providers(targets, population, seed + 1)
+
+
+def parents(scored: DataFrame, front: DataFrame, n: int, seed: int, epsilon: float = 0.1) -> DataFrame:
+    """n parents of each population: sample_id, slot, id, weight.
+
+    A population of n rows or fewer gives all of them, in order and without weight. Else
+    parents are drawn from its front with replacement, by local competition; where the
+    front is empty, n different members are drawn uniformly. Weight is the row's local
+    competition, null if it has none.
+    """
+    every = Window.partitionBy("sample_id")
+    rows = scored.select("sample_id", "id", "pos", "local_competition").withColumn("_size", F.count("*").over(every))
+    small = rows.where(F.col("_size") <= n).withColumn("slot", (F.row_number().over(every.orderBy("pos")) - 1).cast("int"))
+    small = small.select("sample_id", "slot", "id", F.lit(None).cast("double").alias("weight"))
+    large = rows.where(F.col("_size") > n)
+    fronted = front.join(large.select("sample_id").distinct(), "sample_id", "left_semi")
+    drawn = with_replacement(fronted, n, seed, epsilon)
+    drawn = drawn.join(rows.select("sample_id", "id", F.col("local_competition").alias("weight")).dropDuplicates(["sample_id", "id"]), ["sample_id", "id"]).select("sample_id", "slot", "id", "weight")
+    rest = large.join(fronted.select("sample_id").distinct(), "sample_id", "left_anti")
+    order = every.orderBy(uniform(seed, "sample_id", "id"), "id", "pos")
+    rest = rest.withColumn("slot", (F.row_number().over(order) - 1).cast("int")).where(F.col("slot") < n).select("sample_id", "slot", "id", F.col("local_competition").alias("weight"))
+    return small.unionByName(drawn).unionByName(rest)
+
+
+def offspring_pairs(chosen: DataFrame, population: DataFrame, n: int, seed: int, epsilon: float = 0.1) -> DataFrame:
+    """sample_id, slot, target_id, provider_id: n targets drawn among the parents, providers uniformly from everyone.
+
+    Targets are drawn by weight if the first parent has one, else uniformly; a parent that
+    was drawn twice counts twice. Providers may equal their targets.
+    """
+    first = F.first("weight").over(Window.partitionBy("sample_id").orderBy("slot"))
+    rows = chosen.withColumn("_first", first).withColumn("pos", F.col("slot").cast("long"))
+    rows = rows.withColumn("weight", F.when(F.col("_first").isNotNull(), F.col("weight")).otherwise(F.lit(0.0)))
+    rows = rows.select("sample_id", F.col("slot").cast("long").alias("id"), "pos", "weight", F.col("id").alias("target_id"))
+    drawn = with_replacement(rows, n, seed, epsilon, "weight").withColumnRenamed("id", "_parent")
+    targets = drawn.join(rows.select("sample_id", F.col("id").alias("_parent"), "target_id"), ["sample_id", "_parent"])
+    return with_providers(targets.select("sample_id", "slot", "target_id"), population, seed + 1)
+
+
+def with_providers(targets: DataFrame, population: DataFrame, seed: int) -> DataFrame:
+    """sample_id, slot, target_id, provider_id: to each slot a member of its population, drawn uniformly."""
     order = Window.partitionBy("sample_id").orderBy("pos")
     numbered = population.select("sample_id", F.col("id").alias("provider_id"), (F.row_number().over(order) - 1).alias("_nth"))
     sizes = population.groupBy("sample_id").agg(F.count("*").alias("_n"))
-    pick = F.floor(uniform(seed + 1, "sample_id", "slot") * F.col("_n")).cast("int")
+    pick = F.floor(uniform(seed, "sample_id", "slot") * F.col("_n")).cast("int")
     return targets.join(sizes, "sample_id").withColumn("_nth", pick).join(numbered, ["sample_id", "_nth"]).select("sample_id", "slot", "target_id", "provider_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Length bounds of a dataset that names none (fixed values).
@@ -81,12 +81,14 @@ def read_samples(spark: SparkSession, path: str, max_samples: int = -1, lines: b
 
     Rows count towards ``max_samples`` before those without a query key are dropped, so
     fewer may return; 0 returns none and a negative number all. An array is one file's
-    single value; large datasets come as lines, which Spark splits.
+    single value and as such bound by Spark's largest variant (128 MB); larger datasets
+    come as lines, which Spark splits.
     """
     if lines:
         parsed = spark.read.text(path).select(F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
-        numbered = parsed.withColumn("_at", F.monotonically_increasing_id())
-        rows = numbered.withColumn("pos", (F.row_number().over(Window.orderBy("_at")) - 1).cast("long")) if max_samples >= 0 else numbered.withColumn("pos", F.col("_at"))
+        # A limit without an order takes the first rows of the first partitions, so only those are numbered together.
+        first = parsed.limit(max_samples) if max_samples >= 0 else parsed
+        rows = first.withColumn("pos", F.monotonically_increasing_id())
     else:
         whole = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("j"))
         whole.createOrReplaceTempView("_evoframe_samples")
