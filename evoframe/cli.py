@@ -5,16 +5,17 @@ from __future__ import annotations
 import argparse
 import json
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evoframe.config import config_from_file, models_from_file
 from evoframe.functions.text import combined, truncated, word_count
 from evoframe.operators.population import run_summary
-from evoframe.plans.evolve import EvolutionConfig, evolve
+from evoframe.plans.evolve import evolve
 from evoframe.session import cut, local_session
 from evoframe.sources.datasets import Catalog, write_results
+from evoframe.sources.models import offline_generate
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,22 +24,16 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--catalog", default="config/datasets.json", help="JSON or YAML file that names datasets")
     out.add_argument("--max-samples", type=int, default=-1)
     out.add_argument("--config", help="JSON file of evolution parameters, under 'evolution' or at its root")
+    out.add_argument("--models", help="JSON or YAML catalog of models; without it the offline ones")
+    out.add_argument("--use-knowledge-judge", action="store_true", help="let the first model rate the use of knowledge")
+    out.add_argument("--lambda-knowledge", type=float, help="weight of that rating, if not the configuration's")
+    out.add_argument("--resume", action="store_true", help="go on from the last complete generation")
     out.add_argument("--split", choices=("train", "test"), default="train")
     out.add_argument("--output-dir", default="outputs")
     out.add_argument("--lambda-length", type=float, help="weight of the length score, if not the configuration's")
     return out
 
 
-def load_config(path: str | None, **changes) -> EvolutionConfig:
-    held = json.loads(Path(path).read_text(encoding="utf-8")) if path else {}
-    held = held.get("evolution", held)
-    if "modes" in held:
-        held["modes"] = tuple(held["modes"].items())
-    if "length_bounds" in held:
-        held["length_bounds"] = tuple(held["length_bounds"])
-    return EvolutionConfig(**(held | {k: v for k, v in changes.items() if v is not None}))
-
-
 def result_rows(samples: DataFrame, best: DataFrame) -> DataFrame:
     """One row a sample: its best trajectory, or status 'error' where nothing was evaluated."""
     found = best.select(F.col("sample_id").alias("id"), F.col("answer").alias("best_answer"), "reasoning", "fitness", "source_model", "generation_method")
@@ -67,8 +62,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         catalog = Catalog.from_file(options.catalog)
         dataset = catalog.get(options.dataset)
         samples = cut(catalog.load(spark, options.dataset, options.max_samples, options.split))
-        config = load_config(options.config, length_bounds=dataset.percentiles, weight_length=options.lambda_length)
-        best, history = evolve(samples, config)
+        config = config_from_file(options.config, length_bounds=dataset.percentiles, weight_length=options.lambda_length, weight_knowledge=options.lambda_knowledge)
+        models = models_from_file(options.models) if options.models else None
+        send = models or offline_generate
+        judge = (models.get(models.names()[0]) if models else offline_generate) if options.use_knowledge_judge else None
+        state = f"{options.output_dir}/{options.dataset}/state"
+        best, history = evolve(samples, config, send, snapshots=state, judge=judge, events=f"{options.output_dir}/{options.dataset}/events", resume=options.resume)
         results = cut(result_rows(samples, best))
         write_results(results, f"{options.output_dir}/{options.dataset}/results")
         history.write.mode("overwrite").json(f"{options.output_dir}/{options.dataset}/history")

@@ -153,6 +153,21 @@ def reasoning_and_answer(text) -> Column:
     return bind(_c(text), parts)
 
 
+def seed_pair(response, model) -> Column:
+    """struct<reasoning,answer,model> of a dataset's reply; all null where it has no reasoning, 'unknown' for no model."""
+    named = F.coalesce(_c(model), F.lit("unknown"))
+    return bind(reasoning_and_answer(response), lambda p: F.struct(*[F.when(p["reasoning"] != "", x).alias(n) for n, x in (("reasoning", p["reasoning"]), ("answer", p["answer"]), ("model", named))]))
+
+
+def final_result(answer) -> Column:
+    """An answer behind the markers, a JSON object in its plain written form."""
+
+    def written(x: Column) -> Column:
+        return bind(F.try_parse_json(x), lambda v: F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), F.to_json(v)).otherwise(x))
+
+    return combined(F.lit("Your reasoning goes here"), bind(_c(answer), written))
+
+
 def combined(reasoning, answer) -> Column:
     return F.concat(F.lit(THINK + "\n"), _c(reasoning), F.lit("\n" + ANSWER + "\n"), _c(answer))
 

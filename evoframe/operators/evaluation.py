@@ -192,6 +192,60 @@ def molecule_edit(prediction: Column, truth: Column, strict: bool = False) -> Co
     return F.struct(valid.alias("valid"), exact.alias("exact_match"), F.when(exact, 1.0).otherwise(0.0).alias("accuracy"), F.lit(0.0).alias("similarity"))
 
 
+#: Symbols of atoms in line notation by the name of their group; rings and hydrogens cannot be counted in text (fixed values).
+ATOMS = {"carbon": "C|c", "nitrogen": "N|n", "oxygen": "O|o", "fluorine": "F", "phosphorus": "P|p", "sulfur": "S|s", "chlorine": "Cl", "bromine": "Br", "iodine": "I", "boron": "B|b", "silicon": "Si", "selenium": "Se|se"}
+#: One atom: two letters before one, as 'Cl' is no carbon (fixed pattern).
+ATOM = "(Cl|Br|Si|Se|se|[BCNOPSFIbcnops])"
+
+
+def group_count(structure: Column, group: str) -> Column:
+    """Atoms of a named group in a line-notation structure; null for other groups and for null or empty structures."""
+    if group not in ATOMS:
+        return F.lit(None).cast("int")
+    own = ATOMS[group].split("|")
+    atoms = F.regexp_extract_all(structure, F.lit(ATOM), F.lit(1))
+    return F.when(strip(structure) != "", F.size(F.filter(atoms, lambda a: a.isin(*own))))
+
+
+def edit_check(source: Column, target: Column, added: str | None = None, removed: str | None = None) -> Column:
+    """Whether an edit has one atom more of ``added`` and one less of ``removed``, as far as they are named.
+
+    False where a group cannot be counted, and without a named group.
+    """
+    checks = [group_count(target, g) == group_count(source, g) + d for g, d in ((added, 1), (removed, -1)) if g is not None]
+    met = F.lit(bool(checks))
+    for check in checks:
+        met = met & F.coalesce(check, F.lit(False))
+    return met
+
+
+def evaluated(task: Column, prediction: Column, truth: Column) -> Column:
+    """struct<exact_match,accuracy,error> by task: ERR, PQA, ORD or GEN in any case; others are an error.
+
+    ``truth`` is text: true or false for ERR, an object with correct_steps and wrong_steps
+    for ORD.
+    """
+    kind = F.upper(task)
+    steps = F.from_json(truth, "correct_steps array<int>, wrong_steps array<int>")
+    both = lambda m: F.struct(m["exact_match"].alias("exact_match"), m["accuracy"].alias("accuracy"), F.lit(None).cast("string").alias("error"))
+    correct = F.coalesce(steps["correct_steps"], F.array().cast("array<int>"))
+    return (
+        F.when(kind == "ERR", bind(error_recognition(prediction, truth.try_cast("boolean")), both))
+        .when(kind == "PQA", bind(question_answer(prediction, truth), both))
+        .when(kind == "ORD", F.when(F.size(steps["wrong_steps"]) > 0, ordering(prediction, correct, steps["wrong_steps"])).otherwise(ordering(prediction, correct)))
+        .when(kind == "GEN", bind(generation(prediction, truth), both))
+        .otherwise(F.struct(F.lit(False).alias("exact_match"), F.lit(0.0).alias("accuracy"), F.concat(F.lit("unknown task type: "), F.coalesce(kind, F.lit(""))).alias("error")))
+    )
+
+
+def evaluated_batch(predictions: DataFrame, truths: DataFrame, key: str = "id") -> DataFrame:
+    """key, task, exact_match, accuracy, error of every prediction met with its truth by key; one without the other is an error row."""
+    rows = predictions.select(key, "prediction").join(truths.select(key, "task", "truth"), key, "full")
+    alone = F.when(F.col("task").isNull(), "no truth").when(F.col("prediction").isNull(), "no prediction")
+    judged = rows.select(key, "task", alone.alias("_alone"), evaluated(F.col("task"), F.col("prediction"), F.col("truth")).alias("m"))
+    return judged.select(key, "task", F.when(F.col("_alone").isNull(), F.col("m.exact_match")).otherwise(False).alias("exact_match"), F.when(F.col("_alone").isNull(), F.col("m.accuracy")).otherwise(0.0).alias("accuracy"), F.coalesce("_alone", "m.error").alias("error"))
+
+
 def longest_structure(text: Column) -> Column:
     """The longest line-notation structure in a text, the first of equals; null without any."""
     forms = [r"([CNOcnoFfPSpsBbBr?Ii][A-Za-z0-9@+\-\[\]\(\)\\=#$]+)", r"([CNOcno].{0,100})"]

@@ -127,3 +127,20 @@ def run_summary(results: DataFrame) -> DataFrame:
 def length_percentiles(texts: DataFrame, words: Column, low: float = 0.15, high: float = 0.85) -> DataFrame:
     """One row: the word counts at two percentiles."""
     return texts.select(words.alias("w")).agg(F.percentile("w", low).alias("p_low"), F.percentile("w", high).alias("p_high"))
+
+
+def without_row(traj: DataFrame, sample_id, id_) -> DataFrame:
+    """A population without the first row that has an id; others of that id stay."""
+    nth = F.row_number().over(Window.partitionBy("sample_id", "id").orderBy("pos"))
+    gone = (F.col("sample_id") == F.lit(sample_id)) & (F.col("id") == F.lit(id_)) & (F.col("_nth") == 1)
+    return traj.withColumn("_nth", nth).where(~F.coalesce(gone, F.lit(False))).drop("_nth")
+
+
+def needing_embedding(traj: DataFrame) -> DataFrame:
+    """Rows that have no embedding yet."""
+    return traj.where("embedding IS NULL")
+
+
+def operation_counts(children: DataFrame) -> DataFrame:
+    """Per kind of variation: how many were tried and how many gave a row."""
+    return children.groupBy("generation_method").agg(F.count("*").alias("tried"), F.count_if(~F.coalesce("failed", F.lit(False))).alias("successful"))

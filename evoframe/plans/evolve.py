@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoframe.functions.draws import uniform
-from evoframe.functions.text import exact_match, fitness, length_score, reasoning_and_answer, trajectory_id
+from evoframe.functions.text import exact_match, fitness, judge_score, length_score, reasoning_and_answer, trajectory_id
 from evoframe.operators import population as P
 from evoframe.operators import sampling as S
 from evoframe.operators import selection as N
+from evoframe.plans.variation import judge_prompt, varied
 from evoframe.session import cut
-from evoframe.sources.datasets import save_population
-from evoframe.sources.models import Embed, Generate, embedded, generated, offline_embed, offline_generate
+from evoframe.sources.datasets import load_state, log_events, save_state
+from evoframe.sources.models import Embed, Generate, Registry, embedded, generated, offline_embed, offline_generate
 
 MODES = (("add", 0.33), ("delete", 0.33), ("innovate", 0.34))
 
@@ -37,6 +38,7 @@ class EvolutionConfig:
     threshold: float = 1.8
     length_bounds: tuple[int, int] = (1000, 4000)
     weight_length: float = 0.3
+    weight_knowledge: float = 0.5
     modes: tuple[tuple[str, float], ...] = MODES
     seed: int = 42
 
@@ -66,78 +68,133 @@ def _parsed(rows: DataFrame, method: str | None = None) -> DataFrame:
     return named.withColumn("id", trajectory_id("query", "reasoning", "source_model")).drop("p", "output", "error", "prompt")
 
 
-def initial_pool(samples: DataFrame, config: EvolutionConfig, generate: Generate, model: str = "offline") -> DataFrame:
+def _operators(rows: DataFrame, generate: Generate | Registry) -> DataFrame:
+    """rows with ``operator``, the name of the model that varies them."""
+    named = generate.operator_for(F.col("source_model")) if isinstance(generate, Registry) else F.col("source_model")
+    return rows.withColumn("operator", named)
+
+
+def initial_pool(samples: DataFrame, config: EvolutionConfig, generate: Generate | Registry, model: str = "offline") -> DataFrame:
     """``population`` draws a sample: plain ones first, then ones whose prompt holds the sample's knowledge."""
     slots = samples.select(F.col("id").alias("sample_id"), F.coalesce("query", F.lit("")).alias("query"), F.col("answer").alias("truth"), "knowledge").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.population - 1).cast("long"))))
     informed = (F.col("pos") >= config.vanilla) & F.col("knowledge").isNotNull()
     ask = F.concat(F.lit("Question:\n"), "query", F.when(informed, F.concat(F.lit("\nKnowledge:\n"), "knowledge")).otherwise(""), F.lit("\nDraw "), F.col("pos").cast("string"))
-    rows = slots.withColumn("prompt", ask).withColumn("source_model", F.lit(model)).withColumn("generation_method", F.when(informed, "knowledge_augmented").otherwise("vanilla"))
-    blank = {"fitness": "double", "exact_match": "boolean", "length_score": "double"}
-    return _parsed(generated(rows, "prompt", generate)).withColumns({k: F.lit(None).cast(t) for k, t in blank.items()})
+    thinker = generate.thinker_for(uniform(config.seed, "sample_id", "pos")) if isinstance(generate, Registry) else F.lit(model)
+    rows = slots.withColumn("prompt", ask).withColumn("source_model", thinker).withColumn("generation_method", F.when(informed, "knowledge_augmented").otherwise("vanilla"))
+    blank = {"fitness": "double", "exact_match": "boolean", "length_score": "double", "knowledge_score": "int", "embedding": "array<float>"}
+    return _parsed(generated(rows, "prompt", generate, model="source_model")).withColumns({k: F.lit(None).cast(t) for k, t in blank.items()})
 
 
-def evaluated(traj: DataFrame, config: EvolutionConfig) -> DataFrame:
-    """Rows without fitness get exact match, length score and fitness; others stay."""
+def evaluated(traj: DataFrame, config: EvolutionConfig, judge: Generate | None = None) -> DataFrame:
+    """Rows without fitness get exact match, length score, with a judge a knowledge score, and fitness; others stay."""
     new = F.col("fitness").isNull()
     rows = traj.withColumn("exact_match", F.when(new, exact_match("answer", "truth")).otherwise(F.col("exact_match")))
     rows = rows.withColumn("length_score", F.when(new, length_score("reasoning", *config.length_bounds)).otherwise(F.col("length_score")))
-    return rows.withColumn("fitness", F.when(new, F.round(fitness("exact_match", "length_score", F.lit(None).cast("double"), config.weight_length), 6)).otherwise(F.col("fitness")))
+    if "knowledge_score" not in rows.columns:
+        rows = rows.withColumn("knowledge_score", F.lit(None).cast("int"))
+    if judge is not None:
+        ask = F.when(new, judge_prompt(F.col("query"), F.col("reasoning"), F.col("knowledge")))
+        rows = generated(rows.withColumn("_ask", ask), "_ask", judge, out="_reply").drop("error")
+        rows = rows.withColumn("knowledge_score", F.when(new & F.col("_reply").isNotNull(), judge_score("_reply")).otherwise(F.col("knowledge_score"))).drop("_ask", "_reply")
+    value = fitness("exact_match", "length_score", F.col("knowledge_score").cast("double"), config.weight_length, config.weight_knowledge)
+    return rows.withColumn("fitness", F.when(new, F.round(value, 6)).otherwise(F.col("fitness")))
 
 
-def offspring(scored: DataFrame, config: EvolutionConfig, generate: Generate, generation: int) -> DataFrame:
-    """New rows of each population: crossover or a mutation of drawn parents; a correct target or a failed call is copied."""
+def offspring(scored: DataFrame, config: EvolutionConfig, generate: Generate | Registry, generation: int) -> DataFrame:
+    """New rows of each population, ``failed`` among them: crossover or a mutation of drawn parents.
+
+    Parents are drawn first, then a target among them for each slot. A row whose steps
+    fail is a copy of its target.
+    """
     n = config.population - config.parents
     if n <= 0:
-        return scored.limit(0)
+        return scored.limit(0).withColumn("failed", F.lit(False))
     seed = config.seed + 1000 * generation
-    pairs = S.parent_pairs(N.pareto_front(scored), scored, n, seed, config.epsilon)
-    target = scored.select("sample_id", F.col("id").alias("target_id"), "query", "truth", "knowledge", "source_model", "reasoning", "answer", "exact_match")
-    provider = scored.select("sample_id", F.col("id").alias("provider_id"), F.col("reasoning").alias("other"))
+    chosen = S.parents(scored, N.pareto_front(scored), config.parents, seed + 4, config.epsilon)
+    pairs = S.offspring_pairs(chosen, scored, n, seed, config.epsilon)
+    target = scored.select("sample_id", F.col("id").alias("target_id"), "query", "truth", "knowledge", "source_model", "reasoning", "answer", "exact_match").dropDuplicates(["sample_id", "target_id"])
+    provider = scored.select("sample_id", F.col("id").alias("provider_id"), F.col("reasoning").alias("other")).dropDuplicates(["sample_id", "provider_id"])
     rows = pairs.join(target, ["sample_id", "target_id"]).join(provider, ["sample_id", "provider_id"])
     route = S.crossover_route(uniform(seed + 2, "sample_id", "slot"), F.col("exact_match"), config.crossover_probability)
     mode = S.choice(uniform(seed + 3, "sample_id", "slot"), list(config.modes))
     rows = rows.withColumn("generation_method", F.when(route == "crossover", route).otherwise(F.concat(F.lit("mutation_"), mode)))
-    ask = F.concat(F.col("generation_method"), F.lit("\nQuestion:\n"), "query", F.lit("\nReasoning:\n"), "reasoning", F.when(route == "crossover", F.concat(F.lit("\nOther reasoning:\n"), "other")).otherwise(F.lit("")))
-    replies = generated(rows.withColumn("prompt", ask), "prompt", generate).withColumn("p", reasoning_and_answer("output"))
-    made = F.col("error").isNull() & (F.col("p.reasoning") != "")
+    replies = varied(cut(_operators(rows, generate)), generate)
+    made = ~F.col("failed")
     out = replies.select(
         "sample_id",
         "query",
         "truth",
         "knowledge",
-        "source_model",
+        F.when(made, F.col("operator")).otherwise(F.col("source_model")).alias("source_model"),
         F.col("slot").cast("long").alias("pos"),
-        F.when(made, F.col("p.reasoning")).otherwise(F.col("reasoning")).alias("reasoning"),
-        F.when(made, F.col("p.answer")).otherwise(F.col("answer")).alias("answer"),
+        F.when(made, F.col("new_reasoning")).otherwise(F.col("reasoning")).alias("reasoning"),
+        F.when(made, F.col("new_answer")).otherwise(F.col("answer")).alias("answer"),
         F.when(made, F.col("generation_method")).otherwise(F.lit("copy")).alias("generation_method"),
+        F.struct(F.array("target_id", "provider_id").alias("parents"), "target_bp", "provider_bp", "diagnosis").alias("meta"),
+        "failed",
     )
     return out.withColumn("id", trajectory_id("query", "reasoning", "source_model"))
 
 
-def evolve(samples: DataFrame, config: EvolutionConfig | None = None, generate: Generate = offline_generate, embed: Embed = offline_embed, snapshots: str | None = None) -> tuple[DataFrame, DataFrame]:
+def evolve(
+    samples: DataFrame,
+    config: EvolutionConfig | None = None,
+    generate: Generate | Registry = offline_generate,
+    embed: Embed = offline_embed,
+    snapshots: str | None = None,
+    judge: Generate | None = None,
+    events: str | None = None,
+    resume: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """(best, history): the fittest trajectory of each sample, and statistics by generation.
 
     ``samples`` has id, query, answer and knowledge. The last generation's offspring are
     not evaluated, and so never the answer; elites keep the best fitness from falling.
+    With ``snapshots`` every generation's state is kept there, and ``resume`` goes on from
+    the last complete one. With ``events`` each phase appends its log rows there.
     """
     config = config or EvolutionConfig()
-    current = cut(initial_pool(samples, config, generate))
+    spark = samples.sparkSession
+
+    def log(rows: DataFrame, phase: str, generation: int) -> None:
+        if events is not None:
+            log_events(rows, phase, generation).write.mode("append").partitionBy("phase").json(events)
+
+    held = load_state(spark, snapshots) if resume and snapshots else None
     done: list[DataFrame] = []
     history: list[DataFrame] = []
-    for generation in range(1, config.generations + 1):
-        current = cut(evaluated(current, config))
+    if held is None:
+        current, begun = cut(initial_pool(samples, config, generate)), 0
+        log(current, "initial", 0)
+    else:
+        current, finished, before, begun = held
+        current = cut(current.withColumn("embedding", F.lit(None).cast("array<float>")))
+        done.append(finished)
+        history.append(before)
+    for generation in range(begun + 1, config.generations + 1):
+        current = cut(evaluated(current, config, judge))
+        log(current, "evaluation", generation)
         state = P.converged(current, config.threshold)
         finished = current.join(state.where("converged").select("sample_id"), "sample_id", "left_semi")
+        log(finished, "early_stop", generation)
         done.append(finished)
         active = current.join(state.where("NOT converged").select("sample_id"), "sample_id", "left_semi")
         history.append(P.statistics(current).withColumn("generation", F.lit(generation)))
         if active.isEmpty():
             current = active
+            if snapshots:
+                save_state(current, finished, history[-1], snapshots, generation)
             break
         scored = cut(N.scores(embedded(active, "reasoning", embed), config.neighbours))
         children = cut(offspring(scored, config, generate, generation))
-        current = cut(P.replaced(scored.drop("embedding", "novelty", "local_competition"), children, config.population, config.elite_ratio))
+        for phase, method in (("crossover", "crossover%"), ("mutation", "mutation%"), ("error", "copy")):
+            log(children.where(F.col("generation_method").like(method)), phase, generation)
+        new = children.drop("meta", "failed")
+        current = cut(P.replaced(scored.drop("novelty", "local_competition"), new, config.population, config.elite_ratio))
+        log(current, "new_generation", generation)
         if snapshots:
-            save_population(current, snapshots, generation)
+            save_state(current, finished, history[-1], snapshots, generation)
     last = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*done, current])
-    return P.best(last, 1).drop("rank"), reduce(DataFrame.unionByName, history)
+    best = cut(P.best(last, 1).drop("rank"))
+    log(best, "final_best", config.generations)
+    return best, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), history)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evoframe.functions import text as T
@@ -12,6 +13,7 @@ from evoframe.operators import sampling as S
 from evoframe.operators import selection as N
 from evoframe.plans.registry import query
 from evoframe.plans.traj import TRAJ_SQL, table, traj
+from evoframe.session import cut
 
 K = 5
 SEED = 17
@@ -371,3 +373,77 @@ def _(spark, d):
 def _(spark, d):
     scored = N.scores(traj(spark, d), K)
     return S.parent_pairs(scored, traj(spark, d), 20, SEED)
+
+
+# ------------------------------------------------------------------ selection with its fallbacks: 1 and 2 have no front, 3 is small
+
+N_PARENTS = 6
+
+
+def _ranges_sql(rows: str, weight: str, name: str) -> str:
+    return f"""w_{name} AS (SELECT sample_id, id, pos, {weight} + 0.1::DOUBLE AS w FROM {rows}),
+    p_{name} AS (SELECT *, w / sum(w) OVER (PARTITION BY sample_id) AS p FROM w_{name}),
+    c_{name} AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY sample_id ORDER BY pos DESC) = 1 THEN 1.0::DOUBLE ELSE round(sum(p) OVER (PARTITION BY sample_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 9) END AS high FROM p_{name}),
+    {name} AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY sample_id ORDER BY pos), 0.0::DOUBLE) AS low FROM c_{name})"""
+
+
+_PARENTS_SQL = f"""{_front_sql("")}, numbered AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS nth FROM scored), pop AS (SELECT * FROM numbered WHERE sample_id <> 3 OR nth <= 4),
+    f AS (SELECT * FROM front WHERE sample_id NOT IN (1, 2, 3)), {_ranges_sql("f", "local_competition", "drawn")},
+    u AS (SELECT *, {uniform_sql(SEED, "sample_id", "slot")} AS u FROM (SELECT DISTINCT sample_id, slot::INT AS slot FROM f, generate_series(0, {N_PARENTS - 1}) g(slot))),
+    chosen AS (
+      SELECT u.sample_id, slot, r.id, s.local_competition AS weight FROM u JOIN drawn r ON r.sample_id = u.sample_id AND u >= low AND u < high JOIN scored s ON s.sample_id = r.sample_id AND s.id = r.id
+      UNION ALL SELECT sample_id, (nth - 1)::INT, id, NULL FROM pop WHERE sample_id = 3
+      UNION ALL SELECT sample_id, (k - 1)::INT, id, local_competition FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {uniform_sql(SEED, "sample_id", "id")}, id, pos) AS k FROM pop WHERE sample_id <> 3 AND sample_id NOT IN (SELECT sample_id FROM f)) WHERE k <= {N_PARENTS})"""
+
+
+def _selected(spark, d):
+    scored = cut(N.scores(traj(spark, d), K))  # read by the front, the draws and the fallbacks
+    nth = F.row_number().over(Window.partitionBy("sample_id").orderBy("pos"))
+    population = scored.withColumn("_nth", nth).where("sample_id <> 3 OR _nth <= 4").drop("_nth")
+    front = cut(N.pareto_front(scored).where(~F.col("sample_id").isin(1, 2, 3)))
+    return S.parents(population, front, N_PARENTS, SEED), population
+
+
+@query("select_parents", f"WITH {_PARENTS_SQL} SELECT sample_id, slot, id, round(weight, 6) AS weight FROM chosen")
+def _(spark, d):
+    return _selected(spark, d)[0].select("sample_id", "slot", "id", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "offspring_pairs",
+    f"""WITH {_PARENTS_SQL}, firsts AS (SELECT sample_id, weight AS first FROM chosen WHERE slot = 0),
+    targets AS (SELECT c.sample_id, c.id AS target_id, c.slot::BIGINT AS id, c.slot::BIGINT AS pos, CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE coalesce(weight, 0.0::DOUBLE) END AS weight FROM chosen c JOIN firsts USING (sample_id)),
+    {_ranges_sql("targets", "weight", "again")},
+    v AS (SELECT *, {uniform_sql(SEED + 5, "sample_id", "slot")} AS u, {uniform_sql(SEED + 6, "sample_id", "slot")} AS v FROM (SELECT DISTINCT c.sample_id, g.k::INT AS slot FROM chosen c, generate_series(0, 11) g(k)) ),
+    members AS (SELECT sample_id, id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS nth, count(*) OVER (PARTITION BY sample_id) AS n FROM pop)
+    SELECT v.sample_id, v.slot, t.target_id, m.id AS provider_id FROM v JOIN again r ON r.sample_id = v.sample_id AND u >= low AND u < high JOIN targets t ON t.sample_id = r.sample_id AND t.id = r.id JOIN members m ON m.sample_id = v.sample_id AND m.nth = floor(v.v * m.n)::BIGINT""",
+)
+def _(spark, d):
+    chosen, population = _selected(spark, d)
+    return S.offspring_pairs(chosen, population, 12, SEED + 5)
+
+
+@query("without_row", f"WITH {TRAJ_SQL} SELECT sample_id, id FROM traj WHERE NOT (sample_id = 4 AND id = (SELECT min(id) FROM traj WHERE sample_id = 4))")
+def _(spark, d):
+    rows = traj(spark, d)
+    return P.without_row(rows, 4, rows.where("sample_id = 4").agg(F.min("id")).first()[0]).select("sample_id", "id")
+
+
+@query("needing_embedding", f"WITH {TRAJ_SQL} SELECT id FROM traj WHERE id % 3 = 0")
+def _(spark, d):
+    return P.needing_embedding(traj(spark, d).withColumn("embedding", F.when(F.col("id") % 3 != 0, F.col("embedding")))).select("id")
+
+
+@query("operation_counts", "SELECT source AS generation_method, count(*) AS tried, count(*) FILTER (WHERE n_chars % 3 <> 0) AS successful FROM documents GROUP BY source")
+def _(spark, d):
+    return P.operation_counts(_docs(spark, d).select(F.col("source").alias("generation_method"), (F.col("n_chars") % 3 == 0).alias("failed")))
+
+
+@query("combined", "SELECT doc_id, '<|think|>' || chr(10) || source || chr(10) || '<|answer|>' || chr(10) || lang AS output FROM documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", T.combined("source", "lang").alias("output"))
+
+
+@query("is_reasoning_model", "SELECT doc_id, regexp_matches(lower(name), 'deepseek|r1|thinking|qwen-235') AS reasoning FROM (SELECT doc_id, concat(source, CASE doc_id % 4 WHEN 0 THEN '-R1' WHEN 1 THEN '-Thinking' ELSE '' END) AS name FROM documents)")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", T.is_reasoning_model(F.expr("concat(source, CASE doc_id % 4 WHEN 0 THEN '-R1' WHEN 1 THEN '-Thinking' ELSE '' END)")).alias("reasoning"))

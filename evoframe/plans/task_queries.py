@@ -191,3 +191,68 @@ _INTERVAL = 4 * 3600 * 1_000_000
 )
 def _(spark, d):
     return admitted(table(spark, d, "events"), "user_id", "ts", "event_id", 3, _INTERVAL).select(F.col("key").alias("user_id"), "event_id", "allowed", "level_us")
+
+
+@query(
+    "mean_kendall_tau",
+    """WITH r AS (SELECT conv_id, turn AS x, length(text) AS y FROM conversations), p AS (SELECT a.conv_id, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.x < b.x),
+    t AS (SELECT conv_id, round(sum(dx * dy)::DOUBLE / nullif(sqrt(sum(dx * dx)::DOUBLE * sum(dy * dy)::DOUBLE), 0), 6) AS tau FROM p GROUP BY conv_id)
+    SELECT round(coalesce(avg(tau), 0.0), 6) AS tau FROM t""",
+)
+def _(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return E.mean_kendall_tau(rows, "conv_id", "turn", "n")
+
+
+_MADE = "concat('CC(=O)Oc1', repeat('Cl', {i} % 4), 'Br', repeat('[Si]N', {i} % 3))"
+_ATOM = "regexp_extract_all({0}, '(Cl|Br|Si|Se|se|[BCNOPSFIbcnops])', 1)"
+
+
+def _count_sql(text: str, *symbols: str) -> str:
+    return f"len(list_filter({_ATOM.format(text)}, lambda a: a IN ({', '.join(repr(s) for s in symbols)})))"
+
+
+@query("atom_counts", f"SELECT doc_id, {_count_sql('s', 'C', 'c')}::INT AS carbon, {_count_sql('s', 'Cl')}::INT AS chlorine, {_count_sql('s', 'Si')}::INT AS silicon, NULL::INT AS ring FROM (SELECT doc_id, {_MADE.format(i='doc_id')} AS s FROM documents)")
+def _(spark, d):
+    made = F.expr(_MADE.format(i="doc_id"))
+    return _docs(spark, d).select("doc_id", *[E.group_count(made, g).alias(n) for g, n in (("carbon", "carbon"), ("chlorine", "chlorine"), ("silicon", "silicon"), ("benzene_ring", "ring"))])
+
+
+@query(
+    "edit_checks",
+    f"""WITH e AS (SELECT doc_id, {_MADE.format(i="doc_id")} AS s, {_MADE.format(i="(doc_id + 1)")} AS t FROM documents)
+    SELECT doc_id, {_count_sql("t", "Cl")} = {_count_sql("s", "Cl")} + 1 AS added, {_count_sql("t", "N", "n")} = {_count_sql("s", "N", "n")} - 1 AS deleted,
+      {_count_sql("t", "Cl")} = {_count_sql("s", "Cl")} + 1 AND {_count_sql("t", "N", "n")} = {_count_sql("s", "N", "n")} - 1 AS substituted, false AS uncounted FROM e""",
+)
+def _(spark, d):
+    s, t = (F.expr(_MADE.format(i=i)) for i in ("doc_id", "(doc_id + 1)"))
+    checks = {"added": E.edit_check(s, t, added="chlorine"), "deleted": E.edit_check(s, t, removed="nitrogen"), "substituted": E.edit_check(s, t, "chlorine", "nitrogen"), "uncounted": E.edit_check(s, t, added="hydrogen")}
+    return _docs(spark, d).select("doc_id", *[c.alias(n) for n, c in checks.items()])
+
+
+@query(
+    "sentence_bleu",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(concat(source, ' ', lang, ', ', source, ' x', doc_id % 5)), '(\w+|[^\w\s])') AS p, regexp_extract_all(lower(concat(source, ' ', lang, ' ', source, ' x', doc_id % 3)), '(\w+|[^\w\s])') AS g FROM documents),
+    grams AS (SELECT doc_id, 1 AS n, p, g FROM d UNION ALL SELECT doc_id, 2, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]), list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) FROM d),
+    c AS (SELECT doc_id, n, len(p) AS m, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda v: v = w)), len(list_filter(g, lambda v: v = w))))) AS hits FROM grams),
+    r AS (SELECT doc_id, max(hits) FILTER (WHERE n = 1) AS one, exp(avg(ln(CASE WHEN hits > 0 THEN hits::DOUBLE ELSE 0.1::DOUBLE END / greatest(m, 1)))) AS mean FROM c GROUP BY doc_id)
+    SELECT doc_id, round(CASE WHEN one = 0 THEN 0.0 ELSE mean * CASE WHEN len(p) > len(g) THEN 1.0 ELSE exp(1 - len(g)::DOUBLE / len(p)) END END, 6) AS bleu FROM r JOIN d USING (doc_id)""",
+)
+def _(spark, d):
+    said, true = F.expr("concat(source, ' ', lang, ', ', source, ' x', doc_id % 5)"), F.expr("concat(source, ' ', lang, ' ', source, ' x', doc_id % 3)")
+    return _docs(spark, d).select("doc_id", F.round(E.sentence_bleu(said, true), 6).alias("bleu"))
+
+
+@query(
+    "task_dispatch",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ERR' WHEN 1 THEN 'PQA' WHEN 2 THEN 'ORD' WHEN 3 THEN 'GEN' ELSE 'SUM' END AS task,
+    CASE doc_id % 5 WHEN 0 THEN n_chars % 2 = 0 WHEN 1 THEN lower(source) = lower(lang) OR contains(lower(source), lower(lang)) WHEN 2 THEN n_chars % 3 = 0 WHEN 3 THEN true ELSE false END AS exact_match,
+    CASE doc_id % 5 WHEN 4 THEN 'unknown task type: SUM' END AS error FROM documents""",
+)
+def _(spark, d):
+    said = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Answer: true' WHEN 1 THEN concat('Answer: ', source) WHEN 2 THEN concat('so\n[0, 1, ', n_chars % 3, ']') ELSE lang END")
+    true = F.expr("CASE doc_id % 5 WHEN 0 THEN CAST(n_chars % 2 = 0 AS STRING) WHEN 2 THEN '{\"correct_steps\": [0, 1, 0]}' ELSE lang END")
+    docs = _docs(spark, d)
+    predictions = docs.select("doc_id", said.alias("prediction"))
+    truths = docs.select("doc_id", F.expr("CASE doc_id % 5 WHEN 0 THEN 'err' WHEN 1 THEN 'Pqa' WHEN 2 THEN 'ORD' WHEN 3 THEN 'gen' ELSE 'sum' END").alias("task"), true.alias("truth"))
+    return E.evaluated_batch(predictions, truths, "doc_id").select("doc_id", F.upper("task").alias("task"), "exact_match", "error")

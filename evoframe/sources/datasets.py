@@ -132,7 +132,7 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 #: Columns of a trajectory that are kept in a snapshot; scores of the search are derived again.
-PERSISTED = ("sample_id", "id", "pos", "query", "answer", "reasoning", "source_model", "generation_method", "fitness", "exact_match", "length_score", "knowledge_score")
+PERSISTED = ("sample_id", "id", "pos", "query", "truth", "knowledge", "answer", "reasoning", "source_model", "generation_method", "fitness", "exact_match", "length_score", "knowledge_score")
 
 
 def save_population(traj: DataFrame, path: str, generation: int) -> None:
@@ -149,12 +149,43 @@ def load_population(spark: SparkSession, path: str, generation: int | None = Non
     return rows.where(F.col("generation") == generation).drop("generation")
 
 
+def save_state(population: DataFrame, finished: DataFrame, history: DataFrame, path: str, generation: int) -> None:
+    """All that a run needs to go on after ``generation``; the population is written last and marks it as complete."""
+    finished.select(*[c for c in PERSISTED if c in finished.columns]).write.mode("overwrite").parquet(f"{path}_finished/generation={generation}")
+    history.drop("generation").write.mode("overwrite").parquet(f"{path}_history/generation={generation}")
+    save_population(population, path, generation)
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+    """Population, finished rows, history and number of the last complete generation; None if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        generation = spark.read.parquet(path).agg(F.max("generation")).first()[0]
+    except AnalysisException:
+        return None
+    if generation is None:
+        return None
+    upto = lambda part: spark.read.parquet(f"{path}_{part}").where(F.col("generation") <= generation)
+    return load_population(spark, path, generation), upto("finished").drop("generation"), upto("history"), int(generation)
+
+
+def write_samples(results: DataFrame, path: str) -> None:
+    """One folder of JSON a sample, named by its number from 1 in order of id and the id's first 8 characters."""
+    from pyspark.sql import Window
+
+    numbered = results.select("sample_id").distinct().withColumn("sample", F.concat_ws("_", F.lit("sample"), F.row_number().over(Window.orderBy("sample_id")), F.substring("sample_id", 1, 8)))
+    results.join(numbered, "sample_id").write.mode("overwrite").partitionBy("sample").json(path)
+
+
 def log_events(rows: DataFrame, phase: str, generation: int) -> DataFrame:
     """Phase-log rows: sample_id, generation, phase, document; unknown values are written as 0 or false."""
+    known = lambda name, kind: F.col(name) if name in rows.columns else F.lit(None).cast(kind)
     shown = F.struct(
         "id",
-        F.coalesce("fitness", F.lit(0.0)).alias("fitness"),
-        F.coalesce("exact_match", F.lit(False)).alias("exact_match"),
+        F.coalesce(known("fitness", "double"), F.lit(0.0)).alias("fitness"),
+        F.coalesce(known("exact_match", "boolean"), F.lit(False)).alias("exact_match"),
+        (~F.coalesce(known("failed", "boolean"), F.lit(False))).alias("success"),
         F.length("reasoning").alias("reasoning_length"),
     )
     return rows.select("sample_id", F.lit(generation).alias("generation"), F.lit(phase).alias("phase"), F.to_json(shown).alias("document"))

@@ -6,6 +6,8 @@ Levels are kept in microseconds: a token costs ``interval_us``, the bucket holds
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,3 +75,40 @@ def admitted_stream(events: DataFrame, key: str, ts: str, event_id: str, capacit
     """The same fold over a stream; the state of a key is its level and time. Rows of a micro-batch are taken in order of time."""
     rows = events.select(F.col(key).cast("long").alias("key"), F.col(event_id).cast("long").alias("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
     return rows.groupBy("key").applyInPandasWithState(_stateful(capacity, interval_us), _OUT, "level long, at long", "append", "NoTimeout")
+
+
+class RateLimiter:
+    """Calls per minute and at once, for one process; waiting longer than ``timeout`` seconds is a TimeoutError.
+
+    Wrap a provider's call in it; each executor process then holds its own share.
+    """
+
+    def __init__(self, per_minute: float, at_once: int, timeout: float = 60.0, clock=time.monotonic, sleep=time.sleep):
+        self.bucket = Bucket(max(1, int(per_minute)), int(60_000_000 / per_minute))
+        self.places = threading.BoundedSemaphore(at_once)
+        self.lock = threading.Lock()
+        self.timeout, self.clock, self.sleep = timeout, clock, sleep
+
+    def __call__(self, call, *arguments):
+        end = self.clock() + self.timeout
+        if not self.places.acquire(timeout=self.timeout):
+            raise TimeoutError("no free place in time")
+        try:
+            while True:
+                with self.lock:
+                    admitted_ = self.bucket.take(int(self.clock() * 1_000_000))
+                if admitted_:
+                    return call(*arguments)
+                if self.clock() >= end:
+                    raise TimeoutError("rate limit not free in time")
+                self.sleep(min(0.05, max(0.0, end - self.clock())))
+        finally:
+            self.places.release()
+
+
+_SHARED: dict[str, object] = {}
+
+
+def shared(name: str, make):
+    """One object a process under a name, made when first asked for: limiters, clients, caches on an executor."""
+    return _SHARED[name] if name in _SHARED else _SHARED.setdefault(name, make())
