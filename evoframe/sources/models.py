@@ -76,7 +76,7 @@ def generated(rows: DataFrame, prompt: str, generate: Generate | Registry, out:
             groups = sent.groupby(sent[model], dropna=False) if isinstance(generate, Registry) else [(None, sent)]
             for name, group in groups:
                 if len(group):
-                    send = generate.get(name) if isinstance(generate, Registry) else generate
+                    send = (lambda texts, name=name: generate.get(name)(texts)) if isinstance(generate, Registry) else generate
                     found, failed = replies_to(send, group[prompt].tolist())
                     replies[group.index], errors[group.index] = pd.Series(found, index=group.index, dtype=object), pd.Series(failed, index=group.index, dtype=object)
             yield frame.assign(**{out: replies, "error": errors})

@@ -89,3 +89,30 @@ def test_chemistry(spark):
     found = values(spark, ["0", "1"], lambda x: E.property_value(x, F.lit("0")))
     assert [(f.exact_match, f.accuracy) for f in found] == [(True, 1.0), (False, 0.0)]
     assert values(spark, ["the product CCO and CC(=O)OC", "xyz zyx"], E.longest_structure)[0] == "CC(=O)OC"
+
+
+def test_task_answer_reads_both_cases(spark):
+    """'Answer:' counts as 'answer:' does, also where a further line follows."""
+    from evoframe.operators.evaluation import task_answer
+
+    frame = spark.createDataFrame([("Answer: x\nend",), ("answer: x\nend",), ("no form\nend",), ("[ANSWER_START] a [ANSWER_END] z",)], "t string")
+    assert [r.a for r in frame.select(task_answer(F.col("t")).alias("a")).collect()] == ["x", "x", "end", "a"]
+
+
+def test_seed_pairs_and_final_results(spark):
+    from evoframe.functions import text as T
+
+    frame = spark.createDataFrame([("<|think|> r <|answer|> a", "m"), ("<|think|><|answer|> a", None), ("why\n7", None)], "t string, m string")
+    assert [tuple(r.p) for r in frame.select(T.seed_pair("t", "m").alias("p")).collect()] == [("r", "a", "m"), (None, None, None), ("why", "7", "unknown")]
+    out = [r.f for r in spark.createDataFrame([('{"a":  1}',), ("7",), ("x",)], "t string").select(T.final_result("t").alias("f")).collect()]
+    assert [x.split("\n")[-1] for x in out] == ['{"a":1}', "7", "x"]
+
+
+def test_bleu_by_hand(spark):
+    import math
+
+    from evoframe.operators.evaluation import sentence_bleu
+
+    frame = spark.createDataFrame([("the cat sat", "the cat sat"), ("the the the cat", "the cat is here now"), ("dog", "cat"), ("", "cat"), (None, "cat")], "p string, g string")
+    got = [r.b for r in frame.select(sentence_bleu(F.col("p"), F.col("g")).alias("b")).collect()]
+    assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(math.exp(1 - 5 / 4) * math.sqrt(2 / 4 * 1 / 3)) and got[2:] == [0.0, 0.0, None]
