@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -207,10 +208,10 @@ class WordTokens:
 
     No token crosses white space, so each distinct chunk between white space is encoded
     once and remembered, up to ``cache`` chunks, and a text's ids are its chunks' ids
-    joined. An ASCII chunk's pieces are merged by the tiktoken library: the suffix becomes
-    the byte 0xFF, which UTF-8 never uses, and its pairs rank first. Other chunks, whose
-    ids depend on the library's tables of characters, and chunks that may hold an added
-    token go through the tokenizers library itself.
+    joined. A chunk's pieces are merged by the tiktoken library: the suffix becomes the
+    byte 0xFF, which UTF-8 never uses, and its pairs rank first. Texts with characters
+    younger than Unicode 3.2, of which the tokenizers library may know another class, and
+    texts that may hold an added token go through that library chunk by chunk.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
@@ -246,7 +247,9 @@ class WordTokens:
         self.number = np.array([number.get(token, 0) for token in tokens], "<u4")
         self.single = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)._core_bpe.encode_single_piece
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self.old = set(map(chr, range(128)))
         self.known: dict[str, bytes] = {}
+        self.known_whole: dict[str, bytes] = {}
         self.known_pieces: dict[str, bytes] = {}
         self.cache = cache
 
@@ -256,21 +259,24 @@ class WordTokens:
         ids = self.known_pieces[piece] = self.number[self.single(piece.encode() + b"\xff")].tobytes()
         return ids
 
-    def _learn(self, words: set[str]) -> None:
-        other = []
-        for word in words:
-            if word.isascii() and not self.added(lower := word.lower()):
-                self.known[word] = b"".join([self.known_pieces.get(p) or self.piece(p) for p in self.pieces(lower)])
-            else:
-                other.append(word)
-        for word, found in zip(other, self.library.encode_batch(other, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+    def _plain(self, text: str) -> bool:
+        """Whether all characters are old ones and no added token can be in the text."""
+        if "<" in text and self.added(text.lower()):
+            return False
+        new = set(text) - self.old
+        if new:
+            self.old.update(c for c in new if unicodedata.ucd_3_2_0.category(c) != "Cn")
+            return new <= self.old
+        return True
 
     def __call__(self, text: str) -> bytes:
-        if text.isascii() and "<" not in text:  # so no word has an added token in some case
-            text = text.lower()
+        if text.isascii() and "<" not in text:
+            text, known = text.lower(), self.known
+        elif self._plain(text):
+            text, known = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower(), self.known  # lower() would make a final sigma
+        else:
+            known = self.known_whole
         words = _WORD.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
-        known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
@@ -279,7 +285,13 @@ class WordTokens:
         if len(known) + len(new) > self.cache:
             known.clear()
             new = set(words)
-        self._learn(new)
+        if known is self.known:
+            for word in new:
+                known[word] = b"".join([self.known_pieces.get(p) or self.piece(p) for p in self.pieces(word)])
+        else:
+            new = list(new)
+            for word, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
+                known[word] = np.array(found.ids, "<u4").tobytes()
         return b"".join([known[w] for w in words])
 
 
