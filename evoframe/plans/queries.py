@@ -142,10 +142,10 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.marked_or_all(made, "RESULT")).alias("result_md5"))
 
 
-@query("binding_point", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN strpos(text, substr(text, 5, 12)) - 1 ELSE (length(text) * 4) // 5 END::INT AS at FROM documents WHERE length(text) >= 20")
+@query("binding_point", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND strpos(text, substr(text, 5, 12)) > 0 THEN strpos(text, substr(text, 5, 12)) - 1 ELSE (length(text) * 4) // 5 END::INT AS at FROM documents")
 def _(spark, d):
     quoted = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 5, 12)).otherwise("\u0001")
-    return _docs(spark, d).where(F.length("text") >= 20).select("doc_id", T.binding_point("text", quoted).alias("at"))
+    return _docs(spark, d).select("doc_id", T.binding_point("text", quoted).alias("at"))
 
 
 @query("traj_id", "SELECT doc_id, substr(md5(concat(lang, '|', text, '|', source)), 1, 16) AS id FROM documents")
