@@ -112,10 +112,18 @@ def _(spark, d):
     return parts.select("doc_id", "shape", F.md5("p.reasoning").alias("reasoning_md5"), F.col("p.answer").alias("answer"))
 
 
-@query("last_line_answer", f"SELECT doc_id, list_last(list_filter(list_transform(string_split(text || chr(10) || source, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')) AS answer FROM documents")
+#: The answer in a reply ``t``, read as task_answer does.
+_ANSWER_SQL = rf"""CASE WHEN regexp_matches(t, '\[ANSWER_START\][\s\S]*?\[ANSWER_END\]') THEN {_STRIP.format(r"regexp_extract(t, '\[ANSWER_START\]([\s\S]*?)\[ANSWER_END\]', 1)")}
+    WHEN regexp_matches(t, '(?i)answer:') THEN {_STRIP.format(r"regexp_extract(t, '(?i)answer:\s*([^\n]*)', 1)")}
+    WHEN regexp_matches(t, '(?i)answer\s+(is\s+)?:') THEN {_STRIP.format(r"regexp_extract(t, '(?i)answer\s+(?:is\s+)?:\s*([^\n]*)', 1)")}
+    ELSE {_STRIP.format(r"list_last(string_split(regexp_replace(t, '\s+$', ''), chr(10)))")} END"""
+#: The first decimal, else the first integer of a text.
+_FIRST_SQL = r"coalesce(nullif(regexp_extract({0}, '(\d+\.\d+)', 1), ''), nullif(regexp_extract({0}, '(\d+)', 1), ''))::DOUBLE"
+
+
+@query("last_line_answer", f"WITH r AS (SELECT doc_id, text || chr(10) || source AS t FROM documents) SELECT doc_id, {_ANSWER_SQL} AS answer FROM r")
 def _(spark, d):
-    made = F.concat("text", F.lit("\n"), "source")
-    return _docs(spark, d).select("doc_id", E.task_answer(F.regexp_replace(made, "(?i)answer", "reply")).alias("answer"))
+    return _docs(spark, d).select("doc_id", E.task_answer(F.concat("text", F.lit("\n"), "source")).alias("answer"))
 
 
 @query("extract_number", "SELECT doc_id, coalesce(nullif(regexp_extract(text, '(\\d+\\.\\d+)', 1), ''), nullif(regexp_extract(text, '(\\d+)', 1), ''))::DOUBLE AS number FROM documents")
@@ -131,9 +139,12 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", T.judge_score(F.expr(_REPLY)).alias("score"))
 
 
-@query("bullets", "SELECT doc_id, concat(source, chr(10), lang, ' x') AS items FROM documents")
+_ITEMS = "concat('steps', chr(10), '* ', source, chr(10), ' *  ', lang, ' x ', chr(10), 'end')"
+
+
+@query("bullets", rf"WITH r AS (SELECT doc_id, {_ITEMS} AS t FROM documents) SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '\*\s*([^\n]+)', 1), lambda x: {_STRIP.format('x')}), chr(10)) AS items FROM r")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", T.bullets(F.concat(F.lit("steps\n* "), "source", F.lit("\n *  "), "lang", F.lit(" x \nend"))).alias("items"))
+    return _docs(spark, d).select("doc_id", T.bullets(F.expr(_ITEMS)).alias("items"))
 
 
 @query("marked_result", f"SELECT doc_id, md5({_STRIP.format('text')}) AS result_md5 FROM documents")

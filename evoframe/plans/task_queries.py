@@ -8,7 +8,7 @@ from evoframe.functions import text as T
 from evoframe.operators import evaluation as E
 from evoframe.operators import retrieval as R
 from evoframe.operators import selection as N
-from evoframe.plans.queries import _KNN_SQL, K, _docs
+from evoframe.plans.queries import _ANSWER_SQL, _FIRST_SQL, _KNN_SQL, _STRIP, K, _docs
 from evoframe.plans.registry import query
 from evoframe.plans.traj import table, traj
 from evoframe.streaming.token_bucket import admitted
@@ -20,22 +20,28 @@ _TRUE = "concat(source, ' ', lang)"
 _SAID = f"CASE doc_id % 4 WHEN 0 THEN {_TRUE} WHEN 1 THEN concat('x ', {_TRUE}, ' y') WHEN 2 THEN source ELSE concat(lang, ' ', source, ' more words') END"
 
 
+_REPLY = f"CASE doc_id % 4 WHEN 0 THEN concat('so', chr(10), 'Answer: ', {_SAID}) WHEN 1 THEN concat('Final answer:  ', {_SAID}, chr(10), 'end') WHEN 2 THEN concat('thinking', chr(10), chr(10), {_SAID}, ' ', chr(10)) ELSE concat('a [ANSWER_START] ', {_SAID}, chr(10), '[ANSWER_END] b') END"
+
+
 @query(
     "pqa_metrics",
-    f"""WITH t AS (SELECT doc_id, lower({_TRUE}) AS g, lower({_SAID}) AS p FROM documents), w AS (SELECT *, {_WORDS.format('g')} AS a, {_WORDS.format('p')} AS b FROM t), o AS (SELECT *, {_JACCARD.format(a='a', b='b')} AS overlap FROM w)
+    f"""WITH r AS (SELECT doc_id, {_TRUE} AS g, {_REPLY} AS t FROM documents), t AS (SELECT doc_id, lower(g) AS g, lower({_ANSWER_SQL}) AS p FROM r),
+    w AS (SELECT *, {_WORDS.format('g')} AS a, {_WORDS.format('p')} AS b FROM t), o AS (SELECT *, {_JACCARD.format(a='a', b='b')} AS overlap FROM w)
     SELECT doc_id, p = g OR contains(p, g) OR overlap > 0.8 AS exact_match, round(CASE WHEN p = g THEN 1.0 WHEN contains(p, g) THEN 0.9 ELSE overlap END, 6)::DOUBLE AS accuracy FROM o""",
 )
 def _(spark, d):
-    said = F.expr(_SAID)
-    reply = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("so\nAnswer: "), said)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Final answer:  "), said, F.lit("\nend"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("thinking\n\n"), said, F.lit(" \n"))).otherwise(F.concat(F.lit("a [ANSWER_START] "), said, F.lit("\n[ANSWER_END] b")))
-    return _docs(spark, d).select("doc_id", E.question_answer(reply, F.expr(_TRUE)).alias("m")).select("doc_id", "m.exact_match", F.round("m.accuracy", 6).alias("accuracy"))
+    return _docs(spark, d).select("doc_id", E.question_answer(F.expr(_REPLY), F.expr(_TRUE)).alias("m")).select("doc_id", "m.exact_match", F.round("m.accuracy", 6).alias("accuracy"))
 
 
 _ERR_SAID = "CASE doc_id % 6 WHEN 0 THEN 'Answer: True' WHEN 1 THEN 'it is false' WHEN 2 THEN 'no' WHEN 3 THEN 'None' WHEN 4 THEN 'maybe' ELSE '' END"
-_ERR_BOOL = "doc_id % 6 IN (0, 4)"
 
 
-@query("err_metrics", f"SELECT doc_id, ({_ERR_BOOL}) = (doc_id % 2 = 0) AS exact_match, CASE WHEN ({_ERR_BOOL}) = (doc_id % 2 = 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM documents")
+@query(
+    "err_metrics",
+    f"""WITH r AS (SELECT doc_id, {_ERR_SAID} AS t FROM documents), a AS (SELECT doc_id, lower({_ANSWER_SQL}) AS a FROM r),
+    j AS (SELECT doc_id, (CASE WHEN contains(a, 'true') THEN true WHEN contains(a, 'false') THEN false ELSE a NOT IN ('', 'no', 'none', '0') END) = (doc_id % 2 = 0) AS exact_match FROM a)
+    SELECT doc_id, exact_match, exact_match::INT::DOUBLE AS accuracy FROM j""",
+)
 def _(spark, d):
     return _docs(spark, d).select("doc_id", E.error_recognition(F.expr(_ERR_SAID), F.col("doc_id") % 2 == 0).alias("m")).select("doc_id", "m.*")
 
@@ -43,13 +49,22 @@ def _(spark, d):
 _ORD_SAID = "CASE doc_id % 6 WHEN 0 THEN '[0, 1, 2]' WHEN 1 THEN '(2, 1, 0)' WHEN 2 THEN '3' WHEN 3 THEN 'first then' WHEN 4 THEN '[1,0,2,7]' ELSE '[]' END"
 
 
-@query("ord_metrics", "SELECT doc_id, doc_id % 6 = 0 AS exact_match, round(CASE doc_id % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 / 3 WHEN 4 THEN 1.0 / 3 ELSE 0.0 END, 6)::DOUBLE AS accuracy, CASE WHEN doc_id % 6 = 3 THEN 'not an ordering' END AS error FROM documents")
+_ORD_SQL = f"""WITH r AS (SELECT doc_id, concat('Answer: ', {_ORD_SAID}) AS t FROM documents), a AS (SELECT doc_id, {_ANSWER_SQL} AS a FROM r),
+    l AS (SELECT doc_id, CASE WHEN regexp_full_match(a, '\\[(-?\\d+(\\s*,\\s*-?\\d+)*)?\\]|\\((-?\\d+(\\s*,\\s*-?\\d+)*)?\\)|-?\\d+') THEN list_transform(regexp_extract_all(a, '-?\\d+'), lambda x: x::INT) END AS said FROM a)"""
+_HITS = "CASE WHEN said = [0, 1, 2] THEN 1.0 ELSE coalesce(len(list_filter([0, 1, 2], lambda i: said[i + 1] = i)), 0) / 3.0 END"
+
+
+@query("ord_metrics", f"{_ORD_SQL} SELECT doc_id, coalesce(said = [0, 1, 2], false) AS exact_match, round({_HITS}, 6)::DOUBLE AS accuracy, CASE WHEN said IS NULL THEN 'not an ordering' END AS error FROM l")
 def _(spark, d):
     m = E.ordering(F.concat(F.lit("Answer: "), F.expr(_ORD_SAID)), F.array(*[F.lit(i) for i in range(3)]))
     return _docs(spark, d).select("doc_id", m.alias("m")).select("doc_id", "m.exact_match", F.round("m.accuracy", 6).alias("accuracy"), "m.error")
 
 
-@query("ord_remapped", "SELECT doc_id, doc_id % 6 = 1 AS exact_match, round(CASE doc_id % 6 WHEN 0 THEN 1.0 / 3 WHEN 1 THEN 1.0 WHEN 4 THEN 1.0 / 3 ELSE 0.0 END, 6)::DOUBLE AS accuracy FROM documents")
+@query(
+    "ord_remapped",
+    f"""{_ORD_SQL}, m AS (SELECT doc_id, CASE WHEN list_sort(list_distinct(said)) = [0, 1, 2] THEN list_transform(said, lambda i: [2, 1, 0][i + 1]) ELSE said END AS said FROM l)
+    SELECT doc_id, coalesce(said = [0, 1, 2], false) AS exact_match, round({_HITS}, 6)::DOUBLE AS accuracy FROM m""",
+)
 def _(spark, d):
     wrong, right = (F.array(*[F.lit(i) for i in x]) for x in ((2, 1, 0), (0, 1, 2)))
     m = E.ordering(F.concat(F.lit("Answer: "), F.expr(_ORD_SAID)), right, wrong)
@@ -112,35 +127,58 @@ def _(spark, d):
     return _numbers(spark, d, E.property_value)
 
 
+_CHEM_SAID = "CASE doc_id % 4 WHEN 0 THEN upper(lang) WHEN 1 THEN concat('is ', lang, '!') WHEN 2 THEN concat('x', doc_id + 51) ELSE 'zzz' END"
+_CHEM_TRUE = "CASE doc_id % 4 WHEN 2 THEN concat('', doc_id + 50) ELSE lang END"
+
+
 @query(
     "general_chem_metrics",
-    "SELECT doc_id, doc_id % 4 <> 3 AS exact_match, CASE doc_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN round(1 - 1.0::DOUBLE / (doc_id + 50)::DOUBLE, 6) ELSE 0.0::DOUBLE END AS accuracy FROM documents",
+    f"""WITH r AS (SELECT doc_id, lower({_CHEM_SAID}) AS a, lower({_CHEM_TRUE}) AS b FROM documents), n AS (SELECT *, {_FIRST_SQL.format('a')} AS p, {_FIRST_SQL.format('b')} AS g FROM r),
+    o AS (SELECT *, p IS NOT NULL AND g IS NOT NULL AS numbers, contains(a, b) OR contains(b, a) AS within, CASE WHEN g = 0 THEN (p <> 0)::INT ELSE abs(p - g) / abs(g) END AS off FROM n)
+    SELECT doc_id, CASE WHEN numbers THEN off < 0.05 ELSE within END AS exact_match, round(CASE WHEN numbers THEN greatest(0.0::DOUBLE, 1 - off) WHEN a = b THEN 1.0::DOUBLE WHEN within THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END, 6) AS accuracy FROM o""",
 )
 def _(spark, d):
-    said = F.expr("CASE doc_id % 4 WHEN 0 THEN upper(lang) WHEN 1 THEN concat('is ', lang, '!') WHEN 2 THEN concat('x', doc_id + 51) ELSE 'zzz' END")
-    true = F.expr("CASE doc_id % 4 WHEN 2 THEN concat('', doc_id + 50) ELSE lang END")
-    m = _docs(spark, d).select("doc_id", E.general_chemistry(said, true).alias("m"))
+    m = _docs(spark, d).select("doc_id", E.general_chemistry(F.expr(_CHEM_SAID), F.expr(_CHEM_TRUE)).alias("m"))
     return m.select("doc_id", "m.exact_match", F.round("m.accuracy", 6).alias("accuracy"))
 
 
-@query("molecule_edit", "SELECT doc_id, doc_id % 3 <> 0 AS valid, doc_id % 3 = 1 AS exact_match, CASE WHEN doc_id % 3 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM documents")
+_EDITED = "CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN concat(source, ' ') ELSE 'C=C' END"
+
+
+@query(
+    "molecule_edit",
+    f"""WITH r AS (SELECT doc_id, {_STRIP.format(_EDITED)} AS said, {_STRIP.format('source')} AS truth FROM documents)
+    SELECT doc_id, said <> '' AS valid, said <> '' AND said = truth AS exact_match, (said <> '' AND said = truth)::INT::DOUBLE AS accuracy FROM r""",
+)
 def _(spark, d):
-    said = F.expr("CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN concat(source, ' ') ELSE 'C=C' END")
-    return _docs(spark, d).select("doc_id", E.molecule_edit(said, F.col("source")).alias("m")).select("doc_id", "m.valid", "m.exact_match", "m.accuracy")
+    return _docs(spark, d).select("doc_id", E.molecule_edit(F.expr(_EDITED), F.col("source")).alias("m")).select("doc_id", "m.valid", "m.exact_match", "m.accuracy")
 
 
 _STRUCTURE = "CASE WHEN doc_id % 2 = 0 THEN concat('is CC(=O)O', doc_id, ' or CCO') ELSE 'xyz' END"
+_LONGEST = "CASE WHEN len({0}) > 0 THEN list_reduce({0}, lambda best, x: CASE WHEN length(x) > length(best) THEN x ELSE best END) END"
 
 
-@query("extract_structure", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('CC(=O)O', doc_id) END AS structure FROM documents")
+@query(
+    "extract_structure",
+    rf"""WITH r AS (SELECT doc_id, {_STRUCTURE} AS t FROM documents),
+    f AS (SELECT doc_id, regexp_extract_all(t, '([CNOcnoFfPSpsBbBr?Ii][A-Za-z0-9@+\-\[\]\(\)\\=#$]+)', 1) AS one, regexp_extract_all(t, '([CNOcno][^\n]{{0,100}})', 1) AS two FROM r)
+    SELECT doc_id, coalesce({_LONGEST.format('one')}, {_LONGEST.format('two')}) AS structure FROM f""",
+)
 def _(spark, d):
     return _docs(spark, d).select("doc_id", E.longest_structure(F.expr(_STRUCTURE)).alias("structure"))
 
 
-@query("confidence", "SELECT doc_id, concat('yes ', source) AS answer, (doc_id % 100)::DOUBLE / 100 AS confidence FROM documents")
+_SURE = "concat('yes ', source, CASE WHEN doc_id % 2 = 0 THEN ' & ' ELSE ' ' END, doc_id % 100)"
+
+
+@query(
+    "confidence",
+    rf"""WITH r AS (SELECT doc_id, {_STRIP.format(_SURE)} AS t FROM documents),
+    m AS (SELECT doc_id, CASE WHEN regexp_matches(t, '&\s*\d') THEN regexp_extract(t, '^([^&]*?)\s*&\s*(\d+)', ['answer', 'n']) ELSE regexp_extract(t, '^([\s\S]*?)\s+(\d+)$', ['answer', 'n']) END AS m FROM r)
+    SELECT doc_id, {_STRIP.format('m.answer')} AS answer, m.n::DOUBLE / 100 AS confidence FROM m""",
+)
 def _(spark, d):
-    said = F.concat(F.lit("yes "), "source", F.when(F.col("doc_id") % 2 == 0, " & ").otherwise(" "), (F.col("doc_id") % 100).cast("string"))
-    return _docs(spark, d).select("doc_id", E.confidence(said).alias("m")).select("doc_id", "m.answer", "m.confidence")
+    return _docs(spark, d).select("doc_id", E.confidence(F.expr(_SURE)).alias("m")).select("doc_id", "m.answer", "m.confidence")
 
 
 @query("cache_split", "WITH c AS (SELECT DISTINCT sha256(concat(source, ':', text)) AS key FROM documents WHERE length(text) > 1500) SELECT doc_id, c.key IS NOT NULL AS hit FROM documents d LEFT JOIN c ON c.key = sha256(concat(d.source, ':', d.text))")
