@@ -665,3 +665,15 @@ def test_pipeline_runs(spark):
     assert out.count() > 100 and "sequence_id" in out.columns
     assert {d for d in os.listdir(folder) if d.startswith("rdd-")} <= before
     assert [os.listdir(f"{folder}/{d}") for d in os.listdir(folder) if d.startswith("pipeline-")] == [["packing"]]
+
+
+def test_only_shuffled_rows_are_written_for_a_fixed_order(spark, tmp_path):
+    from evoframe.llm.common import fixed_order
+
+    spark.range(100).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    joined = ids.join(F.broadcast(ids.withColumnRenamed("id", "other")), F.col("id") == F.col("other"), "left")
+    assert fixed_order(ids) is ids
+    assert fixed_order(joined) is joined
+    shuffled = ids.repartition(3, "id")
+    assert fixed_order(shuffled) is not shuffled
