@@ -58,6 +58,12 @@ class CuckooFilter:
     def get(self, key: bytes, default=None):
         return self.keys.get(key, default)
 
+    def restore(self, slots: bytes, pairs: list[tuple[bytes, object]]) -> None:
+        """Take up a kept filter, the bytes of ``slots``, with the live keys it stands for."""
+        self.slots = np.frombuffer(slots, np.uint16).reshape(-1, SLOTS).copy()
+        self.buckets = len(self.slots)
+        self.keys = dict(pairs)
+
     def insert(self, pairs: list[tuple[bytes, object]]) -> None:
         """Make keys live; a key that is live already only takes the new value."""
         fresh = {k: v for k, v in pairs if k not in self.keys}
