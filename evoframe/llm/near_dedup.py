@@ -234,10 +234,11 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMI
     stars = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.count("*").alias("k")).where("k > 1")
     spokes = banded.join(stars.select("bucket", "c"), "bucket").where("rep <> c.rep")
     fits = (F.least("n_shingles", "c.n_shingles") * 100 >= F.greatest("n_shingles", "c.n_shingles") * percent)
-    candidates = cut(spokes.select(F.col("c.rep").alias("u"), F.col("rep").alias("v"), fits.alias("fits")).distinct())
+    candidates = cut(spokes.select(F.col("c.rep").alias("u"), F.col("rep").alias("v"), F.col("c.n_shingles").alias("size_u"), F.col("n_shingles").alias("size_v"), fits.alias("fits")).distinct())
     parts = parts_for(candidates.count())
     candidates = candidates.coalesce(parts)
-    nodes = cut(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct(), parts)
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(f"size_{x}").alias("n_shingles")) for x in "uv"])).alias("end")
+    nodes = cut(candidates.select(ends).select("end.*").distinct(), parts)
     wanted = small_side(nodes)
     sets = texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi")
     sets = cut(sets.mapInArrow(_sets(words), "node long, elements binary"))
@@ -248,7 +249,7 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMI
     ready = ready.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("set_u")), "u")
     links = cut(ready.mapInArrow(_confirm(percent), "u long, v long, linked boolean").where("linked").select("u", "v"))
     roots = cut(connected(links), parts)
-    more = _rest(candidates, roots, classes, sets, percent, block_shingles, parts)
+    more = _rest(candidates, roots, nodes, sets, percent, block_shingles, parts)
     if more is not None:
         stars_ = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         roots = cut(connected(stars_.unionByName(more)), parts)
@@ -295,11 +296,10 @@ def _prefixes(frequency: np.ndarray, percent: int):
     return run
 
 
-def _rest(candidates: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block_shingles: int, parts: int) -> DataFrame | None:
+def _rest(candidates: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block_shingles: int, parts: int) -> DataFrame | None:
     """Links between components of one candidate cluster that no star has tested, as pairs of components."""
     clusters = cut(connected(candidates.select("u", "v")), parts).select("node", F.col("root").alias("cluster"))
-    sized = classes.select(F.col("rep").alias("node"), "n_shingles")
-    members = clusters.join(roots.select("node", F.col("root").alias("comp")), "node", "left").join(sized, "node")
+    members = clusters.join(roots.select("node", F.col("root").alias("comp")), "node", "left").join(nodes, "node")
     # Similar sets are of one size class or of neighbouring ones.
     size_class = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     members = cut(members.select("node", "cluster", F.coalesce("comp", "node").alias("comp"), "n_shingles", size_class.alias("class")), parts)
