@@ -21,6 +21,8 @@ from evoframe.session import cut
 
 #: Documented bound of the labelled sample the list is learnt from (met in expectation).
 SAMPLE_ROWS = 20_000
+#: Partitions of the sample; the statistics are joined where they lie and only its rows move.
+SAMPLE_PARTS = 8
 CUTS = 32
 MAX_RULES = 8
 MAX_TERMS = 3
@@ -193,7 +195,7 @@ def learn(statistics: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
         return []
     spread = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(1 << 30))
     known = known.where(spread < int(min(1.0, sample_rows / n) * (1 << 30)))
-    rows = cut(statistics.join(F.broadcast(known), "doc_id").withColumn("prune", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0).coalesce(8))
+    rows = cut(statistics.join(F.broadcast(known), "doc_id").withColumn("prune", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0).repartition(SAMPLE_PARTS))
     rules: list[Rule] = []
     left = rows
     while len(rules) < max_rules:
