@@ -11,89 +11,22 @@ groups of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoframe.llm.common import ascii_lower, id_text, meet
 from evoframe.llm.cuckoo import CuckooFilter
+from evoframe.llm.shards import SHARD_KEYS, added_in_task, folded, shard_of, shards_for, take
 from evoframe.session import cut
 
-#: Digests a shard is sized for; a shard is one task's state, about 40 MB.
-SHARD_KEYS = 100_000
 #: Members of a group of copies that are compared with the kept text in one place.
 BUCKET_ROWS = 64
-#: Rows a task adds up before they leave it.
-TASK_ROWS = 500_000
 INDEX_SCHEMA = "shard int, digest binary, keep_id long, group_size long"
 
 
-def shards_for(rows: int) -> int:
-    return max(1, -(-rows // SHARD_KEYS))
-
-
-def shard_of(digest, shards: int):
-    return F.pmod(F.xxhash64(digest), F.lit(shards)).cast("int")
-
-
-def _larger(a: int | None, b: int | None) -> int | None:
-    return b if a is None else a if b is None else max(a, b)
-
-
-def _within_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a digest added up inside the task, without a shuffle; other tasks may have it too."""
-
-    def added(tables: list[pa.Table]) -> list[pa.RecordBatch]:
-        grouped = pa.concat_tables(tables).group_by("digest").aggregate([("keep_id", "max"), ("group_size", "sum")])
-        return grouped.rename_columns({"keep_id_max": "keep_id", "group_size_sum": "group_size"}).select(["digest", "keep_id", "group_size"]).to_batches()
-
-    held, size = [], 0
-    for batch in batches:
-        held.append(pa.Table.from_batches([batch]).select(["digest", "keep_id", "group_size"]))
-        size += batch.num_rows
-        if size >= TASK_ROWS:
-            yield from added(held)
-            held, size = [], 0
-    if held:
-        yield from added(held)
-
-
-def _fold(expected: int):
-    """Stream a partition's (shard, digest, keep_id, group_size) rows through one filter per shard in it.
-
-    A digest that several tasks have read meets its first row as a filter hit, and the
-    stored key settles it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, CuckooFilter] = {}
-        for batch in batches:
-            shards = batch.column("shard").to_numpy(zero_copy_only=False)
-            for shard in np.unique(shards).tolist():
-                rows = batch.filter(pa.array(shards == shard))
-                index = filters.setdefault(shard, CuckooFilter(expected))
-                digests = rows.column("digest").to_pylist()
-                new: dict[bytes, list] = {}
-                for digest, hit, top, n in zip(digests, index.maybe(digests), rows.column("keep_id").to_pylist(), rows.column("group_size").to_pylist()):
-                    stored = index.get(digest) if hit else None
-                    stored = new.get(digest) if stored is None else stored
-                    if stored is None:
-                        new[digest] = [top, n]
-                    else:
-                        stored[0], stored[1] = _larger(stored[0], top), stored[1] + n
-                index.insert(list(new.items()))
-        for shard, index in filters.items():
-            items = list(index.keys.items())
-            for i in range(0, len(items), 10_000):
-                part = items[i : i + 10_000]
-                columns = [pa.array([shard] * len(part), pa.int32()), pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "digest", "keep_id", "group_size"])
-
-    return run
+#: How rows of a digest become one.
+OPS = {"keep_id": "max", "group_size": "sum"}
 
 
 def build_index(digests: DataFrame, shards: int) -> DataFrame:
@@ -102,28 +35,18 @@ def build_index(digests: DataFrame, shards: int) -> DataFrame:
     ``keep_id`` becomes the largest and ``group_size`` the sum over rows of a digest.
     An empty input gives an empty index.
     """
-    partial = digests.select("digest", "keep_id", "group_size").mapInArrow(_within_task, "digest binary, keep_id long, group_size long")
-    placed = partial.select(shard_of("digest", shards).alias("shard"), "digest", "keep_id", "group_size").repartition(shards, "shard")
-    return placed.mapInArrow(_fold(SHARD_KEYS), INDEX_SCHEMA)
+    return folded(digests, shards, OPS)
 
 
 def _apply_changes(expected: int):
     def run(key, index: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+        known = lambda k: None if pd.isna(k) else int(k)
         held = CuckooFilter(max(expected, len(index)))
-        held.insert([(bytes(d), [None if pd.isna(k) else int(k), n]) for d, k, n in zip(index.digest, index.keep_id, index.group_size)])
+        held.insert([(bytes(d), [known(k), n]) for d, k, n in zip(index.digest, index.keep_id, index.group_size)])
         gone = [bytes(d) for d in changes.digest[changes.deleted]]
         held.delete([d for d, hit in zip(gone, held.maybe(gone)) if hit])
         added = changes[~changes.deleted]
-        digests = [bytes(d) for d in added.digest]
-        new: dict[bytes, list] = {}
-        tops = [None if pd.isna(top) else int(top) for top in added.keep_id]
-        for digest, hit, top, n in zip(digests, held.maybe(digests), tops, added.group_size):
-            stored = (held.get(digest) if hit else None) or new.get(digest)
-            if stored is None:
-                new[digest] = [top, n]
-            else:
-                stored[0], stored[1] = _larger(stored[0], top), stored[1] + n
-        held.insert(list(new.items()))
+        take(held, [bytes(d) for d in added.digest], [(known(k), n) for k, n in zip(added.keep_id, added.group_size)], list(OPS.values()))
         return pd.DataFrame({"shard": key[0], "digest": list(held.keys), "keep_id": pd.array([v[0] for v in held.keys.values()], "Int64"), "group_size": [v[1] for v in held.keys.values()]}).astype({"shard": "int32", "group_size": "int64"})
 
     return run
@@ -134,13 +57,14 @@ def update_index(index: DataFrame, shards: int, inserted: DataFrame | None = Non
 
     ``inserted`` has the columns of build_index's input, ``deleted`` has ``digest``.
     Deleting a digest that is not live changes nothing. Only shards are rebuilt, each in
-    its own task; no text is read.
+    its own task; no text is read. Insertions are added up inside their tasks, and the
+    filter settles what several tasks bring.
     """
     parts = []
     if deleted is not None:
         parts.append(deleted.select("digest", F.lit(0).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("deleted")).dropDuplicates(["digest"]))
     if inserted is not None:
-        parts.append(inserted.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).withColumn("deleted", F.lit(False)))
+        parts.append(added_in_task(inserted, OPS).withColumn("deleted", F.lit(False)))
     if not parts:
         return index
     changes = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
