@@ -7,8 +7,8 @@ under the background, so lower is nearer to the target. The vocabulary is every
 and all counts are exact and come from every row. They grow with the corpus, so they
 are never held in one place: blocks of documents send their distinct words and word
 pairs, as 64-bit hashes with counts, to buckets of the hash; a bucket adds them up and
-answers each block. Models of a fixed size, of the most frequent words and hashed
-cells, are fitted only where ``vocabulary`` or ``bits`` is given.
+answers each block. Buckets are sorted inside a partition, which holds one at a time,
+so the partitions follow the corpus at a fixed share of its buckets.
 """
 
 from __future__ import annotations
@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoframe.llm import vectext
-from evoframe.llm.common import SPACES, fixed_order, id_text
+from evoframe.llm.common import fixed_order, id_text
 from evoframe.session import BROADCAST_ROWS, cut, small_side
 
-VOCABULARY = 1 << 16
-CELL_BITS = 21
 SMOOTHING = 32.0
-_BLOCK_BITS = 12
+#: Buckets that follow each other in a partition of a large corpus.
+BUCKETS_A_PART = 256
 _FLUSH_WORDS = 4_000_000
 #: Tokens and rows of a block, and tokens of the corpus for each bucket of keys.
 _BLOCK_WORDS = 1 << 21
@@ -77,15 +76,6 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _ids(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Numbers of words in the sorted vocabulary, its length for others."""
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
-    at = np.searchsorted(vocabulary, words)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == words, at, len(vocabulary))
-
-
 def _chains(ids: np.ndarray, of: np.ndarray, start: int) -> np.ndarray:
     """The id before each token; a document's first token follows ``start``."""
     before = np.empty(len(ids), np.int64)
@@ -95,102 +85,14 @@ def _chains(ids: np.ndarray, of: np.ndarray, start: int) -> np.ndarray:
     return before
 
 
-def _cells(before: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    return (vectext.mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _cell_counts(vocabulary: np.ndarray, bits: int):
-    """block, cells, counts: a task's table of bigram counts, by blocks of cells, without its zeros."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << bits), np.int64)
-        seen = False
-        for batch in batches:
-            for part in vectext.slices(batch, "text"):
-                words, of = _word_hashes(part)
-                if not len(words):
-                    continue
-                seen = True
-                ids = _ids(words, vocabulary)
-                cells = _cells(_chains(ids, of, len(vocabulary) + 1), ids, bits)
-                table[0] += np.bincount(cells, minlength=1 << bits)
-                marked = np.repeat(part.column("is_target").to_numpy(zero_copy_only=False), np.diff(of))
-                if marked.any():
-                    table[1] += np.bincount(cells[marked], minlength=1 << bits)
-        if not seen:
-            return
-        width = 1 << min(_BLOCK_BITS, bits)
-        blocks, cells, counts = [], [], []
-        for block in range((1 << bits) // width):
-            part_ = table[:, block * width : (block + 1) * width]
-            at = np.flatnonzero(part_[0])
-            if len(at):
-                blocks.append(block)
-                cells.append(at.astype("<u2").tobytes())
-                counts.append(part_[:, at].astype("<i8").tobytes() if part_.max() >= 1 << 31 else part_[:, at].astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["block", "cells", "counts"])
-
-    return run
-
-
-def _add_cells(bits: int):
-    """Blocks come sorted; each is summed as it streams by, in one array of a block's size."""
-    width = 1 << min(_BLOCK_BITS, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: int, total: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-
-        current, total = None, np.zeros((2, width), np.float64)
-        for batch in batches:
-            for block, cells, counts in zip(batch.column("block").to_pylist(), batch.column("cells"), batch.column("counts")):
-                if block != current:
-                    if current is not None:
-                        yield out(current, total)
-                    current, total = block, np.zeros((2, width), np.float64)
-                at, raw = np.frombuffer(cells.as_py(), "<u2"), counts.as_py()
-                total[:, at] += np.frombuffer(raw, "<i8" if len(raw) == 16 * len(at) else "<u4").reshape(2, -1)
-        if current is not None:
-            yield out(current, total)
-
-    return run
-
-
-@dataclass
-class Models:
-    """Both models: per word log probabilities, per cell bigram counts, per word context counts.
-
-    p(w | h) = (c(h, w) + smoothing * p(w)) / (c(h) + smoothing), with p(w) from add-one
-    counts over the vocabulary, the unknown word and nothing else, alike for both.
-    """
-
-    bits: int
-    vocabulary: np.ndarray
-    unigram: np.ndarray  # (2, words + 1) probabilities, unknown last
-    context: np.ndarray  # (2, words + 2) counts of each word as context, unknown, document start
-    cells: np.ndarray  # (2, cells) bigram counts
-    smoothing: float = SMOOTHING
-
-    def losses(self, words: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """(2, documents) mean losses in nats per token, background first; no tokens give 0."""
-        ids = _ids(words, self.vocabulary)
-        before = _chains(ids, of, len(self.vocabulary) + 1)
-        cells = _cells(before, ids, self.bits)
-        n = np.diff(of)
-        doc = np.repeat(np.arange(len(n)), n)
-        out = np.zeros((2, len(n)))
-        for m in range(2):
-            p = (self.cells[m][cells] + self.smoothing * self.unigram[m][ids]) / (np.maximum(self.context[m][before], self.cells[m][cells]) + self.smoothing)
-            out[m] = np.bincount(doc, -np.log(p), minlength=len(n)) / np.maximum(n, 1)
-        return out
-
-
 @dataclass
 class ExactModels:
     """Both models as the rows they are counted from: exact counts of every word and word pair.
 
-    p(w | h) is as in Models, with every word of the rows in the vocabulary; other words
-    are the unknown word, which was never seen.
+    p(w | h) = (c(h, w) + smoothing * p(w)) / (c(h) + smoothing), with p(w) from add-one
+    counts over the vocabulary, the unknown word and nothing else, alike for both. The
+    vocabulary is every word of the rows; other words are the unknown word, which was
+    never seen.
     """
 
     docs: DataFrame
@@ -345,78 +247,44 @@ def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     return fixed_order(joined) if n <= BROADCAST_ROWS else cut(joined)  # blocks need rows in a fixed order
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, bits: int | None = None, smoothing: float = SMOOTHING) -> Models | ExactModels:
+def fit(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOOTHING) -> ExactModels:
     """Target and background models of ``docs``; ``target_ids(doc_id)`` names the target's rows.
 
     The background is every row, the target the named ones; both count whole texts.
     The shared vocabulary is every word of the background and pairs are counted exactly.
-    Rows that repeat an id count one each, in the target too if it names them. With
-    ``vocabulary`` or ``bits`` the vocabulary is the most frequent words, ties by hash, and pairs
-    are counted in 2^bits cells. Without target rows the target is the smoothed uniform
-    model. No rows give an empty vocabulary.
+    Rows that repeat an id count one each, in the target too if it names them. Without
+    target rows the target is the smoothed uniform model. No rows give an empty vocabulary.
     """
     rows = _marked(docs, target_ids)
-    if vocabulary is None and bits is None:
-        by_word = rows.mapInArrow(_word_counts, "word long, background long, target long").groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-        n = by_word.agg(F.count("*").alias("words"), F.coalesce(F.sum("background"), F.lit(0)).alias("b"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
-        return ExactModels(docs, rows, n.words, (n.b, n.t), smoothing)
-    vocabulary, bits = VOCABULARY if vocabulary is None else vocabulary, CELL_BITS if bits is None else bits
-    counts = rows.mapInArrow(_word_counts, "word long, background long, target long").groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    counts = cut(counts)
-    totals = counts.agg(F.coalesce(F.sum("background"), F.lit(0)).alias("b"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
-    # Words at least as frequent as a power of two that enough words reach: a few vocabularies, however many partitions.
-    reach = counts.agg(*[F.count_if(F.col("background") >= 1 << k).alias(f"k{k}") for k in range(48)]).first()
-    least = max([1 << k for k in range(48) if reach[f"k{k}"] >= vocabulary], default=0)
-    top = counts.where(F.col("background") >= least).orderBy(F.desc("background"), "word").limit(vocabulary).collect()
-    words = np.array([r.word for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words = words[order]
-    known = np.array([[r.background for r in top], [r.target for r in top]], np.float64).reshape(2, -1)[:, order]
-    full = np.concatenate([known, np.array([[totals.b], [totals.t]]) - known.sum(1, keepdims=True)], 1)
-    unigram = (full + 1) / (full.sum(1, keepdims=True) + full.shape[1])
-    n_docs = rows.where(F.translate("text", SPACES, "") != "").agg(F.count("*").alias("b"), F.count_if("is_target").alias("t")).first()
-    context = np.concatenate([full, np.array([[n_docs.b], [n_docs.t]], np.float64)], 1)
-    summed = rows.mapInArrow(_cell_counts(words, bits), "block int, cells binary, counts binary").repartition("block").sortWithinPartitions("block")
-    cells = np.zeros((2, 1 << bits), np.float32)
-    width = 1 << min(_BLOCK_BITS, bits)
-    for r in summed.mapInArrow(_add_cells(bits), "block int, counts binary").toLocalIterator():  # a fixed number of cells
-        cells[:, r.block * width : (r.block + 1) * width] = np.frombuffer(r.counts).reshape(2, width)
-    return Models(bits, words, unigram, context, cells, smoothing)
-
-
-def _scored(models):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = models.value
-        for batch in batches:
-            for part in vectext.slices(batch, "text"):
-                words, of = _word_hashes(part)
-                background, target = held.losses(words, of)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(of)), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+    by_word = rows.mapInArrow(_word_counts, "word long, background long, target long").groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    n = by_word.agg(F.count("*").alias("words"), F.coalesce(F.sum("background"), F.lit(0)).alias("b"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
+    return ExactModels(docs, rows, n.words, (n.b, n.t), smoothing)
 
-    return run
+
+def buckets_and_parts(tokens: int, shuffle_parts: int) -> tuple[int, int]:
+    """Bits of the buckets of so many tokens, and the partitions that share them, BUCKETS_A_PART each in a large corpus."""
+    bits = max(0, -(-tokens // _BUCKET_WORDS) - 1).bit_length()
+    return bits, max(min(1 << bits, shuffle_parts), (1 << bits) // BUCKETS_A_PART)
 
 
 def _score_exactly(docs: DataFrame, models: ExactModels) -> DataFrame:
     size = models.tokens[0]
     if docs is not models.docs:
         size += (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 5
-    bits = max(0, -(-size // _BUCKET_WORDS) - 1).bit_length()
+    bits, parts = buckets_and_parts(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if docs is models.docs:
         sent = models.rows.mapInArrow(_sent(bits, True, True), _SENT)
     else:
         sent = models.rows.mapInArrow(_sent(bits, True, False), _SENT).unionByName(fixed_order(id_text(docs)).mapInArrow(_sent(bits, False, True), _SENT))
-    answered = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, _SENT)
-    by_block = answered.repartition(1 << bits, "block").sortWithinPartitions("block", F.col("asks").isNotNull(), "bucket")
+    answered = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, _SENT)
+    by_block = answered.repartition(parts, "block").sortWithinPartitions("block", F.col("asks").isNotNull(), "bucket")
     return by_block.mapInArrow(_losses(models.words, models.tokens, models.smoothing), SCHEMA)
 
 
-def score(docs: DataFrame, models: Models | ExactModels) -> DataFrame:
+def score(docs: DataFrame, models: ExactModels) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (their difference), one row per document.
 
     Null, empty and blank texts have no tokens and score 0. Repeated rows are scored
     each; other columns are ignored; no rows give no rows.
     """
-    if isinstance(models, ExactModels):
-        return _score_exactly(docs, models)
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size: vocabulary and cells
-    return id_text(docs).mapInArrow(_scored(shared), SCHEMA)
+    return _score_exactly(docs, models)
