@@ -1,15 +1,14 @@
 """Removal of passages that repeat, by hashed spans of consecutive sentences.
 
-A text is split into sentences. From every sentence on, the shortest run of
-consecutive sentences that reaches a number of sentences and of words is hashed.
-The hashes of all documents are counted; occurrences of those that stand there a
+A text is split into sentences: at full stops, question and exclamation marks, at line
+breaks, and, so that a passage shared inside longer sentences still meets, at places the
+text itself defines: before the word of least hash among any few neighbouring words
+("Winnowing", Schleimer, Wilkerson and Aiken, 2003). From every sentence on, the
+shortest run of consecutive sentences that reaches a number of sentences and of words is
+hashed. The hashes of all documents are counted; occurrences of those that stand there a
 second time meet by 128 bits, and of each run all but the first occurrence is repeated
 text, whose sentences go. Runs so frequent that one task should not hold their
 occurrences are few by their definition; their first occurrences are broadcast instead.
-
-By words, windows of words join the runs, so a repeat need not begin or end with a
-sentence: of the windows at every word those of least hash in their neighbourhood are
-sent ("Winnowing", Schleimer, Wilkerson and Aiken, 2003), whatever stands before them.
 """
 
 from __future__ import annotations
@@ -27,14 +26,12 @@ from evoframe.session import cut
 
 RUN_SENTENCES = 2
 RUN_WORDS = 20
-#: A sentence of more words counts as several of at most this many.
-SENTENCE_WORDS = 20
-#: Windows among which the least is sent. Every repeat of run words + NEAR - 1 words has a window in common.
-NEAR = 11
+#: A word begins a sentence if its hash is the least among some so many words on end.
+CUT_WORDS = 6
 #: Bits of the filter over repeated hashes, 8 MB however many there are. A fuller filter lets more runs through; the join decides.
 FILTER_BITS = 26
 _CHECK = np.uint64(0x6A09E667F3BCC909)
-_RUNS = "run long, check long, doc_id long, version long, first int, stop int, window boolean"
+_RUNS = "run long, check long, doc_id long, version long, first int, stop int"
 
 
 def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,35 +60,54 @@ def _full_stops(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return found & ((code == 0xE38082) | (code == 0xEFBC81) | (code == 0xEFBC9F))
 
 
-def sentences(data: np.ndarray, at: np.ndarray, limit: int = SENTENCE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences of every document by words: (word starts, word ends, first word of each sentence, documents' offsets among sentences).
+def _least(x: np.ndarray, near: int, pick) -> np.ndarray:
+    """``pick`` over x[i : i + near], for every i at which it is whole."""
+    width = 1
+    while 2 * width <= near:
+        x, width = pick(x[: len(x) - width], x[width:]), 2 * width
+    return pick(x[: len(x) - (near - width)], x[near - width :]) if near > width else x
+
+
+def content_cuts(hashes: np.ndarray, of: np.ndarray, near: int = CUT_WORDS) -> np.ndarray:
+    """Whether each word has the least hash among some ``near`` words on end of its document, fewer at its ends.
+
+    Equal words are all chosen. The choice rests on the words around alone, so two texts
+    that share some are cut alike inside, and no sentence is longer than ``near`` words.
+    """
+    doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    place = np.arange(len(hashes)) + (near - 1) * (doc + 1)  # documents apart
+    apart = np.full(int(place[-1]) + near, np.iinfo(np.uint64).max, np.uint64)
+    apart[place] = hashes
+    return hashes == _least(_least(apart, near, np.minimum), near, np.maximum)[place - (near - 1)]
+
+
+def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences of every document by words: (word starts, word ends, word hashes, first word of each sentence, documents' offsets among sentences).
 
     A sentence ends with a word whose last character is ``.``, ``!`` or ``?``, or their
-    full-width forms, before a line break, or after ``limit`` words. Words between two
-    ends are one sentence, so every word is in exactly one.
+    full-width forms, before a line break, or before a word that content_cuts() chooses.
+    Words between two ends are one sentence, so every word is in exactly one.
     """
     starts, ends, of = units(data, at)
     n = len(starts)
     if not n:
-        return starts, ends, np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+        return starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    word = vectext.span_hashes(vectext.lowered(data), starts, ends)
     last = data[ends - 1]
     closes = (last == 46) | (last == 33) | (last == 63) | _full_stops(data, ends)
     lines = np.cumsum(data == 10)
     broken = np.zeros(n, bool)
     broken[:-1] = lines[starts[1:]] != lines[ends[:-1] - 1]
-    first = np.zeros(n, bool)
-    first[1:] = (closes | broken)[:-1]
+    first = content_cuts(word, of)
+    first[1:] |= (closes | broken)[:-1]
     first[of[:-1][of[:-1] < n]] = True
     begin = np.flatnonzero(first)
-    within = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n]))
-    first |= within % limit == 0
-    begin = np.flatnonzero(first)
-    return starts, ends, begin, np.searchsorted(begin, of, "left")
+    return starts, ends, word, begin, np.searchsorted(begin, of, "left")
 
 
-def sentence_runs(data: np.ndarray, at: np.ndarray, run_sentences: int, run_words: int, limit: int = SENTENCE_WORDS) -> dict[str, np.ndarray]:
-    """Every run: its document, first sentence, sentence after its last, and two hashes; with the sentences' byte spans."""
-    starts, ends, begin, of = sentences(data, at, limit)
+def sentence_runs(data: np.ndarray, at: np.ndarray, run_sentences: int, run_words: int) -> dict[str, np.ndarray]:
+    """Every run: its document, first sentence, sentence after its last, and two hashes."""
+    starts, _, word, begin, of = sentences(data, at)
     m, n = len(begin), len(starts)
     after = np.r_[begin[1:], n].astype(np.int64) if m else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(of))
@@ -103,8 +119,7 @@ def sentence_runs(data: np.ndarray, at: np.ndarray, run_sentences: int, run_word
     first, stop = index[whole], stop[whole]
     hashes = []
     if m:
-        word = vectext.span_hashes(vectext.lowered(data), starts, ends)
-        order = (np.arange(n) - begin[np.searchsorted(begin, np.arange(n), "right") - 1]).astype(np.uint64)
+        order = (np.arange(n) - np.repeat(begin, after - begin)).astype(np.uint64)
         order = (order + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for salt in (np.uint64(0), _CHECK):
         run = np.zeros(len(first), np.uint64)
@@ -113,48 +128,7 @@ def sentence_runs(data: np.ndarray, at: np.ndarray, run_sentences: int, run_word
             live = first + k < stop
             run = np.where(live, vectext.mix(run * np.uint64(3) + sentence[np.where(live, first + k, first)] + np.uint64(1)), run)
         hashes.append(run)
-    word_of = np.r_[begin, n][of]
-    at_word = {"word_first": begin[first] - word_of[doc[first]], "word_stop": after[stop - 1] - word_of[doc[first]]}
-    return at_word | {"doc": doc[whole], "first": first - of[doc[whole]], "stop": stop - of[doc[whole]], "hash": hashes[0], "check": hashes[1], "starts": starts[begin] if m else begin, "ends": ends[after - 1] if m else after, "of": of}
-
-
-def _least(x: np.ndarray, near: int, pick) -> np.ndarray:
-    """``pick`` over x[i : i + near], for every i at which it is whole."""
-    width = 1
-    while 2 * width <= near:
-        x, width = pick(x[: len(x) - width], x[width:]), 2 * width
-    return pick(x[: len(x) - (near - width)], x[near - width :]) if near > width else x
-
-
-def word_windows(data: np.ndarray, at: np.ndarray, size: int, near: int = NEAR) -> dict[str, np.ndarray]:
-    """Windows of ``size`` words that have the least hash among some ``near`` windows on end: document, first word, two hashes.
-
-    Equal windows are all among them. They are chosen by the text inside the neighbourhood
-    alone, so texts that share size + near - 1 words share one, and those of a shared
-    stretch overlap.
-    """
-    starts, ends, of = units(data, at)
-    counts = np.maximum(np.diff(of) - size + 1, 0)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    first = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    if not len(doc):
-        return {"doc": doc, "first": first, "hash": np.zeros(0, np.uint64), "check": np.zeros(0, np.uint64)}
-    word = vectext.span_hashes(vectext.lowered(data), starts, ends)
-    factor = 0x9E3779B97F4A7C15
-    powers, back = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(word), f, np.uint64)]) for f in (np.uint64(factor), np.uint64(pow(factor, -1, 1 << 64))))
-    begin = of[doc] + first
-
-    def hashed(word: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        sums = np.r_[np.uint64(0), np.cumsum(word * powers[:-1], dtype=np.uint64)]
-        return vectext.mix((sums[begin + size] - sums[begin]) * back[begin] + np.uint64(size))
-
-    hashes = hashed(word, begin)
-    place = np.arange(len(doc)) + (near - 1) * (doc + 1)  # documents apart
-    apart = np.full(int(place[-1]) + near, np.iinfo(np.uint64).max, np.uint64)
-    apart[place] = hashes
-    least = _least(_least(apart, near, np.minimum), near, np.maximum)
-    chosen = hashes == least[place - (near - 1)]
-    return {"doc": doc[chosen], "first": first[chosen], "hash": hashes[chosen], "check": hashed(vectext.mix(word ^ _CHECK), begin[chosen])}
+    return {"doc": doc[whole], "first": first - of[doc[whole]], "stop": stop - of[doc[whole]], "hash": hashes[0], "check": hashes[1]}
 
 
 def _filter(several: DataFrame):
@@ -174,7 +148,7 @@ def _may_repeat(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.logical_and(*((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & one).astype(bool) for p in places))
 
 
-def _hashed(run_sentences: int, run_words: int, words: bool, repeated=None, hot: np.ndarray | None = None, wanted: bool = False):
+def _hashed(run_sentences: int, run_words: int, repeated=None, hot: np.ndarray | None = None, wanted: bool = False):
     """The runs of every document; given ``repeated``, those that it lets through and that are ``hot`` if ``wanted``, else are not."""
 
     def chosen(hashes: np.ndarray):
@@ -186,18 +160,13 @@ def _hashed(run_sentences: int, run_words: int, words: bool, repeated=None, hot:
         names = [c.split()[0] for c in _RUNS.split(", ")]
         for batch in batches:
             for part in vectext.slices(batch, "text"):
-                data, at = vectext.utf8(part.column("text"))
-                found = sentence_runs(data, at, run_sentences, run_words)
-                parts = [(found, *(found[f"word_{k}" if words else k] for k in ("first", "stop")), False)]
-                if words:
-                    found = word_windows(data, at, run_words)
-                    parts.append((found, found["first"], found["first"] + run_words, True))
-                for found, first, stop, window in parts:
-                    some = chosen(found["hash"])
-                    doc = pa.array(found["doc"][some])
-                    keys = [pa.array(found[k][some].view(np.int64)) for k in ("hash", "check")]
-                    rest = [part.column(k).take(doc) for k in ("doc_id", "version")]
-                    yield pa.RecordBatch.from_arrays([*keys, *rest, pa.array(first[some].astype(np.int32)), pa.array(stop[some].astype(np.int32)), pa.array(np.full(len(doc), window))], names)
+                found = sentence_runs(*vectext.utf8(part.column("text")), run_sentences, run_words)
+                some = chosen(found["hash"])
+                doc = pa.array(found["doc"][some])
+                keys = [pa.array(found[k][some].view(np.int64)) for k in ("hash", "check")]
+                ids = [part.column(k).take(doc) for k in ("doc_id", "version")]
+                places = [pa.array(found[k][some].astype(np.int32)) for k in ("first", "stop")]
+                yield pa.RecordBatch.from_arrays([*keys, *ids, *places], names)
 
     return run
 
@@ -212,15 +181,16 @@ def _documents(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("shared"), F.xxhash64("text")).otherwise(0).cast("long").alias("version"), "text")
 
 
-def repeated_runs(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, version, first, stop, first_doc_id: each occurrence of a run that isn't its first.
 
     The first occurrence is that of the smallest doc_id, then version, then of the earliest
-    sentence; later ones in the same document count too, windows unless they overlap it.
-    Places are sentences, or with ``words`` words. Rows without doc_id are left out.
+    sentence; later ones in the same document count too. Places are sentences. Null, empty
+    and short texts have no run; texts of any length are read whole. Rows without doc_id
+    are left out; rows of one doc_id and text are one document. No rows give no rows.
     """
     texts = _documents(docs)
-    options = run_sentences, run_words, words
+    options = run_sentences, run_words
     several = cut(texts.mapInArrow(_hashed(*options), _RUNS).groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
     limit = max((several.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS, HOT_ROWS)
     hot = np.array([r.run for r in several.where(F.col("n") > limit).collect()], np.int64).view(np.uint64)  # fewer than HOT_KEYS
@@ -234,29 +204,29 @@ def repeated_runs(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words
         origins = runs.groupBy(*key).agg(origin.alias("origin"), F.count("*").alias("n")).where("n > 1")
         again = again.unionByName(runs.join(F.broadcast(origins), key))
     same = F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) & (F.col("version") == F.col("origin.version"))
-    again = again.where(~(same & ((F.col("first") == F.col("origin.first")) | (F.col("window") & (F.col("first") < F.col("origin.stop"))))))
+    again = again.where(~(same & (F.col("first") == F.col("origin.first"))))
     return again.select("doc_id", "version", "first", "stop", F.col("origin.doc_id").alias("first_doc_id"))
 
 
-def _stretches(docs: DataFrame, run_sentences: int, run_words: int, words: bool) -> DataFrame:
-    runs = repeated_runs(docs, run_sentences, run_words, words)
+def _stretches(docs: DataFrame, run_sentences: int, run_words: int) -> DataFrame:
+    runs = repeated_runs(docs, run_sentences, run_words)
     per_doc = runs.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("first", "stop", "first_doc_id"))).alias("runs"))  # a document's own runs
     return per_doc.mapInArrow(_merged, "doc_id long, version long, first int, stop int, n_runs int, first_doc_id long")
 
 
-def removed_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
-    """One row per maximal stretch of removed sentences, or words: doc_id, first, stop, n_runs, first_doc_id.
+def removed_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
+    """One row per maximal stretch of removed sentences: doc_id, first, stop, n_runs, first_doc_id.
 
     Sentences ``first`` to ``stop`` - 1 are covered by non-first runs; ``first_doc_id`` is
     the smallest document that had one of them. Null, empty and short texts have no runs.
     Words part at white space, and each letter of a script without blanks is one. Rows
     with the same doc_id and text are one document; other texts under its doc_id are
     documents of their own, whose stretches are listed too. Other columns are ignored; no
-    rows give no rows. With ``words`` repeats are found inside sentences too, from
-    run_words + NEAR - 1 words on for certain, and places are words; up to NEAR - 1 words
-    at either end of one may stay.
+    rows give no rows. A passage of run_words + 5 * CUT_WORDS words that stands twice is
+    found whatever surrounds it, and its words but for 2 * CUT_WORDS at either end go;
+    most shorter ones from run_words on are found too.
     """
-    return _stretches(docs, run_sentences, run_words, words).drop("version")
+    return _stretches(docs, run_sentences, run_words).drop("version")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,31 +248,30 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _clean(limit: int, words: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, cut_ = [], []
-            for text, gone in zip(batch.column("text"), batch.column("gone")):
-                raw, spans = (text.as_py() or "").encode(), gone.as_py() or []
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out, cut_ = [], []
+        for text, gone in zip(batch.column("text"), batch.column("gone")):
+            raw, spans = (text.as_py() or "").encode(), gone.as_py() or []
+            at, parts = 0, []
+            if spans:
                 data = np.frombuffer(raw, np.uint8)
-                starts, ends, begin, _ = sentences(data, np.array([0, len(data)]), limit)
-                if words:
-                    begin = np.arange(len(starts))
+                starts, ends, _, begin, _ = sentences(data, np.array([0, len(data)]))
                 after = np.r_[begin[1:], len(starts)].astype(np.int64)
-                at, parts = 0, []
-                for s in spans:
-                    parts.append(raw[at : starts[begin[s["first"]]]])
-                    at = int(ends[after[s["stop"] - 1] - 1])
-                out.append((b"".join(parts) + raw[at:]).decode())
-                cut_.append(sum(s["stop"] - s["first"] for s in spans))
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "gone")}
-            yield pa.RecordBatch.from_arrays([columns["doc_id"], pa.array(out, pa.string()), pa.array(cut_, pa.int32())], ["doc_id", "text", "n_removed"])
+            for s in spans:
+                parts.append(raw[at : starts[begin[s["first"]]]])
+                at = int(ends[after[s["stop"] - 1] - 1])
+            out.append((b"".join(parts) + raw[at:]).decode())
+            cut_.append(sum(s["stop"] - s["first"] for s in spans))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), pa.array(cut_, pa.int32())], ["doc_id", "text", "n_removed"])
 
-    return run
 
+def without_repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, text without its repeated sentences, n_removed: one row per document.
 
-def without_repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, words: bool = False) -> DataFrame:
-    """doc_id, text without its repeated sentences, or words, n_removed: one row per document, those without doc_id whole."""
-    gone = _stretches(docs, run_sentences, run_words, words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("gone"))
+    Those without doc_id stay whole; null texts become empty; texts of any length are read
+    whole; rows that repeat a doc_id lose what their own text repeats. No rows give no rows.
+    """
+    gone = _stretches(docs, run_sentences, run_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("gone"))
     ours = _documents(docs).join(gone, ["doc_id", "version"], "left").unionByName(id_text(docs).where("doc_id IS NULL"), allowMissingColumns=True)
-    return ours.mapInArrow(_clean(SENTENCE_WORDS, words), "doc_id long, text string, n_removed int")
+    return ours.mapInArrow(_clean, "doc_id long, text string, n_removed int")
