@@ -132,8 +132,8 @@ class Model:
 
 
 def held_out(doc_id):
-    """A fifth of all ids, by the CRC-32 of the id as text; never learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """A fifth of all ids, by the CRC-32 of the id as text; never learnt from. A missing id is in no fifth."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, bits: int = BITS, **options: float) -> Model:
@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epoc
 
     The sample is a hash range of the labelled ids, expected to hold ``sample_rows`` at
     most, so it is the same wherever rows lie. A document labelled twice is toxic if any
-    label says so; null labels count as none. Without usable labels every score is 0.5.
+    label says so; null labels count as none; of rows that repeat an id the text of the
+    least hash is learnt, once. Without usable labels every score is 0.5.
     The learner sees ``epochs`` differently ordered passes, streamed through one task.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND labelled_id IS NOT NULL")
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epoc
     share = min(1.0, sample_rows / n)
     chosen = known.where(F.pmod(F.xxhash64(F.lit(31), "labelled_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = id_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))  # bounded by sample_rows
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     turns = F.explode(F.sequence(F.lit(1), F.lit(epochs)))
     rows = sample.select("text", "toxic", F.col("doc_id").alias("turn")).mapInArrow(_featured(bits), "toxic int, turn long, features binary")
     rows = rows.select("toxic", "features", turns.alias("epoch"), "turn").repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "turn"), "turn")
@@ -193,5 +195,9 @@ def _passed(model: Model):
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score() does not predict toxic."""
+    """The rows of ``docs``, with all their columns, that score() does not predict toxic.
+
+    Null and empty texts get the bias' score; rows without doc_id and rows that repeat one
+    are judged each, by their text; texts of any length are read whole; no rows give no rows.
+    """
     return docs.mapInArrow(_passed(model), docs.schema)
