@@ -1,6 +1,7 @@
 """Operators and pipeline stages against brute force, and on edge cases."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from evoframe.llm import bpe, exact_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, queries, substring_dedup, token_counts, toxicity
+from evoframe.llm import bpe, exact_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, queries, shards, substring_dedup, token_counts, toxicity, vectext
+from evoframe.llm.cuckoo import CuckooFilter
 from tests.llm.conftest import EDGES
 
 SF = "/root/testdata/sf0.001"
@@ -157,11 +159,19 @@ def test_filters_settle_copies_of_different_tasks(make, monkeypatch):
     assert "Aggregate" not in index._jdf.queryExecution().toString()  # nothing else groups the digests
     assert collections.Counter((r.keep_id, r.group_size) for r in index.collect()) == collections.Counter([((1 << 60) + 1, 2), (7, 1), (None, 1), *((350 + i, 8) for i in range(50))])
     hits = []
-    real = exact_dedup.CuckooFilter.get
-    monkeypatch.setattr(exact_dedup.CuckooFilter, "get", lambda self, key: hits.append(key) or real(self, key))
-    batch = digests.withColumn("shard", F.lit(0).cast("int")).limit(3).toArrow().combine_chunks().to_batches()[0]
-    (folded,) = exact_dedup._fold(100)(iter([batch, batch]))
-    assert len(set(hits)) == 3 and folded.column("group_size").to_pylist() == [2, 2, 2]
+    real = CuckooFilter.get
+    monkeypatch.setattr(CuckooFilter, "get", lambda self, key: hits.append(key) or real(self, key))
+    held, keys = CuckooFilter(100), [bytes(r.digest) for r in digests.limit(3).collect()]
+    for _ in range(2):
+        shards.take(held, keys, [(None, 1)] * 3, ["max", "sum"])
+    assert len(set(hits)) == 3 and list(held.keys.values()) == [[None, 2]] * 3
+
+
+def test_partitions_follow_rows_not_shards(spark):
+    """Many shards share a partition in a large table, and so do many buckets."""
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [shards.parts_of(n, spark) for n in (1, 4, 100, 400_000)] == [1, min(4, few), max(few, 4), 12_500]
+    assert [lm_scoring.buckets_and_parts(n << 20, 8) for n in (1, 16, 1 << 24)] == [(0, 1), (4, 8), (24, 1 << 16)]
 
 
 def test_packing(make):
@@ -247,22 +257,28 @@ def test_attribution_rules():
     assert token_counts.attribute(first, last, starts[:0], ends[:0], "first")[0].tolist() == [-1] * 4
 
 
-def split_sentences(text):
-    out, now = [], []
-    for line in text.split("\n"):
-        for w in WORD.findall(line):
-            now.append(w.translate(LOWER))
-            if w[-1] in ".!?" or len(now) == 20:
-                out.append(tuple(now))
-                now = []
-        if now:
-            out.append(tuple(now))
-            now = []
+def split_sentences(text, near=substring_dedup.CUT_WORDS):
+    """Sentences as tuples of lower-cased words: they end at marks, line breaks and before words of locally least hash."""
+    words = [(w, line) for line, part in enumerate(text.split("\n")) for w in WORD.findall(part)]
+    hashes = [word_hash(w.translate(LOWER)) for w, _ in words]
+    least = [min(hashes[max(a, 0) : a + near]) for a in range(1 - near, len(words)) if words]  # of windows from a on
+    out = []
+    for i, (w, line) in enumerate(words):
+        chosen = any(least[a + near - 1] == hashes[i] for a in range(i - near + 1, i + 1))
+        if not i or chosen or words[i - 1][0][-1] in ".!?" or words[i - 1][1] != line:
+            out.append(())
+        out[-1] += (w.translate(LOWER),)
     return out
 
 
+@functools.cache
+def word_hash(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(vectext.span_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
 def test_repeated_spans(make, corpus):
-    texts = [*EDGES, *[t for _, t in corpus[:80]]]
+    texts = [*EDGES, *[t for _, t in corpus[:120]]]
     places = collections.defaultdict(list)
     for i, text in enumerate(texts):
         s = split_sentences(text or "")
@@ -289,13 +305,11 @@ def test_repeated_spans(make, corpus):
 def test_language_models(make, spark):
     texts = [*EDGES, *["alpha beta gamma"] * 20, *["delta beta gamma"] * 20]
     target = spark.createDataFrame([(i,) for i in range(len(EDGES), len(EDGES) + 20)], "doc_id long")
-    models = lm_scoring.fit(make(texts, extra=True), target, vocabulary=8, bits=14)
+    models = lm_scoring.fit(make(texts, extra=True), target)
     got = {r.doc_id: r for r in lm_scoring.score(make(texts, extra=True), models).collect()}
     assert got[len(EDGES)].score < 0 < got[len(texts) - 1].score and got[0].score == got[1].score == 0 and len(got) == len(texts)
-    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
-    top = collections.Counter(w for ws in words for w in ws)
-    assert len(models.vocabulary) == 8 and models.context.sum() == sum(top.values()) + 60 + sum(bool(w) for w in words) + 20
-    assert models.cells.sum(1).tolist() == [sum(top.values()), 60]
+    words = [w for t in texts for w in WORD.findall((t or "").translate(LOWER))]
+    assert models.words == len(set(words)) and models.tokens == (len(words), 60)
     empty = lm_scoring.fit(make([]), target)
     assert lm_scoring.score(make(["a b"]), empty).first().n_tokens == 2
 
@@ -304,7 +318,7 @@ def test_repeats_inside_sentences(make):
     """A passage of 60 words at any offset of a long sentence, and one between changed ends of short sentences."""
     rng = random.Random(3)
     fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
-    passage, short = fresh(60), [*fresh(14), "One", "two.", *fresh(16)]
+    passage, short = fresh(60), [*fresh(24), "One", "two.", *fresh(24)]  # 50 words: run words and five times the cut's
     texts = [*EDGES, " ".join(fresh(7) + passage + fresh(9)), " ".join(fresh(5) + short + fresh(5))]
     origins = len(texts) - 2, len(texts) - 1
     planted = {}
@@ -315,20 +329,21 @@ def test_repeats_inside_sentences(make):
         planted[len(texts)] = offset, len(short), origins[1]
         texts.append(" ".join(fresh(offset) + short + fresh(3)) + ".")
     found = collections.defaultdict(list)
-    for r in substring_dedup.removed_spans(make(texts, extra=True), words=True).collect():
+    for r in substring_dedup.removed_spans(make(texts, extra=True)).collect():
         found[r.doc_id].append(r)
-    near = substring_dedup.NEAR - 1
+    near = 2 * substring_dedup.CUT_WORDS
+    at_word = lambda i, k: sum(map(len, split_sentences(texts[i])[:k]))
     for i, (offset, n, origin) in planted.items():
         (r,) = found[i]
-        assert offset <= r.first <= offset + near and offset + n - near <= r.stop <= offset + n and r.first_doc_id == origin
+        assert offset <= at_word(i, r.first) <= offset + near and offset + n - near <= at_word(i, r.stop) <= offset + n and r.first_doc_id == origin
     assert not set(origins) & set(found)
-    clean = {r.doc_id: r for r in substring_dedup.without_repeats(make(texts), words=True).collect()}
-    for i, (offset, n, _) in planted.items():
+    clean = {r.doc_id: r for r in substring_dedup.without_repeats(make(texts)).collect()}
+    for i in planted:
         w, (r,) = WORD.findall(texts[i]), found[i]
-        assert WORD.findall(clean[i].text) == w[: r.first] + w[r.stop :] and clean[i].n_removed == r.stop - r.first
-    for i, text in enumerate(EDGES):  # equal windows of one text: its first one stays
+        assert WORD.findall(clean[i].text) == w[: at_word(i, r.first)] + w[at_word(i, r.stop) :] and clean[i].n_removed == r.stop - r.first
+    for i, text in enumerate(EDGES):  # equal runs of one text: all but the first
         if text and text.startswith("word "):
-            assert [(r.first, r.stop) for r in found[i]] == [(20, 30_000)]
+            assert [(r.first, r.stop) for r in found[i]] == [(1, 30_000)]
 
 
 def test_repeats_without_blanks(make):
@@ -339,14 +354,14 @@ def test_repeats_without_blanks(make):
     texts = [fresh(40) + "。" + passage + fresh(30), fresh(17) + passage + fresh(11), "clean " + fresh(60), "the cat " + passage]
     docs = make([*enumerate(texts), (3, "other words under the same id " * 2), (None, passage)])
     found = collections.defaultdict(list)
-    for r in substring_dedup.removed_spans(docs, words=True).collect():
+    for r in substring_dedup.removed_spans(docs).collect():
         found[r.doc_id].append((r.first, r.stop))
-    near = substring_dedup.NEAR
     assert set(found) == {1, 3} and len(found[1]) == len(found[3]) == 1
-    for i, at in ((1, 17), (3, 2)):
-        (first, stop), = found[i]
-        assert at <= first <= at + near and at + 225 - near <= stop <= at + 225
-    clean = sorted((r.doc_id or -1, r.text, r.n_removed) for r in substring_dedup.without_repeats(docs, words=True).collect())
+    clean = sorted((r.doc_id or -1, r.text, r.n_removed) for r in substring_dedup.without_repeats(docs).collect())
+    near = 2 * substring_dedup.CUT_WORDS
+    for i, own in ((1, 28), (3, 6)):  # letters, and "the cat"; full stops of the passage go with their letters
+        (kept,) = [t for j, t, n in clean if i == j and n]
+        assert own <= len(kept) <= own + 2 * near + 4
     assert (3, "other words under the same id " * 2, 0) in clean and (-1, passage, 0) in clean and len(clean) == 6
     (short,) = [t for i, t, n in clean if i == 3 and n]
     assert short.startswith("the cat") and len(short) < 30
@@ -354,13 +369,13 @@ def test_repeats_without_blanks(make):
 
 def test_hot_runs(make, monkeypatch):
     """Runs above the limit take another way to the same rows."""
-    words = [" ".join(f"s{i}" for i in range(25)) + f" tail{k} " + " ".join(f"u{k}x{i}" for i in range(30)) + "." for k in range(60)]
+    words = [" ".join(f"s{i}" for i in range(45)) + f" tail{k} " + " ".join(f"u{k}x{i}" for i in range(30)) + "." for k in range(60)]
     texts = words + [f"{w} one more two more" for w in words[:3]]
     results = []
     for limit in (500, 5):
         monkeypatch.setattr(substring_dedup, "HOT_ROWS", limit)
         monkeypatch.setattr(substring_dedup, "HOT_KEYS", 1 << 40)
-        results.append(rows(substring_dedup.removed_spans(make(texts), words=True), "doc_id", "first", "stop", "n_runs", "first_doc_id"))
+        results.append(rows(substring_dedup.removed_spans(make(texts)), "doc_id", "first", "stop", "n_runs", "first_doc_id"))
     assert results[0] == results[1] and len({r[0] for r in results[0]}) == 62
 
 
