@@ -9,13 +9,16 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoframe.config import config_from_file, models_from_file
+from evoframe.config import config_from_file, models_from_file, read_mapping
 from evoframe.functions.text import combined, truncated, word_count
+from evoframe.operators.corpus import build_index
 from evoframe.operators.population import run_summary
 from evoframe.plans.evolve import evolve
 from evoframe.session import cut, local_session
 from evoframe.sources.datasets import Catalog, write_results
-from evoframe.sources.models import offline_generate
+from evoframe.sources.embedding_cache import EmbeddingCache
+from evoframe.sources.models import HttpEmbedder, offline_embed, offline_generate, with_environment
+from evoframe.streaming.token_bucket import limited
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +33,11 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--resume", action="store_true", help="go on from the last complete generation")
     out.add_argument("--split", choices=("train", "test"), default="train")
     out.add_argument("--output-dir", default="outputs")
+    out.add_argument("--embedding-cache", help="folder of embeddings that all runs share")
+    out.add_argument("--embedder", help="JSON or YAML file with model, base_url and api_key; without it the offline one")
+    out.add_argument("--corpus", help="Parquet with id and text, or content, to retrieve knowledge from")
+    out.add_argument("--no-knowledge", action="store_true", help="leave samples without knowledge as they are")
+    out.add_argument("--requests-per-minute", type=float, help="of generation, dealt over the tasks that call")
     out.add_argument("--lambda-length", type=float, help="weight of the length score, if not the configuration's")
     return out
 
@@ -65,9 +73,20 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         config = config_from_file(options.config, length_bounds=dataset.percentiles, weight_length=options.lambda_length, weight_knowledge=options.lambda_knowledge)
         models = models_from_file(options.models) if options.models else None
         send = models or offline_generate
+        if options.requests_per_minute:
+            send = limited(send, options.requests_per_minute, spark.sparkContext.defaultParallelism)
+        embed, embed_model = offline_embed, "offline"
+        if options.embedder:
+            held = {k: with_environment(v) for k, v in read_mapping(options.embedder).items()}
+            embed, embed_model = HttpEmbedder(**held), held["model"]
+        cache = EmbeddingCache(spark, options.embedding_cache) if options.embedding_cache else None
+        corpus = build_index(spark.read.parquet(options.corpus)) if options.corpus else None
         judge = (models.get(models.names()[0]) if models else offline_generate) if options.use_knowledge_judge else None
         state = f"{options.output_dir}/{options.dataset}/state"
-        best, history = evolve(samples, config, send, snapshots=state, judge=judge, events=f"{options.output_dir}/{options.dataset}/events", resume=options.resume)
+        best, history = evolve(
+            samples, config, send, embed, snapshots=state, judge=judge, events=f"{options.output_dir}/{options.dataset}/events", resume=options.resume,
+            cache=cache, embed_model=embed_model, corpus=corpus, fill_knowledge=not options.no_knowledge,
+        )
         results = cut(result_rows(samples, best))
         write_results(results, f"{options.output_dir}/{options.dataset}/results")
         history.write.mode("overwrite").json(f"{options.output_dir}/{options.dataset}/history")

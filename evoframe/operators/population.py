@@ -106,7 +106,7 @@ def log_statistics(traj: DataFrame) -> DataFrame:
     )
 
 
-def converged(traj: DataFrame, threshold: float = 0.95) -> DataFrame:
+def converged(traj: DataFrame, threshold: float = 1.0) -> DataFrame:
     """sample_id, converged: whether the best fitness reaches the threshold; false without any."""
     return traj.groupBy("sample_id").agg(F.coalesce(F.max("fitness") >= threshold, F.lit(False)).alias("converged"))
 

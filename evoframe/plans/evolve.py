@@ -7,7 +7,7 @@ checkpointed once, which cuts its lineage and makes every opaque call run exactl
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,9 +18,11 @@ from evoframe.functions.text import exact_match, fitness, judge_score, length_sc
 from evoframe.operators import population as P
 from evoframe.operators import sampling as S
 from evoframe.operators import selection as N
-from evoframe.plans.variation import judge_prompt, varied
+from evoframe.operators.corpus import CorpusIndex, retrieved
+from evoframe.plans.variation import judge_prompt, varied, with_knowledge
 from evoframe.session import cut
-from evoframe.sources.datasets import load_state, log_events, save_state
+from evoframe.sources.datasets import Run, identity_of, load_run, load_state, save_state, write_events
+from evoframe.sources.embedding_cache import EmbeddingCache, embedded_once
 from evoframe.sources.models import Embed, Generate, Registry, embedded, generated, offline_embed, offline_generate
 
 MODES = (("add", 0.33), ("delete", 0.33), ("innovate", 0.34))
@@ -35,7 +37,7 @@ class EvolutionConfig:
     crossover_probability: float = 0.6
     neighbours: int = 5
     epsilon: float = 0.1
-    threshold: float = 1.8
+    threshold: float = 1.0
     length_bounds: tuple[int, int] = (1000, 4000)
     weight_length: float = 0.3
     weight_knowledge: float = 0.5
@@ -136,6 +138,15 @@ def offspring(scored: DataFrame, config: EvolutionConfig, generate: Generate | R
     return out.withColumn("id", trajectory_id("query", "reasoning", "source_model"))
 
 
+def _history(current: DataFrame, scored: DataFrame | None) -> DataFrame:
+    """Statistics of every population, with novelty, competition and front size of those still active."""
+    rows = P.statistics(current)
+    if scored is None:
+        return rows.withColumns({"avg_novelty": F.lit(None).cast("double"), "avg_local_competition": F.lit(None).cast("double"), "pareto_size": F.lit(None).cast("long")})
+    extra = P.history(scored, N.pareto_front(scored)).select("sample_id", "avg_novelty", "avg_local_competition", "pareto_size")
+    return rows.join(extra, "sample_id", "left")
+
+
 def evolve(
     samples: DataFrame,
     config: EvolutionConfig | None = None,
@@ -145,25 +156,42 @@ def evolve(
     judge: Generate | None = None,
     events: str | None = None,
     resume: bool = False,
+    cache: EmbeddingCache | None = None,
+    embed_model: str = "offline",
+    corpus: CorpusIndex | None = None,
+    fill_knowledge: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(best, history): the fittest trajectory of each sample, and statistics by generation.
 
     ``samples`` has id, query, answer and knowledge. The last generation's offspring are
     not evaluated, and so never the answer; elites keep the best fitness from falling.
     With ``snapshots`` every generation's state is kept there, and ``resume`` goes on from
-    the last complete one. With ``events`` each phase appends its log rows there.
+    the last complete one of the same samples and configuration; a state of others is an
+    error. With ``events`` each phase writes its log rows there, by run and generation.
+    With ``cache`` each (embed_model, text) is embedded once over all runs that share it.
+    Samples without knowledge get it before the pool is drawn: from ``corpus`` where
+    retrieval is reliable, else, with ``fill_knowledge``, from the generator.
     """
     config = config or EvolutionConfig()
     spark = samples.sparkSession
+    run = Run.new(identity_of(samples, asdict(config)) if snapshots else {})
+    held = None
+    if resume and snapshots:
+        found = load_run(spark, snapshots, run.identity)
+        if found is not None:
+            run, held = found[0], load_state(spark, snapshots, run.identity)
 
     def log(rows: DataFrame, phase: str, generation: int) -> None:
         if events is not None:
-            log_events(rows, phase, generation).write.mode("append").partitionBy("phase").json(events)
+            write_events(rows, phase, generation, run, events)
 
-    held = load_state(spark, snapshots) if resume and snapshots else None
     done: list[DataFrame] = []
     history: list[DataFrame] = []
     if held is None:
+        if corpus is not None or fill_knowledge:
+            found = retrieved(samples, corpus) if corpus is not None else None
+            found = None if found is None else found.withColumnRenamed("id", "doc").withColumnRenamed("query", "id")
+            samples = cut(with_knowledge(samples, generate if fill_knowledge else None, found))
         current, begun = cut(initial_pool(samples, config, generate)), 0
         log(current, "initial", 0)
     else:
@@ -179,13 +207,15 @@ def evolve(
         log(finished, "early_stop", generation)
         done.append(finished)
         active = current.join(state.where("NOT converged").select("sample_id"), "sample_id", "left_semi")
-        history.append(P.statistics(current).withColumn("generation", F.lit(generation)))
         if active.isEmpty():
             current = active
+            history.append(_history(done[-1], None).withColumn("generation", F.lit(generation)))
             if snapshots:
-                save_state(current, finished, history[-1], snapshots, generation)
+                save_state(run, current, finished, history[-1], snapshots, generation)
             break
-        scored = cut(N.scores(embedded(active, "reasoning", embed), config.neighbours))
+        vectors = embedded(active, "reasoning", embed) if cache is None else embedded_once(active, "reasoning", embed, cache, embed_model)
+        scored = cut(N.scores(vectors, config.neighbours))
+        history.append(cut(_history(current, scored).withColumn("generation", F.lit(generation))))
         children = cut(offspring(scored, config, generate, generation))
         for phase, method in (("crossover", "crossover%"), ("mutation", "mutation%"), ("error", "copy")):
             log(children.where(F.col("generation_method").like(method)), phase, generation)
@@ -193,7 +223,7 @@ def evolve(
         current = cut(P.replaced(scored.drop("novelty", "local_competition"), new, config.population, config.elite_ratio))
         log(current, "new_generation", generation)
         if snapshots:
-            save_state(current, finished, history[-1], snapshots, generation)
+            save_state(run, current, finished, history[-1], snapshots, generation)
     last = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*done, current])
     best = cut(P.best(last, 1).drop("rank"))
     log(best, "final_best", config.generations)

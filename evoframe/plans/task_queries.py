@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evoframe.functions import text as T
 from evoframe.operators import evaluation as E
 from evoframe.operators import retrieval as R
 from evoframe.operators import selection as N
+from evoframe.operators.corpus import build_index, retrieved
+from evoframe.operators.corpus import build_index, retrieved
 from evoframe.plans.queries import _ANSWER_SQL, _FIRST_SQL, _KNN_SQL, _STRIP, K, _docs
 from evoframe.plans.registry import query
 from evoframe.plans.traj import table, traj
+from evoframe.session import cut, use_checkpoint_dir
+from evoframe.sources.embedding_cache import EmbeddingCache, embedded_once
+from evoframe.session import cut, use_checkpoint_dir
+from evoframe.sources.embedding_cache import EmbeddingCache, embedded_once
 from evoframe.streaming.token_bucket import admitted
 
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''))"
@@ -197,6 +205,51 @@ def _(spark, d):
     return R.hit_rate(_cached(spark, d))
 
 
+def _lengths(texts):
+    return [[float(len(t))] for t in texts]
+
+
+@query(
+    "embedding_cache_write_back",
+    """WITH k AS (SELECT DISTINCT sha256('lengths:' || coalesce(text, '')) AS key FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id))
+    SELECT d.doc_id, sha256('lengths:' || coalesce(text, '')) AS key, k.key IS NOT NULL AS hit, true AS held, length(coalesce(text, ''))::BIGINT AS value
+    FROM documents d LEFT JOIN k ON k.key = sha256('lengths:' || coalesce(text, ''))""",
+)
+def _(spark, d):
+    """A first run embeds the labelled documents, a second one all: hits before its write-back, and the cache after it."""
+    cache = EmbeddingCache(spark, f"{use_checkpoint_dir(spark)}/cache-{uuid.uuid4()}")
+    docs = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("lengths").alias("model"))
+    labelled = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id")
+    cut(embedded_once(labelled, "text", _lengths, cache, "lengths"))
+    before = cut(cache.lookup(docs).select("doc_id", "key", "hit", "text", "model"))
+    cut(embedded_once(before.select("doc_id", "text"), "text", _lengths, cache, "lengths"))
+    after = cache.lookup(before.withColumnRenamed("hit", "before"), "model", "text")
+    found = cut(after.select("doc_id", "key", F.col("before").alias("hit"), F.col("hit").alias("held"), F.col("embedding")[0].cast("long").alias("value")))
+    cache.clear()
+    return found
+
+
+_TERMS_SQL = """list_filter(list_transform(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: trim(w, '.,;:!?()[]"''')), lambda w: w <> '')"""
+
+
+@query(
+    "corpus_retrieval",
+    f"""WITH d AS (SELECT doc_id, {_TERMS_SQL} AS words FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, words, len(words) AS n FROM d WHERE len(words) > 0),
+    t AS (SELECT count(*) AS docs, avg(n) AS average FROM l), p AS (SELECT doc_id, n, unnest(words) AS term FROM l), c AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM c GROUP BY term), q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+    w AS (SELECT item_id, q.term, ln(1 + (docs - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM q CROSS JOIN t LEFT JOIN f USING (term)),
+    s AS (SELECT item_id, doc_id, round(sum(idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / average)))), 6) AS bm25 FROM w JOIN c USING (term) CROSS JOIN t GROUP BY ALL),
+    m AS (SELECT item_id, sum(idf) AS most FROM w GROUP BY item_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id)::INTEGER AS rank FROM s)
+    SELECT item_id, rank, doc_id, bm25, round(least(bm25 / most, 1.0::DOUBLE), 6) AS score FROM r JOIN m USING (item_id) WHERE rank <= 3""",
+)
+def _(spark, d):
+    """The three best documents for every text of the benchmark."""
+    index = build_index(_docs(spark, d), "doc_id")
+    found = retrieved(table(spark, d, "benchmark"), index, 3, "item_id", "text")
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), "bm25", "score")
+
+
 _TOP_SQL = f"{_KNN_SQL}, top AS (SELECT sample_id, id, nid, rank::INT AS rank, round(1 / (1 + dist), 6) AS score FROM knn WHERE rank <= 3)"
 
 

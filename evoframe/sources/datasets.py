@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evoframe.session import cut
+from evoframe.sources.files import names, read_json, write_json
+
 #: Length bounds of a dataset that names none (fixed values).
 DEFAULT_PERCENTILES = (1000, 4000)
 
@@ -44,8 +52,6 @@ class Catalog:
     def from_file(cls, path: str) -> Catalog:
         text = Path(path).read_text(encoding="utf-8")
         if path.endswith(".json"):
-            import json
-
             held = json.loads(text)
         else:
             try:
@@ -149,33 +155,91 @@ def load_population(spark: SparkSession, path: str, generation: int | None = Non
     return rows.where(F.col("generation") == generation).drop("generation")
 
 
-def save_state(population: DataFrame, finished: DataFrame, history: DataFrame, path: str, generation: int) -> None:
-    """All that a run needs to go on after ``generation``; the population is written last and marks it as complete."""
-    finished.select(*[c for c in PERSISTED if c in finished.columns]).write.mode("overwrite").parquet(f"{path}_finished/generation={generation}")
-    history.drop("generation").write.mode("overwrite").parquet(f"{path}_history/generation={generation}")
-    save_population(population, path, generation)
+@dataclass(frozen=True)
+class Run:
+    """One run of the loop: its name, when it began, and what it runs on."""
+
+    id: str
+    begun: int
+    identity: dict
+
+    @classmethod
+    def new(cls, identity: dict) -> Run:
+        return cls(uuid.uuid4().hex, time.time_ns(), identity)
+
+
+def identity_of(samples: DataFrame, config: Mapping) -> dict:
+    """What a state belongs to: a hash of the configuration and one of the samples, whatever their order.
+
+    The number of generations is no part of it, so a finished run can be taken further.
+    """
+    held = {k: v for k, v in config.items() if k != "generations"}
+    row = samples.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "query", "answer", "knowledge").cast("decimal(38,0)")).alias("s")).first()
+    return {"config": hashlib.sha256(json.dumps(held, sort_keys=True).encode()).hexdigest(), "samples": f"{row.n}:{row.s or 0}"}
 
 
-def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
-    """Population, finished rows, history and number of the last complete generation; None if there is none."""
-    from pyspark.errors import AnalysisException
+def save_state(run: Run, population: DataFrame, finished: DataFrame, history: DataFrame, path: str, generation: int) -> None:
+    """All that a run needs to go on after ``generation``; a manifest that names the parts is written last.
 
-    try:
-        generation = spark.read.parquet(path).agg(F.max("generation")).first()[0]
-    except AnalysisException:
+    What a run that was stopped before its manifest left behind is never read, and is
+    replaced when the run gets there again.
+    """
+    spark = population.sparkSession
+    at = f"run={run.id}/generation"
+    finished.select(*[c for c in PERSISTED if c in finished.columns]).write.mode("overwrite").parquet(f"{path}_finished/{at}={generation}")
+    history.drop("generation").write.mode("overwrite").parquet(f"{path}_history/{at}={generation}")
+    save_population(population, f"{path}/run={run.id}", generation)
+    upto = lambda part: [f"{path}_{part}/{at}={g}" for g in range(1, generation + 1)]
+    held = {"run": run.id, "begun": run.begun, "identity": run.identity, "generation": generation, "population": f"{path}/{at}={generation}", "finished": upto("finished"), "history": upto("history")}
+    write_json(spark, f"{path}_manifests/{run.begun:020d}-{run.id}-{generation:06d}.json", held)
+
+
+def load_run(spark: SparkSession, path: str, identity: dict | None = None) -> tuple[Run, dict] | None:
+    """The newest run under ``path`` and its last whole manifest; None if there is none.
+
+    With ``identity`` the newest run of that identity, and an error if there are runs but
+    none of it: a state is never taken up by other samples or another configuration.
+    """
+    found = [read_json(spark, f"{path}_manifests/{n}") for n in names(spark, f"{path}_manifests") if n.endswith(".json")]
+    found = [m for m in found if m is not None]
+    ours = [m for m in found if identity is None or m["identity"] == identity]
+    if not ours:
+        if found:
+            last = found[-1]["identity"]
+            differs = [k for k in identity if identity[k] != last.get(k)]
+            raise ValueError(f"the state under {path} belongs to other {' and '.join(differs)}; run without resuming, or in another folder")
         return None
-    if generation is None:
+    last = max(ours, key=lambda m: (m["begun"], m["generation"]))
+    return Run(last["run"], last["begun"], last["identity"]), last
+
+
+def load_state(spark: SparkSession, path: str, identity: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+    """Population, finished rows, history and number of the last complete generation of one run; None if there is none."""
+    found = load_run(spark, path, identity)
+    if found is None:
         return None
-    upto = lambda part: spark.read.parquet(f"{path}_{part}").where(F.col("generation") <= generation)
-    return load_population(spark, path, generation), upto("finished").drop("generation"), upto("history"), int(generation)
+    run, held = found
+    read = lambda part: spark.read.option("basePath", f"{path}_{part}/run={run.id}").parquet(*held[part])
+    return spark.read.parquet(held["population"]), read("finished").drop("generation"), read("history"), held["generation"]
 
 
 def write_samples(results: DataFrame, path: str) -> None:
-    """One folder of JSON a sample, named by its number from 1 in order of id and the id's first 8 characters."""
-    from pyspark.sql import Window
+    """One folder of JSON a sample, named by its number from 1 in order of id and the id's first 8 characters.
 
-    numbered = results.select("sample_id").distinct().withColumn("sample", F.concat_ws("_", F.lit("sample"), F.row_number().over(Window.orderBy("sample_id")), F.substring("sample_id", 1, 8)))
-    results.join(numbered, "sample_id").write.mode("overwrite").partitionBy("sample").json(path)
+    Ids are dealt into ranges and numbered inside them, after the ids of the ranges before.
+    """
+    ranges = cut(results.select("sample_id").distinct().repartitionByRange("sample_id").withColumn("_range", F.spark_partition_id()))
+    counts = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())  # a row a partition
+    before = [(part, sum(n for p, n in counts if p < part)) for part, _ in counts]
+    offsets = results.sparkSession.createDataFrame(before, "_range int, _before long")
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("sample_id")) + F.col("_before")
+    named = ranges.join(F.broadcast(offsets), "_range").select("sample_id", F.concat_ws("_", F.lit("sample"), number.cast("string"), F.substring("sample_id", 1, 8)).alias("sample"))
+    results.join(named, "sample_id").write.mode("overwrite").partitionBy("sample").json(path)
+
+
+def write_events(rows: DataFrame, phase: str, generation: int, run: Run, path: str) -> None:
+    """A phase's log rows under run, generation and phase; a phase that is run again replaces its rows."""
+    log_events(rows, phase, generation).drop("phase", "generation").write.mode("overwrite").json(f"{path}/run={run.id}/generation={generation}/phase={phase}")
 
 
 def log_events(rows: DataFrame, phase: str, generation: int) -> DataFrame:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evoframe.sources.models import Registry
+
 _OUT = "key long, event_id long, at_us long, allowed boolean, level_us long"
 
 
@@ -83,8 +86,8 @@ class RateLimiter:
     Wrap a provider's call in it; each executor process then holds its own share.
     """
 
-    def __init__(self, per_minute: float, at_once: int, timeout: float = 60.0, clock=time.monotonic, sleep=time.sleep):
-        self.bucket = Bucket(max(1, int(per_minute)), int(60_000_000 / per_minute))
+    def __init__(self, per_minute: float, at_once: int, timeout: float = 60.0, clock=time.monotonic, sleep=time.sleep, burst: int | None = None):
+        self.bucket = Bucket(max(1, int(per_minute)) if burst is None else burst, int(60_000_000 / per_minute))
         self.places = threading.BoundedSemaphore(at_once)
         self.lock = threading.Lock()
         self.timeout, self.clock, self.sleep = timeout, clock, sleep
@@ -112,3 +115,23 @@ _SHARED: dict[str, object] = {}
 def shared(name: str, make):
     """One object a process under a name, made when first asked for: limiters, clients, caches on an executor."""
     return _SHARED[name] if name in _SHARED else _SHARED.setdefault(name, make())
+
+
+class _Limited:
+    def __init__(self, provider, share: float, name: str):
+        self.provider, self.share, self.name = provider, share, name
+
+    def __call__(self, prompts: list) -> list:
+        limiter = shared(self.name, lambda: RateLimiter(self.share, 1, timeout=3600.0, burst=1))
+        return [limiter(self.provider, [p])[0] for p in prompts]
+
+
+def limited(provider, per_minute: float, tasks: int):
+    """A provider, or a registry of them, of which all tasks together make at most ``per_minute`` calls, a prompt each.
+
+    Each of at most ``tasks`` tasks that run at the same time has an equal share, held by
+    its worker process, so the sum over the cluster stays under the limit wherever they run.
+    """
+    if isinstance(provider, Registry):
+        return Registry({name: limited(p, per_minute, tasks) for name, p in provider.thinkers.items()}, provider.operator)
+    return _Limited(provider, per_minute / tasks, f"limiter-{uuid.uuid4()}")
