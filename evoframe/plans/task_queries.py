@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evoframe.functions import text as T
 from evoframe.operators import evaluation as E
+from evoframe.operators import molecules as G
 from evoframe.operators import retrieval as R
 from evoframe.operators import selection as N
 from evoframe.operators.corpus import build_index, retrieved
@@ -250,6 +251,41 @@ def _(spark, d):
     return found.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), "bm25", "score")
 
 
+#: A benzene ring with a chain and an end, both from a part's own numbers.
+_STRUCTURE = "concat('c1ccccc1', repeat('C', CAST(p_size % 7 AS INT)), CASE p_partkey % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'N' WHEN 2 THEN 'Cl' WHEN 3 THEN 'C(=O)O' ELSE 'C#N' END, CASE WHEN p_size > 45 THEN ')' ELSE '' END)"
+
+
+@query(
+    "molecule_counts",
+    """WITH s AS (SELECT p_partkey, p_size % 7 AS n, p_partkey % 5 AS e, p_size <= 45 AS valid FROM part), c AS (
+      SELECT *, 6 + n + CASE WHEN e IN (3, 4) THEN 1 ELSE 0 END AS carbon, 5 + 2 * n + CASE e WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 0 END AS hydrogen,
+        CASE e WHEN 0 THEN 15.999 WHEN 1 THEN 14.007 WHEN 2 THEN 35.45 WHEN 3 THEN 2 * 15.999 ELSE 14.007 END AS other FROM s)
+    SELECT p_partkey, valid, CASE WHEN valid THEN carbon END::INTEGER AS carbon, CASE WHEN valid THEN hydrogen END::INTEGER AS hydrogen, CASE WHEN valid THEN 6 END::INTEGER AS benzene_ring,
+      CASE WHEN valid THEN 1 END::INTEGER AS ring_count, CASE WHEN valid THEN round(carbon * 12.011 + hydrogen * 1.008 + other, 3) END::DOUBLE AS weight,
+      CASE WHEN valid THEN CASE e WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN n + 1 ELSE n END END::INTEGER AS rot_bonds,
+      CASE WHEN valid THEN CASE WHEN e IN (0, 1, 3) THEN 1 ELSE 0 END END::INTEGER AS donors, CASE WHEN valid THEN CASE e WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END END::INTEGER AS acceptors FROM c""",
+)
+def _(spark, d):
+    """Counts and descriptors on graphs; the SQL counts by formula."""
+    rows = G.with_graph(table(spark, d, "part").select("p_partkey", F.expr(_STRUCTURE).alias("structure")), "structure")
+    m, held = F.col("m"), G.descriptors(F.col("m"))
+    counts = [G.group_count(m, g).alias(g) for g in ("carbon", "hydrogen", "benzene_ring")]
+    return rows.select("p_partkey", m["valid"].alias("valid"), *counts, held["ring_count"].alias("ring_count"), held["weight"].alias("weight"), held["rot_bonds"].alias("rot_bonds"), held["HBD"].alias("donors"), held["HBA"].alias("acceptors"))
+
+
+@query(
+    "molecule_edits",
+    """SELECT p_partkey, true AS valid, p_partkey % 3 <> 2 AS edit_valid, p_partkey % 3 = 0 AS exact_match, p_partkey % 3 = 0 AS same FROM part""",
+)
+def _(spark, d):
+    """A chain that should gain a chlorine: it did, written from the other end; it did elsewhere; it did not."""
+    chain = "repeat('C', CAST(3 + p_size % 7 AS INT))"
+    said = f"CASE p_partkey % 3 WHEN 0 THEN concat({chain}, 'Cl') WHEN 1 THEN concat('C(Cl)', {chain}, 'O') ELSE {chain} END"
+    rows = table(spark, d, "part").select("p_partkey", F.expr(chain).alias("source"), F.expr(said).alias("said"), F.expr(f"concat('Cl', {chain})").alias("truth"))
+    found = G.edited(rows, "source", "said", "truth", added="chlorine")
+    return found.select("p_partkey", "valid", "edit_valid", "exact_match", (F.col("similarity") == 1).alias("same"))
+
+
 _TOP_SQL = f"{_KNN_SQL}, top AS (SELECT sample_id, id, nid, rank::INT AS rank, round(1 / (1 + dist), 6) AS score FROM knn WHERE rank <= 3)"
 
 
