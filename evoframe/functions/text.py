@@ -116,12 +116,14 @@ def _with_json(t: Column, key: str) -> Column:
 
 
 def _with_phrase(t: Column, phrase: str) -> Column:
-    pattern = rf"(?isU)\n\n{phrase}\s*:?\s*(.+?)\s*$"
+    pattern = rf"(?isU)\n\n{phrase}\s*:?\s*(.+)$"
 
-    def parts(found: Column) -> Column:
-        return F.when(found.isNotNull(), _pair(_before(t, found), strip(F.regexp_extract(found, pattern, 1))))
+    def parts(x: Column) -> Column:
+        return F.when(x["found"].isNotNull(), _pair(_before(x["core"], x["found"]), strip(F.regexp_extract(x["found"], pattern, 1))))
 
-    return F.when(t.contains("\n\n"), bind(F.regexp_substr(t, F.lit(pattern)), parts))
+    # White space at the end becomes one blank, so that nothing is tried again for each of it.
+    found = lambda core: bind(F.struct(core.alias("core"), F.regexp_substr(core, F.lit(pattern)).alias("found")), parts)
+    return F.when(t.contains("\n\n"), bind(F.regexp_replace(t, _END, " "), found))
 
 
 def last_line(text) -> Column:

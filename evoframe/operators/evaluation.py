@@ -61,7 +61,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def confidence(answer: Column) -> Column:
     """struct<answer,confidence>: 'text & 80' and 'text 80' give 0.8; other answers none."""
-    forms = [r"(?s)^(.*?)\s*&\s*(\d+)", r"(?s)^(.*?)\s+(\d+)$"]
+    forms = [r"(?s)^(.*?)&\s*(\d+)", r"(?s)^(.*\s)(\d+)$"]  # white space before either is stripped from the answer
 
     def parts(t: Column) -> Column:
         form = lambda p: F.when(t.rlike(p), F.struct(strip(F.regexp_extract(t, p, 1)).alias("answer"), (F.regexp_extract(t, p, 2).try_cast("double") / 100).alias("confidence")))
@@ -106,6 +106,20 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
 
 
+def _numbered(words: Column) -> Column:
+    """Words with their occurrence number behind them, so that sets of them meet as often as the words do."""
+
+    def runs(x: Column) -> Column:
+        begins = F.filter(F.transform(x["sorted"], lambda w, i: F.when((i == 0) | (w != F.get(x["sorted"], i - 1)), i)), lambda i: i.isNotNull())
+        return bind(F.struct(x["distinct"].alias("distinct"), begins.alias("begins"), F.size(x["sorted"]).alias("n")), counted)
+
+    def counted(x: Column) -> Column:
+        times = lambda k: F.coalesce(F.get(x["begins"], k + 1), x["n"]) - F.get(x["begins"], k)
+        return F.flatten(F.transform(x["distinct"], lambda w, k: F.transform(F.sequence(F.lit(1), times(k)), lambda j: F.concat_ws("\n", w, j.cast("string")))))
+
+    return bind(F.struct(F.sort_array(words).alias("sorted"), F.sort_array(F.array_distinct(words)).alias("distinct")), runs)
+
+
 def sentence_bleu(prediction: Column, truth: Column) -> Column:
     """BLEU of one reply against one truth over words and word pairs, equally weighted, with a brevity penalty.
 
@@ -117,10 +131,7 @@ def sentence_bleu(prediction: Column, truth: Column) -> Column:
     def counted(x: Column, n: int) -> Column:
         grams = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
-        def clipped(g: Column) -> Column:
-            times = lambda all_, w: F.size(F.filter(all_, lambda v: v == w))
-            return F.aggregate(F.array_distinct(g["p"]), F.lit(0), lambda total, w: total + F.least(times(g["p"], w), times(g["g"], w)))
-
+        clipped = lambda g: F.size(F.array_intersect(_numbered(g["p"]), _numbered(g["g"])))
         return bind(F.struct(grams(x["p"]).alias("p"), grams(x["g"]).alias("g")), lambda g: F.struct(clipped(g).alias("hits"), F.greatest(F.size(g["p"]), F.lit(1)).alias("of")))
 
     def scored(x: Column) -> Column:
@@ -248,6 +259,7 @@ def evaluated_batch(predictions: DataFrame, truths: DataFrame, key: str = "id")
 
 def longest_structure(text: Column) -> Column:
     """The longest line-notation structure in a text, the first of equals; null without any."""
+    # Fixed patterns: what counts as a structure in running text.
     forms = [r"([CNOcnoFfPSpsBbBr?Ii][A-Za-z0-9@+\-\[\]\(\)\\=#$]+)", r"([CNOcno].{0,100})"]
 
     def longest(form: str) -> Column:

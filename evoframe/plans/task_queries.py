@@ -370,6 +370,25 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.round(E.sentence_bleu(said, true), 6).alias("bleu"))
 
 
+_TOKENS_SQL = r"regexp_extract_all(lower({0}), '([\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s])')"
+
+
+@query(
+    "document_bleu",
+    f"""WITH d AS (SELECT a.doc_id, {_TOKENS_SQL.format('a.text')} AS p, {_TOKENS_SQL.format('b.text')} AS g FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    grams AS (SELECT doc_id, 1 AS n, p, g FROM d UNION ALL SELECT doc_id, 2, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]), list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) FROM d),
+    x AS (SELECT doc_id, n, w, count(*) AS c FROM (SELECT doc_id, n, unnest(p) AS w FROM grams) GROUP BY ALL), y AS (SELECT doc_id, n, w, count(*) AS c FROM (SELECT doc_id, n, unnest(g) AS w FROM grams) GROUP BY ALL),
+    h AS (SELECT doc_id, n, sum(least(x.c, y.c)) AS hits FROM x JOIN y USING (doc_id, n, w) GROUP BY ALL),
+    r AS (SELECT doc_id, coalesce(max(hits) FILTER (WHERE n = 1), 0) AS one, exp(avg(ln(CASE WHEN hits > 0 THEN hits::DOUBLE ELSE 0.1::DOUBLE END / greatest(len(p), 1)))) AS mean FROM grams LEFT JOIN h USING (doc_id, n) GROUP BY doc_id)
+    SELECT doc_id, round(CASE WHEN one = 0 THEN 0.0 ELSE mean * CASE WHEN len(p) > len(g) THEN 1.0 ELSE exp(1 - len(g)::DOUBLE / len(p)) END END, 6) AS bleu FROM r JOIN d USING (doc_id)""",
+)
+def _(spark, d):
+    """Every document against the next one, whole texts."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
+    return pairs.select("doc_id", F.round(E.sentence_bleu(F.col("text"), F.col("next")), 6).alias("bleu"))
+
+
 @query(
     "task_dispatch",
     """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ERR' WHEN 1 THEN 'PQA' WHEN 2 THEN 'ORD' WHEN 3 THEN 'GEN' ELSE 'SUM' END AS task,

@@ -116,3 +116,21 @@ def test_bleu_by_hand(spark):
     frame = spark.createDataFrame([("the cat sat", "the cat sat"), ("the the the cat", "the cat is here now"), ("dog", "cat"), ("", "cat"), (None, "cat")], "p string, g string")
     got = [r.b for r in frame.select(sentence_bleu(F.col("p"), F.col("g")).alias("b")).collect()]
     assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(math.exp(1 - 5 / 4) * math.sqrt(2 / 4 * 1 / 3)) and got[2:] == [0.0, 0.0, None]
+
+
+def test_time_is_linear_in_a_row(spark):
+    """A hundred thousand blanks, and two texts of twenty thousand words, in seconds."""
+    import time
+
+    from evoframe.functions.text import reasoning_and_answer
+    from evoframe.operators.evaluation import confidence, sentence_bleu
+
+    blanks = " " * 100_000
+    words = " ".join(f"w{i % 7000}" for i in range(20_000))
+    frame = spark.createDataFrame([(f"So.\n\nAnswer: x{blanks}y", f"yes{blanks}& 80", f"yes{blanks}80", words, words[5:])], "a string, b string, c string, p string, g string")
+    began = time.perf_counter()
+    parsed, first, second, bleu = frame.select(reasoning_and_answer("a"), confidence(F.col("b")), confidence(F.col("c")), sentence_bleu(F.col("p"), F.col("g"))).first()
+    assert time.perf_counter() - began < 30
+    assert tuple(parsed) == ("So.", f"x{blanks}y") and tuple(first) == tuple(second) == ("yes", 0.8) and 0.99 < bleu <= 1
+    odd = spark.createDataFrame([("r\n\nAnswer:   ",), ("r\n\nAnswer:",), ("r\n\nAnswer: a\n\n b \n",)], "t string")
+    assert [tuple(r.p) for r in odd.select(reasoning_and_answer("t").alias("p")).collect()] == [("r", ""), ("r", ":"), ("r", "a\n\n b")]
