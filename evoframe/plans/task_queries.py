@@ -252,7 +252,7 @@ def _(spark, d):
 
 
 #: A benzene ring with a chain and an end, both from a part's own numbers.
-_STRUCTURE = "concat('c1ccccc1', repeat('C', CAST(p_size % 7 AS INT)), CASE p_partkey % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'N' WHEN 2 THEN 'Cl' WHEN 3 THEN 'C(=O)O' ELSE 'C#N' END, CASE WHEN p_size > 45 THEN ')' ELSE '' END)"
+_RING_CHAIN = "concat('c1ccccc1', repeat('C', CAST(p_size % 7 AS INT)), CASE p_partkey % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'N' WHEN 2 THEN 'Cl' WHEN 3 THEN 'C(=O)O' ELSE 'C#N' END, CASE WHEN p_size > 45 THEN ')' ELSE '' END)"
 
 
 @query(
@@ -267,7 +267,7 @@ _STRUCTURE = "concat('c1ccccc1', repeat('C', CAST(p_size % 7 AS INT)), CASE p_pa
 )
 def _(spark, d):
     """Counts and descriptors on graphs; the SQL counts by formula."""
-    rows = G.with_graph(table(spark, d, "part").select("p_partkey", F.expr(_STRUCTURE).alias("structure")), "structure")
+    rows = G.with_graph(table(spark, d, "part").select("p_partkey", F.expr(_RING_CHAIN).alias("structure")), "structure")
     m, held = F.col("m"), G.descriptors(F.col("m"))
     counts = [G.group_count(m, g).alias(g) for g in ("carbon", "hydrogen", "benzene_ring")]
     return rows.select("p_partkey", m["valid"].alias("valid"), *counts, held["ring_count"].alias("ring_count"), held["weight"].alias("weight"), held["rot_bonds"].alias("rot_bonds"), held["HBD"].alias("donors"), held["HBA"].alias("acceptors"))

@@ -7,7 +7,7 @@ from evoframe.plans import queries, task_queries  # noqa: F401
 from evoframe.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings labels benchmark conversations events lineitem orders".split()
+TABLES = "documents embeddings labels benchmark conversations events lineitem orders part".split()
 
 
 @pytest.fixture(scope="module")
