@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
+import sys
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,8 @@ from evoframe.functions.text import combined, truncated, word_count
 from evoframe.operators.corpus import build_index
 from evoframe.operators.population import run_summary
 from evoframe.plans.evolve import evolve
+from evoframe.plans.progress import Progress, Watch
+from evoframe.plans.templates import templates_from
 from evoframe.session import cut, local_session
 from evoframe.sources.datasets import Catalog, write_results
 from evoframe.sources.embedding_cache import EmbeddingCache
@@ -38,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--corpus", help="Parquet with id and text, or content, to retrieve knowledge from")
     out.add_argument("--no-knowledge", action="store_true", help="leave samples without knowledge as they are")
     out.add_argument("--requests-per-minute", type=float, help="of generation, dealt over the tasks that call")
+    out.add_argument("--templates", help="JSON or YAML file of prompts and parsers by dataset")
+    out.add_argument("--progress", type=float, metavar="SECONDS", help="report samples, phase and tasks to the error stream at this interval")
     out.add_argument("--lambda-length", type=float, help="weight of the length score, if not the configuration's")
     return out
 
@@ -62,6 +68,11 @@ def result_rows(samples: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
+def report(state: Progress) -> None:
+    """A line of progress on the error stream."""
+    print(f"{state.phase}: {state.completed} of {state.total} samples, {state.tasks_done} of {state.tasks} tasks, {state.seconds:.0f} s", file=sys.stderr)
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0 once the run is over, even if samples failed; 1 for an unknown dataset or a failed run."""
     options = parser().parse_args(arguments)
@@ -83,10 +94,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         corpus = build_index(spark.read.parquet(options.corpus)) if options.corpus else None
         judge = (models.get(models.names()[0]) if models else offline_generate) if options.use_knowledge_judge else None
         state = f"{options.output_dir}/{options.dataset}/state"
-        best, history = evolve(
-            samples, config, send, embed, snapshots=state, judge=judge, events=f"{options.output_dir}/{options.dataset}/events", resume=options.resume,
-            cache=cache, embed_model=embed_model, corpus=corpus, fill_knowledge=not options.no_knowledge,
-        )
+        templates = templates_from(read_mapping(options.templates)) if options.templates else None
+        watch = Watch(spark, report, interval=options.progress) if options.progress else None
+        with watch or contextlib.nullcontext():
+            best, history = evolve(
+                samples.withColumn("dataset", F.lit(options.dataset)), config, send, embed, snapshots=state, judge=judge, events=f"{options.output_dir}/{options.dataset}/events",
+                resume=options.resume, cache=cache, embed_model=embed_model, corpus=corpus, fill_knowledge=not options.no_knowledge, templates=templates, watch=watch,
+            )
         results = cut(result_rows(samples, best))
         write_results(results, f"{options.output_dir}/{options.dataset}/results")
         history.write.mode("overwrite").json(f"{options.output_dir}/{options.dataset}/history")

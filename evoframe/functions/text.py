@@ -18,6 +18,10 @@ ANSWER = "<|answer|>"
 ANSWER_KEYS = ("Major Product", "result", "answer", "By Product")
 #: Phrases that introduce a final answer after a blank line, in order (fixed values).
 ANSWER_PHRASES = ("final result", "The answer is", "Answer", "Thus, the answer is")
+#: Phrases taken off the front of an answer that is a reply's last line; the first that fits goes (fixed values).
+LINE_PHRASES = ("Answer:", "The answer is", "Result:", "Final answer:")
+#: Marks around an answer (fixed values).
+ANSWER_MARKS = ("[ANSWER_START]", "[ANSWER_END]")
 #: The look-behind starts a run of white space once, which keeps the search linear.
 _END = r"(?U)(?<!\s)\s++$"
 _EDGES = r"(?U)^\s+|(?<!\s)\s++$"
@@ -170,6 +174,60 @@ def final_result(answer) -> Column:
     return combined(F.lit("Your reasoning goes here"), bind(_c(answer), written))
 
 
+def answer_line(text) -> Column:
+    """The last line with text, without one leading phrase of LINE_PHRASES in any case; '' without such a line, null for null."""
+    phrases = "|".join(LINE_PHRASES)
+    return strip(F.regexp_replace(strip(last_line(text)), f"(?i)^(?:{phrases})", ""))
+
+
+def answer_json(text) -> Column:
+    """The ``result`` of the last flat JSON object that ends with that key; where there is none, or it is no JSON, answer_line().
+
+    An object that has a key twice is no JSON here.
+    """
+    pattern = r'\{[^{}]*"result"\s*:\s*"[^"]*"\s*\}'
+
+    def of_last(t: Column) -> Column:
+        found = F.try_element_at(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.lit(-1))
+        return F.coalesce(F.try_variant_get(F.try_parse_json(found), "$.result", "string"), answer_line(t))
+
+    return bind(_c(text), of_last)
+
+
+def answer_marked(text) -> Column:
+    """The stripped text from the first [ANSWER_START] to the next [ANSWER_END]; without such a pair answer_line()."""
+    start, end = ANSWER_MARKS
+
+    def parts(t: Column) -> Column:
+        rest = F.when(t.contains(start), F.substring(t, F.locate(start, t) + len(start), F.length(t)))
+        inner = bind(rest, lambda r: F.when(r.contains(end), strip(F.substring(r, F.lit(1), F.locate(end, r) - 1))))
+        return F.coalesce(inner, answer_line(t))
+
+    return bind(_c(text), parts)
+
+
+def pure_reasoning(text) -> Column:
+    """The stripped text between the markers, where both are there ('' if reversed), else the text as it is; '' for null."""
+
+    def parts(t: Column) -> Column:
+        i, j = F.locate(THINK, t), F.locate(ANSWER, t)
+        inner = strip(F.substring(t, i + len(THINK), F.greatest(j - i - len(THINK), F.lit(0))))
+        return F.when(t.isNull(), "").when((i > 0) & (j > 0), inner).otherwise(t)
+
+    return bind(_c(text), parts)
+
+
+def reasoning_length(text, of: str = "words") -> Column:
+    """Length of a reasoning by one of three definitions: ``words`` and ``chars`` of pure_reasoning(), ``raw_words`` of all of it."""
+    if of == "raw_words":
+        return word_count(text)
+    if of == "words":
+        return word_count(pure_reasoning(text))
+    if of == "chars":
+        return F.length(pure_reasoning(text)).cast("long")
+    raise ValueError(f"unknown length {of!r}; known: chars, raw_words, words")
+
+
 def combined(reasoning, answer) -> Column:
     return F.concat(F.lit(THINK + "\n"), _c(reasoning), F.lit("\n" + ANSWER + "\n"), _c(answer))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import time
 import uuid
@@ -14,6 +15,7 @@ from pyspark import InheritableThread, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evoframe.plans.progress import Progress, Watch
 from evoframe.session import cut, remove_folder, use_checkpoint_dir
 from evoframe.sources.files import write_json
 
@@ -37,9 +39,9 @@ class BatchStatistics:
         return 100 * self.successful / self.total if self.total else 0.0
 
 
-def _within(spark, seconds: float | None, pool: str | None, job: Callable[[], DataFrame]) -> DataFrame | str:
+def _within(spark, group: str, seconds: float | None, pool: str | None, job: Callable[[], DataFrame]) -> DataFrame | str:
     """The job's result, or what went wrong. Once the time is over its Spark jobs are cancelled, and those it would start later."""
-    group, out = str(uuid.uuid4()), []
+    out = []
 
     def run() -> None:
         spark.sparkContext.setJobGroup(group, "batch", interruptOnCancel=True)
@@ -60,7 +62,14 @@ def _within(spark, seconds: float | None, pool: str | None, job: Callable[[], Da
 
 
 def process(
-    samples: DataFrame, run: Callable[[DataFrame], DataFrame], batch_size: int = 1000, timeout: float | None = 300.0, progress: Callable[[int, int], None] | None = None, at_once: int = 1
+    samples: DataFrame,
+    run: Callable[[DataFrame], DataFrame],
+    batch_size: int = 1000,
+    timeout: float | None = 300.0,
+    progress: Callable[[int, int], None] | None = None,
+    at_once: int = 1,
+    watched: Callable[[Progress], None] | None = None,
+    interval: float = 1.0,
 ) -> tuple[DataFrame, BatchStatistics]:
     """(results, statistics): ``run`` over batches of ``samples``, which have a unique ``id``.
 
@@ -68,7 +77,8 @@ def process(
     ``state`` (ok, error, timeout) and ``error``. Up to ``at_once`` batches run at the same
     time, each in a scheduler pool of its own. A batch that exceeds ``timeout`` seconds is
     cancelled with all it would start later, one that fails is marked, and the others go
-    on. ``progress`` is told the samples done and in all. Samples are dealt by a hash of
+    on. ``progress`` is told the samples done and in all after each batch, ``watched`` at
+    intervals of seconds also the tasks of the batches that run. Samples are dealt by a hash of
     the id and written once, by batch; a batch reads its own folder.
     """
     spark, began = samples.sparkSession, time.perf_counter()
@@ -79,23 +89,29 @@ def process(
     placed.repartition("_batch").write.partitionBy("_batch").parquet(f"{folder}/samples")
     sizes = {r["_batch"]: r["count"] for r in spark.read.parquet(f"{folder}/samples").groupBy("_batch").count().collect()} if total else {}  # a row a batch
     done, lock = 0, threading.Lock()
+    watch = Watch(spark, watched, total, interval) if watched is not None else None
 
     def one(batch: int) -> DataFrame:
         nonlocal done
         own = spark.read.schema(samples.schema).parquet(f"{folder}/samples/_batch={batch}")
-        found = _within(spark, timeout, f"batch-{batch}" if at_once > 1 else None, lambda: cut(run(own)))
+        group = str(uuid.uuid4())
+        if watch is not None:
+            watch.begin(group)
+        found = _within(spark, group, timeout, f"batch-{batch}" if at_once > 1 else None, lambda: cut(run(own)))
         if isinstance(found, str):
             rows = own.select(F.col("id").alias("sample_id"), F.lit("timeout" if found == "timeout" else "error").alias("state"), F.lit(found).alias("error"))
         else:
             rows = own.select("id").join(found.withColumn("_found", F.lit(True)), F.col("id") == F.col("sample_id"), "left").drop("sample_id").withColumnRenamed("id", "sample_id")
             rows = rows.withColumn("state", F.when(F.col("_found"), "ok").otherwise("error")).withColumn("error", F.when(F.col("_found").isNull(), "no result")).drop("_found")
+        if watch is not None:
+            watch.end(group, sizes[batch])
         with lock:
             done += sizes[batch]
             if progress is not None:
                 progress(done, total)
         return rows
 
-    with ThreadPoolExecutor(at_once) as pool:
+    with watch or contextlib.nullcontext(), ThreadPoolExecutor(at_once) as pool:
         parts = list(pool.map(inheritable_thread_target(spark)(one), sorted(sizes)))
     if not parts:
         parts = [samples.select(F.col("id").alias("sample_id"), F.lit("ok").alias("state"), F.lit(None).cast("string").alias("error"))]

@@ -7,6 +7,7 @@ checkpointed once, which cuts its lineage and makes every opaque call run exactl
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -19,6 +20,8 @@ from evoframe.operators import population as P
 from evoframe.operators import sampling as S
 from evoframe.operators import selection as N
 from evoframe.operators.corpus import CorpusIndex, retrieved
+from evoframe.plans.progress import Watch
+from evoframe.plans.templates import Template, described, template_prompt, template_reply, with_templates
 from evoframe.plans.variation import judge_prompt, varied, with_knowledge
 from evoframe.session import cut
 from evoframe.sources.datasets import Run, identity_of, load_run, load_state, save_state, write_events
@@ -61,13 +64,12 @@ class EvolutionConfig:
         return max(2, int(self.population * (1 - self.elite_ratio)))
 
 
-def _parsed(rows: DataFrame, method: str | None = None) -> DataFrame:
-    """Replies that came through, as trajectory columns."""
-    parts = rows.where("error IS NULL AND output IS NOT NULL").withColumn("p", reasoning_and_answer("output"))
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Replies that came through, as trajectory columns; with a column ``parser``, answers by the parser it names."""
+    split = template_reply(F.col("output"), F.col("parser")) if "parser" in rows.columns else reasoning_and_answer("output")
+    parts = rows.where("error IS NULL AND output IS NOT NULL").withColumn("p", split)
     named = parts.withColumn("reasoning", F.col("p.reasoning")).withColumn("answer", F.col("p.answer"))
-    if method is not None:
-        named = named.withColumn("generation_method", F.lit(method))
-    return named.withColumn("id", trajectory_id("query", "reasoning", "source_model")).drop("p", "output", "error", "prompt")
+    return named.withColumn("id", trajectory_id("query", "reasoning", "source_model")).drop("p", "output", "error", "prompt", "parser")
 
 
 def _operators(rows: DataFrame, generate: Generate | Registry) -> DataFrame:
@@ -76,13 +78,25 @@ def _operators(rows: DataFrame, generate: Generate | Registry) -> DataFrame:
     return rows.withColumn("operator", named)
 
 
-def initial_pool(samples: DataFrame, config: EvolutionConfig, generate: Generate | Registry, model: str = "offline") -> DataFrame:
-    """``population`` draws a sample: plain ones first, then ones whose prompt holds the sample's knowledge."""
-    slots = samples.select(F.col("id").alias("sample_id"), F.coalesce("query", F.lit("")).alias("query"), F.col("answer").alias("truth"), "knowledge").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.population - 1).cast("long"))))
+def initial_pool(samples: DataFrame, config: EvolutionConfig, generate: Generate | Registry, model: str = "offline", templates: Mapping[str | None, Template] | None = None) -> DataFrame:
+    """``population`` draws a sample: plain ones first, then ones whose prompt holds the sample's knowledge.
+
+    With ``templates`` samples have a column ``dataset``, which names the prompt and the
+    parser of their replies.
+    """
+    if templates is not None:
+        samples = with_templates(samples, templates)
+    slots = samples.select(F.col("id").alias("sample_id"), F.coalesce("query", F.lit("")).alias("query"), F.col("answer").alias("truth"), "knowledge", *(["template"] if templates is not None else [])).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.population - 1).cast("long"))))
     informed = (F.col("pos") >= config.vanilla) & F.col("knowledge").isNotNull()
-    ask = F.concat(F.lit("Question:\n"), "query", F.when(informed, F.concat(F.lit("\nKnowledge:\n"), "knowledge")).otherwise(""), F.lit("\nDraw "), F.col("pos").cast("string"))
+    if templates is None:
+        ask = F.concat(F.lit("Question:\n"), "query", F.when(informed, F.concat(F.lit("\nKnowledge:\n"), "knowledge")).otherwise(""))
+    else:
+        ask = template_prompt(F.col("query"), F.col("knowledge"), informed)
+    ask = F.concat(ask, F.lit("\nDraw "), F.col("pos").cast("string"))
     thinker = generate.thinker_for(uniform(config.seed, "sample_id", "pos")) if isinstance(generate, Registry) else F.lit(model)
-    rows = slots.withColumn("prompt", ask).withColumn("source_model", thinker).withColumn("generation_method", F.when(informed, "knowledge_augmented").otherwise("vanilla"))
+    if templates is not None:
+        slots = slots.withColumn("parser", F.col("template.parser"))
+    rows = slots.withColumn("prompt", ask).drop("template").withColumn("source_model", thinker).withColumn("generation_method", F.when(informed, "knowledge_augmented").otherwise("vanilla"))
     blank = {"fitness": "double", "exact_match": "boolean", "length_score": "double", "knowledge_score": "int", "embedding": "array<float>"}
     return _parsed(generated(rows, "prompt", generate, model="source_model")).withColumns({k: F.lit(None).cast(t) for k, t in blank.items()})
 
@@ -160,6 +174,8 @@ def evolve(
     embed_model: str = "offline",
     corpus: CorpusIndex | None = None,
     fill_knowledge: bool = False,
+    templates: Mapping[str | None, Template] | None = None,
+    watch: Watch | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(best, history): the fittest trajectory of each sample, and statistics by generation.
 
@@ -170,11 +186,13 @@ def evolve(
     error. With ``events`` each phase writes its log rows there, by run and generation.
     With ``cache`` each (embed_model, text) is embedded once over all runs that share it.
     Samples without knowledge get it before the pool is drawn: from ``corpus`` where
-    retrieval is reliable, else, with ``fill_knowledge``, from the generator.
+    retrieval is reliable, else, with ``fill_knowledge``, from the generator. ``templates``
+    give the first prompts and parsers by the samples' ``dataset``. ``watch`` is told the
+    phase, and the samples that have come to their end.
     """
     config = config or EvolutionConfig()
     spark = samples.sparkSession
-    run = Run.new(identity_of(samples, asdict(config)) if snapshots else {})
+    run = Run.new(identity_of(samples, asdict(config) | ({"templates": described(templates)} if templates is not None else {})) if snapshots else {})
     held = None
     if resume and snapshots:
         found = load_run(spark, snapshots, run.identity)
@@ -185,6 +203,15 @@ def evolve(
         if events is not None:
             write_events(rows, phase, generation, run, events)
 
+    def step(phase: str, finished: DataFrame | None = None) -> None:
+        if watch is not None:
+            watch.phase = phase
+            if finished is not None:
+                watch.completed += finished.select("sample_id").distinct().count()
+
+    if watch is not None and not watch.total:
+        watch.total = samples.count()
+    step("initial")
     done: list[DataFrame] = []
     history: list[DataFrame] = []
     if held is None:
@@ -192,20 +219,23 @@ def evolve(
             found = retrieved(samples, corpus) if corpus is not None else None
             found = None if found is None else found.withColumnRenamed("id", "doc").withColumnRenamed("query", "id")
             samples = cut(with_knowledge(samples, generate if fill_knowledge else None, found))
-        current, begun = cut(initial_pool(samples, config, generate)), 0
+        current, begun = cut(initial_pool(samples, config, generate, templates=templates)), 0
         log(current, "initial", 0)
     else:
         current, finished, before, begun = held
         current = cut(current.withColumn("embedding", F.lit(None).cast("array<float>")))
         done.append(finished)
         history.append(before)
+        step("resumed", finished)
     for generation in range(begun + 1, config.generations + 1):
+        step(f"evaluation {generation}")
         current = cut(evaluated(current, config, judge))
         log(current, "evaluation", generation)
         state = P.converged(current, config.threshold)
         finished = current.join(state.where("converged").select("sample_id"), "sample_id", "left_semi")
         log(finished, "early_stop", generation)
         done.append(finished)
+        step(f"selection {generation}", finished)
         active = current.join(state.where("NOT converged").select("sample_id"), "sample_id", "left_semi")
         if active.isEmpty():
             current = active
@@ -216,6 +246,7 @@ def evolve(
         vectors = embedded(active, "reasoning", embed) if cache is None else embedded_once(active, "reasoning", embed, cache, embed_model)
         scored = cut(N.scores(vectors, config.neighbours))
         history.append(cut(_history(current, scored).withColumn("generation", F.lit(generation))))
+        step(f"variation {generation}")
         children = cut(offspring(scored, config, generate, generation))
         for phase, method in (("crossover", "crossover%"), ("mutation", "mutation%"), ("error", "copy")):
             log(children.where(F.col("generation_method").like(method)), phase, generation)
@@ -227,4 +258,6 @@ def evolve(
     last = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*done, current])
     best = cut(P.best(last, 1).drop("rank"))
     log(best, "final_best", config.generations)
+    if watch is not None:
+        watch.phase, watch.completed = "over", watch.total
     return best, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), history)

@@ -12,12 +12,11 @@ from evoframe.operators import molecules as G
 from evoframe.operators import retrieval as R
 from evoframe.operators import selection as N
 from evoframe.operators.corpus import build_index, retrieved
-from evoframe.operators.corpus import build_index, retrieved
 from evoframe.plans.queries import _ANSWER_SQL, _FIRST_SQL, _KNN_SQL, _STRIP, K, _docs
 from evoframe.plans.registry import query
-from evoframe.plans.traj import table, traj
-from evoframe.session import cut, use_checkpoint_dir
-from evoframe.sources.embedding_cache import EmbeddingCache, embedded_once
+from evoframe.plans.templates import Template, template_answer, template_prompt, with_templates
+from evoframe.plans.traj import LENGTH_BOUNDS, TRAJ_SQL, table, traj
+from evoframe.plans.trial import TrialConfig, elites, tried
 from evoframe.session import cut, use_checkpoint_dir
 from evoframe.sources.embedding_cache import EmbeddingCache, embedded_once
 from evoframe.streaming.token_bucket import admitted
@@ -402,3 +401,75 @@ def _(spark, d):
     predictions = docs.select("doc_id", said.alias("prediction"))
     truths = docs.select("doc_id", F.expr("CASE doc_id % 5 WHEN 0 THEN 'err' WHEN 1 THEN 'Pqa' WHEN 2 THEN 'ORD' WHEN 3 THEN 'gen' ELSE 'sum' END").alias("task"), true.alias("truth"))
     return E.evaluated_batch(predictions, truths, "doc_id").select("doc_id", F.upper("task").alias("task"), "exact_match", "error")
+
+
+#: Prompts of three datasets and of all others, whose values come from whole documents.
+_TEMPLATES = {
+    "src1": Template("Chemistry. {query} Reply as {\"result\": \"...\"}", "Known: {knowledge}. Chemistry. {query}", "json"),
+    "src2": Template("Protocol: {query} [ANSWER_START]...[ANSWER_END]", "Known: {knowledge}. {query} {", "marked"),
+    "src3": Template("{query}", "{knowledge}{query}{knowledge}", "line"),
+    None: Template("Other: {query}", "Other: {query} by {knowledge}", "split"),
+}
+_FILLED = r"array_to_string(list_transform(regexp_extract_all({0}, '\{{\w+\}}|[^{{]+|\{{'), lambda p: CASE p WHEN '{{query}}' THEN coalesce(text, '') WHEN '{{knowledge}}' THEN coalesce(lang, '') ELSE p END), '')"
+_CHOSEN = " ".join(f"WHEN {'source' if name else 'true'}{f' = {chr(39)}{name}{chr(39)}' if name else ''} THEN CASE WHEN doc_id % 2 = 1 THEN '{t.informed}' ELSE '{t.plain}' END" for name, t in _TEMPLATES.items())
+
+
+@query("dataset_prompts", f"WITH t AS (SELECT *, CASE {_CHOSEN} END AS template FROM documents) SELECT doc_id, length({_FILLED.format('template')})::BIGINT AS n_chars, md5({_FILLED.format('template')}) AS prompt_md5 FROM t")
+def _(spark, d):
+    """Prompts by dataset, every second one with knowledge; values keep their braces."""
+    rows = with_templates(_docs(spark, d), _TEMPLATES, "source")
+    ask = template_prompt(F.col("text"), F.col("lang"), F.col("doc_id") % 2 == 1)
+    return rows.select("doc_id", ask.alias("ask")).select("doc_id", F.length("ask").cast("long").alias("n_chars"), F.md5(F.col("ask").cast("binary")).alias("prompt_md5"))
+
+
+_SAYS = """CASE doc_id % 5 WHEN 0 THEN concat(text, '{"result": "', lang, '"} then {"a": 1, "result" : "', source, '"}') WHEN 1 THEN concat('[ANSWER_START]', text, '[ANSWER_END] ', lang, ' [ANSWER_END]')
+    WHEN 2 THEN concat(text, chr(10), 'the answer is  ', source, chr(10), ' ') WHEN 3 THEN concat('[ANSWER_END] [ANSWER_START] ', text, chr(10), 'Final answer: ', lang) ELSE text END"""
+_LINE_SQL = _STRIP.format(f"regexp_replace({_STRIP.format(f'list_last(string_split({_STRIP.format(chr(116))}, chr(10)))')}, '(?i)^(answer:|the answer is|result:|final answer:)', '')")
+_JSON_SQL = r"""list_last(regexp_extract_all(t, '\{[^{}]*"result"\s*:\s*"[^"]*"\s*\}'))"""
+_MARKED_SQL = _STRIP.format(r"regexp_extract(t, '\[ANSWER_START\]([\s\S]*?)\[ANSWER_END\]', 1)")
+
+
+@query(
+    "dataset_answers",
+    f"""WITH s AS (SELECT doc_id, {_SAYS} AS t, CASE source WHEN 'src1' THEN 'json' WHEN 'src2' THEN 'marked' WHEN 'src3' THEN 'line' ELSE ['json', 'marked', 'line', 'split'][doc_id % 4 + 1] END AS parser FROM documents),
+    a AS (SELECT doc_id, parser, CASE WHEN parser = 'split' THEN {_STRIP.format('t')} WHEN parser = 'json' AND {_JSON_SQL} IS NOT NULL THEN {_JSON_SQL}::JSON ->> 'result'
+      WHEN parser = 'marked' AND regexp_matches(t, '\\[ANSWER_START\\][\\s\\S]*?\\[ANSWER_END\\]') THEN {_MARKED_SQL} ELSE {_LINE_SQL} END AS answer FROM s)
+    SELECT doc_id, parser, length(answer)::BIGINT AS n_chars, md5(answer) AS answer_md5 FROM a""",
+)
+def _(spark, d):
+    """Answers in whole texts, each by the parser its row names."""
+    parser = F.expr("CASE source WHEN 'src1' THEN 'json' WHEN 'src2' THEN 'marked' WHEN 'src3' THEN 'line' ELSE element_at(array('json', 'marked', 'line', 'split'), CAST(doc_id % 4 + 1 AS INT)) END")
+    rows = _docs(spark, d).select("doc_id", parser.alias("parser"), F.expr(_SAYS).alias("t"))
+    rows = rows.select("doc_id", "parser", template_answer(F.col("t"), F.col("parser")).alias("answer"))
+    return rows.select("doc_id", "parser", F.length("answer").cast("long").alias("n_chars"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
+
+
+_MARKS = "CASE doc_id % 4 WHEN 0 THEN concat('x <|think|> ', text, '<|answer|> ', source) WHEN 1 THEN concat(text, ' <|answer|> y <|think|> z') WHEN 2 THEN concat('<|think|> ', text) ELSE text END"
+_BETWEEN = _STRIP.format("substring(t, strpos(t, '<|think|>') + 9, greatest(strpos(t, '<|answer|>') - strpos(t, '<|think|>') - 9, 0))")
+
+
+@query(
+    "reasoning_lengths",
+    f"""WITH r AS (SELECT doc_id, {_MARKS} AS t FROM documents), p AS (SELECT doc_id, t, CASE WHEN strpos(t, '<|think|>') > 0 AND strpos(t, '<|answer|>') > 0 THEN {_BETWEEN} ELSE t END AS pure FROM r)
+    SELECT doc_id, len(regexp_extract_all(t, '\\S+'))::BIGINT AS raw_words, len(regexp_extract_all(pure, '\\S+'))::BIGINT AS words, length(pure)::BIGINT AS chars FROM p""",
+)
+def _(spark, d):
+    rows = _docs(spark, d).select("doc_id", F.expr(_MARKS).alias("t"))
+    return rows.select("doc_id", *[T.reasoning_length("t", of).alias(of) for of in ("raw_words", "words", "chars")])
+
+
+_TRIAL = TrialConfig(population=30, length_bounds=LENGTH_BOUNDS)
+
+
+@query(
+    "trial_elites",
+    f"""WITH {TRAJ_SQL}, d AS (SELECT t.sample_id, t.id, t.pos, t.exact_match, t.length_score, CASE WHEN d.lang = 'en' THEN '' ELSE d.lang END AS knowledge, d.lang = 'de' OR lower(d.source) = 'src7' AS ok, t.reasoning FROM traj t JOIN documents d ON d.doc_id = t.id),
+    f AS (SELECT *, round(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.3::DOUBLE * length_score + CASE WHEN knowledge <> '' AND regexp_matches(reasoning, '\\S') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, 6) AS fitness FROM d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY fitness DESC, pos) AS rank FROM f)
+    SELECT sample_id, id, ok AS exact_match, fitness, rank::INT AS rank FROM r WHERE rank <= {_TRIAL.elites}""",
+)
+def _(spark, d):
+    """Elites of the trial loop by its own fitness: truths as written, knowledge all or nothing."""
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.expr("CASE WHEN lang = 'en' THEN '' ELSE lang END").alias("knowledge"), F.expr("CASE WHEN lang = 'de' THEN source ELSE concat('Answer: ', source) END").alias("answer"), F.expr("CASE WHEN lang = 'de' THEN concat(' ', upper(source)) ELSE 'SRC7' END").alias("truth"))
+    rows = tried(traj(spark, d).drop("fitness", "exact_match").join(docs, "id"), _TRIAL)
+    return elites(rows, _TRIAL).select("sample_id", "id", "exact_match", "fitness", "rank")

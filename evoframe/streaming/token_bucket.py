@@ -37,6 +37,11 @@ class Bucket:
         self.level -= self.cost
         return True
 
+    @property
+    def full_at(self) -> int:
+        """The time from which on the bucket equals that of a new key."""
+        return self.at + self.most - self.level
+
 
 def _fold(capacity: int, interval_us: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,8 +64,11 @@ def admitted(events: DataFrame, key: str, ts: str, event_id: str, capacity: int,
     return rows.repartition("key").sortWithinPartitions("key", "at_us", "event_id").mapInPandas(_fold(capacity, interval_us), _OUT)
 
 
-def _stateful(capacity: int, interval_us: int):
+def _stateful(capacity: int, interval_us: int, expires: bool):
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, at = state.get if state.exists else (None, None)
         bucket = Bucket(capacity, interval_us, level, at)
         rows = pd.concat(list(frames)).sort_values(["at_us", "event_id"])
@@ -68,16 +76,35 @@ def _stateful(capacity: int, interval_us: int):
         for at_us in rows["at_us"].tolist():
             allowed.append(bucket.take(at_us))
             levels.append(bucket.level)
-        state.update((bucket.level, bucket.at))
+        full_ms = -(-bucket.full_at // 1000)
+        if expires and full_ms <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+        else:
+            state.update((bucket.level, bucket.at))
+            if expires:
+                state.setTimeoutTimestamp(full_ms)
         yield rows.assign(allowed=allowed, level_us=levels)[["key", "event_id", "at_us", "allowed", "level_us"]]
 
     return run
 
 
-def admitted_stream(events: DataFrame, key: str, ts: str, event_id: str, capacity: int, interval_us: int) -> DataFrame:
-    """The same fold over a stream; the state of a key is its level and time. Rows of a micro-batch are taken in order of time."""
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col(event_id).cast("long").alias("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
-    return rows.groupBy("key").applyInPandasWithState(_stateful(capacity, interval_us), _OUT, "level long, at long", "append", "NoTimeout")
+def admitted_stream(events: DataFrame, key: str, ts: str, event_id: str, capacity: int, interval_us: int, lateness: str | None = None) -> DataFrame:
+    """The same fold over a stream; the state of a key is its level and time. Rows of a micro-batch are taken in order of time.
+
+    With ``lateness``, an interval such as '10 minutes', a key's state goes once the
+    watermark, which stays that much behind the latest time seen, has passed the time at
+    which its bucket is full again: a new key starts full, so rows come out as if the state
+    were still there, and states are as many as buckets not full. Rows older than the
+    watermark are late and left out, as in every query with a watermark, and so are rows
+    without a time. Without ``lateness`` no row is late and states stay.
+    """
+    if lateness is None:
+        rows = events.select(F.col(key).cast("long").alias("key"), F.col(event_id).cast("long").alias("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
+        return rows.groupBy("key").applyInPandasWithState(_stateful(capacity, interval_us, False), _OUT, "level long, at long", "append", "NoTimeout")
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col(event_id).cast("long").alias("event_id"), F.col(ts).cast("timestamp").alias("at")).where("at IS NOT NULL")
+    rows = rows.withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
+    return rows.groupBy("key").applyInPandasWithState(_stateful(capacity, interval_us, True), _OUT, "level long, at long", "append", "EventTimeTimeout")
 
 
 class RateLimiter:
