@@ -4,8 +4,9 @@ Posting lists are cut into blocks of bounded size, each with the largest weight
 Queries meet the index by term. A query's rarest term gives a first threshold, the score
 its k-th document surely has; terms whose weights together stay below it name no
 document alone, and blocks that cannot reach it with all other terms are not opened.
-What is left is scored exactly against the documents' own terms, so the top k are those
-of a full scan, while frequent words alone bring no row.
+What an opened posting gives is added up by document. Terms too light to be opened are
+looked up only for the documents that can still be among the best with them, so the top k
+are those of a full scan. Texts are read once to build the index and for what is returned.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def saturated(tf, length, average) -> Column:
 
 
 class CorpusIndex(NamedTuple):
-    """``blocks(term, block, most, postings)``, ``vocabulary(term, df, most)``, ``documents(id, text, length, counts)`` and two totals.
+    """``blocks(term, block, most, postings)``, ``vocabulary(term, df, most)``, ``documents(id, text)`` and two totals.
 
     ``most`` is the largest saturated(); postings have id, tf and length.
     """
@@ -73,18 +74,10 @@ def build_index(corpus: DataFrame, id_: str = "id", block_rows: int = BLOCK_ROWS
     every document is dealt over blocks by a hash of the id, so no list lies in one place.
     """
     shown = F.coalesce(*[F.col(c) for c in ("text", "content") if c in corpus.columns])
-    rows = corpus.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), shown.alias("text"), terms(shown).alias("words"))
-    counted = rows.where(F.size("words") > 0).select("id", "text", F.size("words").alias("length"), "words")
-    # Occurrences by sorting a document's own words: runs of equal ones.
-    ordered = F.sort_array("words")
-    distinct = F.array_distinct("words")
-    documents = counted.withColumn("_o", ordered).withColumn("_d", F.sort_array(distinct))
-    starts = F.filter(F.transform("_o", lambda w, i: F.when((i == 0) | (w != F.get("_o", i - 1)), i)), lambda i: i.isNotNull())
-    documents = documents.withColumn("_s", starts)
-    counts = F.transform("_d", lambda w, i: F.struct(w.alias("term"), (F.coalesce(F.get("_s", i + 1), F.col("length")) - F.get("_s", i)).cast("int").alias("tf")))
-    documents = cut(documents.withColumn("counts", counts).select("id", "text", "length", "counts"))
-    totals = documents.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("average")).first()
-    posted = documents.select("id", "length", F.explode("counts").alias("c")).select("c.term", "id", "c.tf", "length")
+    documents = corpus.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), shown.alias("text"))
+    words = documents.select("id", terms("text").alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    posted = cut(words.groupBy("id", "length", "term").agg(F.count("*").cast("int").alias("tf")))
+    totals = posted.groupBy("id").agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("average")).first()
     weight = saturated(F.col("tf"), F.col("length"), F.lit(totals.average))
     vocabulary = cut(posted.groupBy("term").agg(F.count("*").alias("df"), F.max(weight).alias("most")))
     several = vocabulary.where(F.col("df") > block_rows).select("term", F.ceil(F.col("df") / block_rows).cast("int").alias("_blocks"))
@@ -94,9 +87,13 @@ def build_index(corpus: DataFrame, id_: str = "id", block_rows: int = BLOCK_ROWS
 
 
 def _scored(pairs: DataFrame, live: DataFrame, index: CorpusIndex) -> DataFrame:
-    """query, id, bm25 of (query, id) pairs: the document's own terms that the query has, added up."""
-    own = pairs.join(index.documents.select("id", "length", "counts"), "id").select("query", "id", "length", F.explode("counts").alias("c"))
-    met = own.select("query", "id", "length", "c.term", "c.tf").join(small_side(live.select("query", "term", "idf")), ["query", "term"])
+    """query, id, bm25 of (query, id) pairs, summed over the query's terms in ``live``; no row for pairs without one.
+
+    Posting lists are read where they lie and keep the pairs' documents only.
+    """
+    live = cut(live.select("query", "term", "idf"))
+    lists = index.blocks.join(small_side(live.select("term").distinct()), "term", "left_semi")
+    met = lists.select("term", F.explode("postings").alias("p")).select("term", "p.*").join(small_side(pairs), "id").join(small_side(live), ["query", "term"])
     return met.groupBy("query", "id").agg(F.sum(F.col("idf") * saturated(F.col("tf"), F.col("length"), F.lit(index.average))).alias("bm25"))
 
 
@@ -120,14 +117,25 @@ def retrieved(queries: DataFrame, index: CorpusIndex, k: int = 3, id_: str = "id
     # The rarest term with k documents at least, or the most frequent one, gives the first threshold.
     rarest = Window.partitionBy("query").orderBy(F.col("df") < k, F.when(F.col("df") >= k, F.col("df")), F.desc("df"), "term")
     seeds = live.withColumn("_r", F.row_number().over(rarest)).where("_r = 1").select("query", "term")
-    pairs = seeds.join(index.blocks.select("term", "postings"), "term").select("query", F.explode("postings.id").alias("id"))
+    pairs = cut(index.blocks.select("term", "postings").join(small_side(seeds), "term").select("query", F.explode("postings.id").alias("id")))
     floor = ranked(_scored(pairs, live, index)).where(F.col("rank") == k).select("query", F.col("bm25").alias("_floor"))
     bounded = live.join(floor, "query", "left").withColumn("_floor", F.coalesce("_floor", F.lit(0.0)) - ROOM).join(asked.select("query", "_bounds"), "query")
     upto = Window.partitionBy("query").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    needed = bounded.withColumn("_upto", F.sum("bound").over(upto)).where("_upto >= _floor")
-    opened = needed.join(index.blocks, "term").where(F.col("idf") * F.col("most") + F.col("_bounds") - F.col("bound") >= F.col("_floor"))
-    weight = lambda p: F.col("idf") * saturated(p["tf"], p["length"], F.lit(index.average))
-    worth = F.filter("postings", lambda p: weight(p) + F.col("_bounds") - F.col("bound") >= F.col("_floor"))
-    candidates = opened.select("query", F.explode(F.transform(worth, lambda p: p["id"])).alias("id")).distinct()
-    out = ranked(_scored(candidates, live, index)).join(asked.select("query", "_limit"), "query").join(index.documents.select("id", "text"), "id")
+    graded = cut(bounded.withColumn("_upto", F.sum("bound").over(upto)))
+    needed = small_side(graded.where("_upto >= _floor"))
+    opened = index.blocks.join(needed, "term").where(F.col("idf") * F.col("most") + F.col("_bounds") - F.col("bound") >= F.col("_floor"))
+    worth = opened.select("query", "idf", "_floor", (F.col("_bounds") - F.col("bound")).alias("_others"), F.explode("postings").alias("p"))
+    worth = worth.withColumn("_weight", F.col("idf") * saturated(F.col("p.tf"), F.col("p.length"), F.lit(index.average))).where("_weight + _others >= _floor")
+    # A posting left out above belongs to a document that cannot be among the best, so what is found is all that counts.
+    partial = cut(worth.groupBy("query", F.col("p.id").alias("id")).agg(F.sum("_weight").alias("bm25")))
+    sure = ranked(partial).where(F.col("rank") == k).select("query", (F.col("bm25") - ROOM).alias("_sure"))
+    rest = graded.groupBy("query").agg(F.max("_floor").alias("_floor"), F.sum(F.when(F.col("_upto") < F.col("_floor"), F.col("bound")).otherwise(0.0)).alias("_rest"))
+    rest = small_side(cut(rest.join(sure, "query", "left").select("query", "_rest", F.greatest("_floor", F.coalesce("_sure", F.lit(0.0))).alias("_floor"))))
+    candidates = cut(partial.join(rest, "query").where("bm25 + _rest + 0.000002 >= _floor").select("query", "id", "bm25", "_rest"))
+    # Terms too light to be opened are looked up in the few documents that are left.
+    open_ = cut(candidates.where("_rest > 0").select("query", "id"))
+    light = _scored(open_, graded.where("_upto < _floor"), index)
+    scored = candidates.join(light.withColumnRenamed("bm25", "_light"), ["query", "id"], "left").select("query", "id", (F.col("bm25") + F.coalesce("_light", F.lit(0.0))).alias("bm25"))
+    top = cut(ranked(scored))
+    out = index.documents.select("id", "text").join(small_side(top), "id").join(small_side(asked.select("query", "_limit")), "query")
     return out.select("query", "rank", "id", "text", "bm25", F.round(F.least(F.col("bm25") / F.col("_limit"), F.lit(1.0)), 6).alias("score"))
