@@ -107,17 +107,17 @@ def _tokens(text: Column) -> Column:
 
 
 def _numbered(words: Column) -> Column:
-    """Words with their occurrence number behind them, so that sets of them meet as often as the words do."""
+    """Words, from the second occurrence on with its number behind them, so that sets of them meet as often as the words do."""
 
-    def runs(x: Column) -> Column:
-        begins = F.filter(F.transform(x["sorted"], lambda w, i: F.when((i == 0) | (w != F.get(x["sorted"], i - 1)), i)), lambda i: i.isNotNull())
-        return bind(F.struct(x["distinct"].alias("distinct"), begins.alias("begins"), F.size(x["sorted"]).alias("n")), counted)
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return bind(F.struct(s.alias("sorted"), begins.alias("begins")), counted)
 
     def counted(x: Column) -> Column:
-        times = lambda k: F.coalesce(F.get(x["begins"], k + 1), x["n"]) - F.get(x["begins"], k)
-        return F.flatten(F.transform(x["distinct"], lambda w, k: F.transform(F.sequence(F.lit(1), times(k)), lambda j: F.concat_ws("\n", w, j.cast("string")))))
+        run = lambda b, k: F.slice(x["sorted"], b + 1, F.coalesce(F.get(x["begins"], k + 1), F.size(x["sorted"])) - b)
+        return F.flatten(F.transform(x["begins"], lambda b, k: F.transform(run(b, k), lambda w, j: F.when(j == 0, w).otherwise(F.concat(w, F.lit("\n"), j.cast("string"))))))
 
-    return bind(F.struct(F.sort_array(words).alias("sorted"), F.sort_array(F.array_distinct(words)).alias("distinct")), runs)
+    return bind(F.sort_array(words), runs)
 
 
 def sentence_bleu(prediction: Column, truth: Column) -> Column:
@@ -128,16 +128,18 @@ def sentence_bleu(prediction: Column, truth: Column) -> Column:
     words and marks of punctuation. Texts without tokens score 0, null gives null.
     """
 
-    def counted(x: Column, n: int) -> Column:
-        grams = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    def followed(t: Column) -> Column:
+        rest = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, F.lit(1), rest), F.slice(t, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))
 
+    def counted(x: Column, grams) -> Column:
         clipped = lambda g: F.size(F.array_intersect(_numbered(g["p"]), _numbered(g["g"])))
         return bind(F.struct(grams(x["p"]).alias("p"), grams(x["g"]).alias("g")), lambda g: F.struct(clipped(g).alias("hits"), F.greatest(F.size(g["p"]), F.lit(1)).alias("of")))
 
     def scored(x: Column) -> Column:
         precision = lambda c: F.when(c["hits"] > 0, c["hits"]).otherwise(0.1) / c["of"]
         brevity = F.when(F.size(x["p"]) > F.size(x["g"]), 1.0).otherwise(F.exp(1 - F.size(x["g"]) / F.size(x["p"])))
-        both = F.struct(counted(x, 1).alias("one"), counted(x, 2).alias("two"))
+        both = F.struct(counted(x, lambda t: t).alias("one"), counted(x, followed).alias("two"))
         return F.when(F.size(x["p"]) == 0, 0.0).otherwise(bind(both, lambda c: F.when(c["one"]["hits"] == 0, 0.0).otherwise(brevity * F.sqrt(precision(c["one"]) * precision(c["two"])))))
 
     return F.when(prediction.isNotNull() & truth.isNotNull(), bind(F.struct(_tokens(prediction).alias("p"), _tokens(truth).alias("g")), scored))
