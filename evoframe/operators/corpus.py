@@ -11,12 +11,13 @@ are those of a full scan. Texts are read once to build the index and for what is
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evoframe.session import cut, small_side
+from evoframe.session import cut, remove_folder, small_side, use_checkpoint_dir, written
 
 K1, B = 1.2, 0.75
 #: Postings of a block in expectation.
@@ -72,18 +73,26 @@ def build_index(corpus: DataFrame, id_: str = "id", block_rows: int = BLOCK_ROWS
 
     Ids are unique; rows without id, and texts without a word, are left out. A term of
     every document is dealt over blocks by a hash of the id, so no list lies in one place.
+    The blocks are a table in the shared folder and stay there with the index.
     """
     shown = F.coalesce(*[F.col(c) for c in ("text", "content") if c in corpus.columns])
     documents = corpus.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), shown.alias("text"))
-    words = documents.select("id", terms("text").alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    posted = cut(words.groupBy("id", "length", "term").agg(F.count("*").cast("int").alias("tf")))
+    words = documents.select("id", F.sort_array(terms("text")).alias("words")).withColumn("length", F.size("words"))
+    # Occurrences by a document's own sorted words: runs of equal ones.
+    words = words.withColumn("starts", F.filter(F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get("words", i - 1)), i)), lambda i: i.isNotNull()))
+    runs = F.transform("starts", lambda s, k: F.struct(F.get("words", s).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("length")) - s).cast("int").alias("tf")))
+    spark = corpus.sparkSession
+    folder = f"{use_checkpoint_dir(spark)}/corpus-index-{uuid.uuid4()}"
+    posted = written(words.select("id", "length", F.explode(runs).alias("c")).select("id", "length", "c.*"), f"{folder}/postings")
     totals = posted.groupBy("id").agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("average")).first()
     weight = saturated(F.col("tf"), F.col("length"), F.lit(totals.average))
     vocabulary = cut(posted.groupBy("term").agg(F.count("*").alias("df"), F.max(weight).alias("most")))
     several = vocabulary.where(F.col("df") > block_rows).select("term", F.ceil(F.col("df") / block_rows).cast("int").alias("_blocks"))
     dealt = posted.join(small_side(several), "term", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"), F.lit(0)))
     blocks = dealt.groupBy("term", "block").agg(F.max(weight).alias("most"), F.collect_list(F.struct("id", "tf", "length")).alias("postings"))
-    return CorpusIndex(cut(blocks), vocabulary, documents, totals.n, totals.average)
+    blocks = written(blocks, f"{folder}/blocks")
+    remove_folder(spark, f"{folder}/postings")
+    return CorpusIndex(blocks, vocabulary, documents, totals.n, totals.average)
 
 
 def _scored(pairs: DataFrame, live: DataFrame, index: CorpusIndex) -> DataFrame:

@@ -86,6 +86,18 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Materialise a plan as a Parquet table, a fraction of a checkpoint's size where values repeat.
+
+    The caller removes it; inside checkpoints_released() it goes with the checkpoints.
+    """
+    df.write.parquet(path)
+    held = _HELD.get()
+    if held is not None:
+        held.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a narrow side if it has no more rows than ``limit``; else leave the join to shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
