@@ -3,7 +3,8 @@
 A small reader turns a structure into arrays of atoms and bonds; everything else is an
 expression over those arrays: hydrogens from valences, six-rings by walks, descriptors as
 sums, circular fingerprints by rounds of hashing. A structure is one row, so the work is
-spread by rows and nothing is shuffled.
+spread by rows and nothing is shuffled; a table of short structures is dealt over PART_ROWS
+first, as many of its rows lie in one part of a file.
 
 Not covered: kekulisation of aromatic systems (an impossible one passes as valid),
 stereochemistry (read and left aside), log P, QED, polar surface, refractivity.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ TOKEN = re.compile(r"(?P<atom>Cl|Br|[BCNOPSFI]|[bcnops])|\[(?P<isotope>\d+)?(?P<
 ORDERS = {"-": 1, "=": 2, "#": 3, ":": 4, "/": 1, "\\": 1, "~": 1}
 #: Bits of a fingerprint, rounds of hashing, and the similarity that an edited molecule must exceed.
 BITS, RADIUS, SIMILAR = 2048, 2, 0.9
-_ATOM = "struct<symbol:string,aromatic:boolean,charge:int,given:int>"
+#: Structures of a partition.
+PART_ROWS = 5000
+_ATOM = "struct<symbol:string,aromatic:boolean,charge:int,given:int,near:array<struct<kind:int,to:int>>>"
 _BOND = "struct<a:int,b:int,kind:int,ring:boolean>"
 GRAPH = f"struct<atoms:array<{_ATOM}>,bonds:array<{_BOND}>,parts:int>"
 
@@ -86,12 +89,18 @@ def _read(text: str | None) -> tuple | None:
     return atoms, bonds
 
 
-def _rings(n: int, bonds: list[tuple]) -> tuple[list[bool], int]:
-    """Whether each bond lies in a ring, and the number of connected parts: a bond outside rings is a bridge of a depth-first walk."""
+def _ways(n: int, bonds: list[tuple]) -> list[list[tuple[int, int]]]:
+    """For each atom its neighbours and the bonds to them, in the order of the bonds."""
     ways: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for i, (a, b, _) in enumerate(bonds):
         ways[a].append((b, i))
         ways[b].append((a, i))
+    return ways
+
+
+def _rings(ways: list[list[tuple[int, int]]], bonds: list[tuple]) -> tuple[list[bool], int]:
+    """Whether each bond lies in a ring, and the number of connected parts: a bond outside rings is a bridge of a depth-first walk."""
+    n = len(ways)
     seen, low, inside, parts = [-1] * n, [0] * n, [True] * len(bonds), 0
     for root in range(n):
         if seen[root] >= 0:
@@ -120,21 +129,38 @@ def _rings(n: int, bonds: list[tuple]) -> tuple[list[bool], int]:
     return inside, parts
 
 
+def _arrow(graphs: list[tuple | None]) -> pa.Array:
+    """Structures as an array of GRAPH, filled by fields."""
+    atoms, bonds, near, parts = [], [], [], []
+    ends, bond_ends, near_ends = [0], [0], [0]
+    for found in graphs:
+        if found is not None:
+            ways = _ways(len(found[0]), found[1])
+            inside, n = _rings(ways, found[1])
+            atoms.extend(found[0])
+            bonds.extend((*b, r) for b, r in zip(found[1], inside))
+            for way in ways:
+                near.extend((found[1][i][2], to) for to, i in way)
+                near_ends.append(len(near))
+        parts.append(None if found is None else n)
+        ends.append(len(atoms))
+        bond_ends.append(len(bonds))
+    broken = pa.array([found is None for found in graphs], pa.bool_())
+    struct = lambda rows, **kinds: pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], list(kinds))
+    lists = lambda at, values, mask=None: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values, mask=mask)
+    own = struct(atoms, symbol=pa.string(), aromatic=pa.bool_(), charge=pa.int32(), given=pa.int32())
+    whole = pa.StructArray.from_arrays([*own.flatten(), lists(near_ends, struct(near, kind=pa.int32(), to=pa.int32()))], ["symbol", "aromatic", "charge", "given", "near"])
+    held = struct(bonds, a=pa.int32(), b=pa.int32(), kind=pa.int32(), ring=pa.bool_())
+    return pa.StructArray.from_arrays([lists(ends, whole, broken), lists(bond_ends, held, broken), pa.array(parts, pa.int32())], ["atoms", "bonds", "parts"])
+
+
 def graph(structure) -> Column:
     """The graph of a line-notation structure by GRAPH; null for null, empty and malformed ones."""
 
-    @F.pandas_udf(GRAPH)
-    def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(GRAPH)
+    def read(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            out = []
-            for text in batch:
-                found = _read(text)
-                if found is None:
-                    out.append((None, None, None))
-                    continue
-                inside, parts = _rings(len(found[0]), found[1])
-                out.append(([dict(zip(("symbol", "aromatic", "charge", "given"), a)) for a in found[0]], [dict(zip(("a", "b", "kind", "ring"), (*b, r))) for b, r in zip(found[1], inside)], parts))
-            yield pd.DataFrame(out, columns=["atoms", "bonds", "parts"]).astype({"parts": "Int32"})
+            yield _arrow(list(map(_read, batch.to_pylist())))
 
     return read(structure)
 
@@ -150,28 +176,27 @@ def with_graph(rows: DataFrame, structure: str, into: str = "m") -> DataFrame:
     Null, empty and malformed structures, and such with an atom of more bonds than its
     element takes, are not valid, and everything counted on them is null.
     """
+    # Every step is an expression over the atoms before it alone. A column that a lambda reads is
+    # worked out again for each element once the optimizer has merged the projections.
     g = F.col("_g")
-    order = lambda b: F.when(b["kind"] == 4, 1).otherwise(b["kind"])
-    ends = F.flatten(F.transform(g["bonds"], lambda b: F.array(F.struct(b["a"].alias("at"), b["b"].alias("to"), b["kind"].alias("kind"), order(b).alias("order")), F.struct(b["b"].alias("at"), b["a"].alias("to"), b["kind"].alias("kind"), order(b).alias("order")))))
-    out = rows.withColumn("_g", graph(structure)).withColumn("_e", ends)
-    near = F.transform(g["atoms"], lambda a, i: F.filter("_e", lambda e: e["at"] == i))
-    out = out.withColumn("_n", near)
-    bonded = lambda i: F.aggregate(F.get("_n", i), F.lit(0), lambda s, e: s + e["order"])
-    extra = lambda a, i: F.when(a["aromatic"] & a["symbol"].isin("C", "N", "B", "P") & F.exists(F.get("_n", i), lambda e: e["kind"] == 4) & ~F.exists(F.get("_n", i), lambda e: e["kind"] == 2), 1).otherwise(0)
-    used = F.transform(g["atoms"], lambda a, i: F.struct(a["symbol"].alias("symbol"), a["aromatic"].alias("aromatic"), a["charge"].alias("charge"), a["given"].alias("given"), (bonded(i) + F.when(a["given"].isNull(), extra(a, i)).otherwise(0)).alias("used"), bonded(i).alias("plain")))
-    out = out.withColumn("_a", used)
-    valences = lambda a: _looked_up(VALENCES, a["symbol"], "array<int>")
-    enough = lambda a: F.element_at(F.filter(valences(a), lambda v: v >= a["used"]), 1)
-    first = lambda a: F.element_at(valences(a), 1)
-    implicit = lambda a: F.greatest(F.lit(0), F.when(a["aromatic"], first(a)).otherwise(F.try_element_at(F.filter(valences(a), lambda v: v >= a["used"]), F.lit(1))) - a["used"])
-    hydrogens = F.transform("_a", lambda a: F.coalesce(a["given"], implicit(a), F.lit(0)))
+    fields = lambda a, *names: [a[n].alias(n) for n in names]
+    plain = lambda a: F.aggregate(a["near"], F.lit(0), lambda s, e: s + F.when(e["kind"] == 4, 1).otherwise(e["kind"]))
+    bonded = F.transform(g["atoms"], lambda a: F.struct(*fields(a, "symbol", "aromatic", "charge", "given", "near"), plain(a).alias("plain"), _looked_up(VALENCES, a["symbol"], "array<int>").alias("valences")))
+    extra = lambda a: F.when(a["given"].isNull() & a["aromatic"] & a["symbol"].isin("C", "N", "B", "P") & F.exists(a["near"], lambda e: e["kind"] == 4) & ~F.exists(a["near"], lambda e: e["kind"] == 2), 1).otherwise(0)
+    used = F.transform(bonded, lambda a: F.struct(*fields(a, "symbol", "aromatic", "charge", "given", "near", "plain", "valences"), (a["plain"] + extra(a)).alias("used")))
+    enough = lambda a: F.when(a["aromatic"], F.element_at(a["valences"], 1)).otherwise(F.try_element_at(F.filter(a["valences"], lambda v: v >= a["used"]), F.lit(1)))
+    implicit = lambda a: F.greatest(F.lit(0), enough(a) - a["used"])
     # A charge moves the largest valence by one each way it can: N+ takes four bonds, O- one.
-    most = lambda a: F.array_max(valences(a)) + F.when(a["symbol"].isin("N", "O", "P", "S"), a["charge"]).otherwise(-F.abs(a["charge"]))
-    wrong = F.exists("_a", lambda a: F.coalesce(a["plain"] + F.coalesce(a["given"], F.lit(0)) > most(a), F.lit(False)))
-    out = out.withColumn("_h", hydrogens).withColumn("_valid", F.coalesce(g["atoms"].isNotNull() & ~wrong, F.lit(False)))
-    atoms = F.zip_with(F.zip_with("_a", "_h", lambda a, h: F.struct(a["symbol"].alias("symbol"), a["aromatic"].alias("aromatic"), a["charge"].alias("charge"), h.alias("h"))), "_n", lambda a, n: F.struct(a["symbol"].alias("symbol"), a["aromatic"].alias("aromatic"), a["charge"].alias("charge"), a["h"].alias("h"), F.transform(n, lambda e: F.struct(e["kind"].alias("kind"), e["to"].alias("to"))).alias("near")))
-    whole = F.struct(F.col("_valid").alias("valid"), F.when(F.col("_valid"), atoms).alias("atoms"), F.when(F.col("_valid"), g["bonds"]).alias("bonds"), F.when(F.col("_valid"), g["parts"]).alias("parts"))
-    return out.withColumn(into, whole).drop("_g", "_e", "_n", "_a", "_h", "_valid")
+    most = lambda a: F.array_max(a["valences"]) + F.when(a["symbol"].isin("N", "O", "P", "S"), a["charge"]).otherwise(-F.abs(a["charge"]))
+    wrong = lambda a: F.coalesce(a["plain"] + F.coalesce(a["given"], F.lit(0)) > most(a), F.lit(False))
+
+    def whole(atoms: Column) -> Column:
+        held = F.transform(atoms, lambda a: F.struct(*fields(a, "symbol", "aromatic", "charge"), F.coalesce(a["given"], implicit(a), F.lit(0)).alias("h"), a["near"].alias("near")))
+        valid = F.coalesce(~F.exists(atoms, wrong), F.lit(False))
+        return F.struct(valid.alias("valid"), F.when(valid, held).alias("atoms"), F.when(valid, g["bonds"]).alias("bonds"), F.when(valid, g["parts"]).alias("parts"))
+
+    # The one element of an array is worked out once, however often the lambda reads it.
+    return rows.withColumn("_g", graph(structure)).withColumn(into, F.get(F.transform(F.array(used), whole), F.lit(0))).drop("_g")
 
 
 def six_rings(m: Column) -> Column:

@@ -17,7 +17,7 @@ from evoframe.plans.registry import query
 from evoframe.plans.templates import Template, template_answer, template_prompt, with_templates
 from evoframe.plans.traj import LENGTH_BOUNDS, TRAJ_SQL, table, traj
 from evoframe.plans.trial import TrialConfig, elites, tried
-from evoframe.session import cut, use_checkpoint_dir
+from evoframe.session import cut, spread, use_checkpoint_dir
 from evoframe.sources.embedding_cache import EmbeddingCache, embedded_once
 from evoframe.streaming.token_bucket import admitted
 
@@ -266,7 +266,8 @@ _RING_CHAIN = "concat('c1ccccc1', repeat('C', CAST(p_size % 7 AS INT)), CASE p_p
 )
 def _(spark, d):
     """Counts and descriptors on graphs; the SQL counts by formula."""
-    rows = G.with_graph(table(spark, d, "part").select("p_partkey", F.expr(_RING_CHAIN).alias("structure")), "structure")
+    rows = spread(table(spark, d, "part").select("p_partkey", F.expr(_RING_CHAIN).alias("structure")), G.PART_ROWS)
+    rows = G.with_graph(rows, "structure")
     m, held = F.col("m"), G.descriptors(F.col("m"))
     counts = [G.group_count(m, g).alias(g) for g in ("carbon", "hydrogen", "benzene_ring")]
     return rows.select("p_partkey", m["valid"].alias("valid"), *counts, held["ring_count"].alias("ring_count"), held["weight"].alias("weight"), held["rot_bonds"].alias("rot_bonds"), held["HBD"].alias("donors"), held["HBA"].alias("acceptors"))
@@ -281,7 +282,7 @@ def _(spark, d):
     chain = "repeat('C', CAST(3 + p_size % 7 AS INT))"
     said = f"CASE p_partkey % 3 WHEN 0 THEN concat({chain}, 'Cl') WHEN 1 THEN concat('C(Cl)', {chain}, 'O') ELSE {chain} END"
     rows = table(spark, d, "part").select("p_partkey", F.expr(chain).alias("source"), F.expr(said).alias("said"), F.expr(f"concat('Cl', {chain})").alias("truth"))
-    found = G.edited(rows, "source", "said", "truth", added="chlorine")
+    found = G.edited(spread(rows, G.PART_ROWS), "source", "said", "truth", added="chlorine")
     return found.select("p_partkey", "valid", "edit_valid", "exact_match", (F.col("similarity") == 1).alias("same"))
 
 

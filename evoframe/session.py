@@ -52,6 +52,12 @@ def parts_for(rows: int) -> int:
     return max(1, -(-rows // PART_ROWS))
 
 
+def spread(rows: DataFrame, part_rows: int) -> DataFrame:
+    """rows dealt evenly over partitions of about ``part_rows``, for long work on few bytes, which lie in few file parts."""
+    parts = -(-rows.count() // part_rows)
+    return rows.repartition(parts) if parts > 1 else rows
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store its path names; a missing one is no error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)

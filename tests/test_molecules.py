@@ -86,3 +86,18 @@ def test_edits(spark):
     swapped = M.edited(frame, "source", "said", "truth", added="chlorine", removed="oxygen", strict=True).collect()
     assert [(r.edit_valid, r.exact_match) for r in swapped] == [(False, False)] * 3 + [(True, True)]
     assert not any(r.edit_valid for r in M.edited(frame, "source", "said", "truth", added="nonsense").collect())
+
+
+def test_each_column_is_worked_out_once(spark):
+    """No lambda holds a column of a lower projection, which would be worked out anew for each atom."""
+    frame = spark.createDataFrame([("CCO", "CCOCl", "ClOCC")], "source string, said string, truth string")
+    plan = M.edited(frame, "source", "said", "truth", added="chlorine")._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(transform(_g" not in plan and "flatten(transform(pythonUDF" not in plan
+
+
+def test_structures_are_dealt_over_partitions(spark):
+    from evoframe.session import spread
+
+    rows = spark.range(1000, numPartitions=1)
+    assert spread(rows, 100).rdd.getNumPartitions() == 10 and spread(rows, 1000).rdd.getNumPartitions() == 1
+    assert spread(rows, 100).agg(F.sum("id")).first()[0] == 499500
