@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of a block of the distance search; two blocks and their distances are one task's state.
-BLOCK_ROWS = 1024
+#: Rows, and rows times components, of a block of the distance search; two blocks are one task's state.
+BLOCK_ROWS, BLOCK_VALUES = 16384, 1 << 20
+#: Rows that ask together, and pairs whose distance is taken exactly together.
+TILE_ROWS, EXACT_PAIRS = 128, 1 << 16
 #: Distances and scores are rounded before they are compared, as summation order is not fixed.
 PLACES = 6
 
@@ -33,24 +35,68 @@ def _k_smallest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_search(k: int):
-    def run(key, asking: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if asking.empty or asked.empty:
-            return pd.DataFrame({"sample_id": [], "id": [], "nid": [], "npos": [], "dist": []})
-        asked = asked.sort_values("pos", kind="stable")
-        x, y = np.stack(asking["q"]).astype(float), np.stack(asked["embedding"]).astype(float)
-        ids, nids, npos = asking["qid"].to_numpy(), asked["id"].to_numpy(), asked["pos"].to_numpy()
-        parts = []
-        for low in range(0, len(x), 64):
-            part = x[low : low + 64]
-            dist = np.round(np.sqrt(((part[:, None, :] - y[None, :, :]) ** 2).sum(2)), PLACES)
-            dist[ids[low : low + 64, None] == nids[None, :]] = np.inf
-            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), best.shape[1])
-            parts.append((ids[low : low + 64][rows], nids[best.ravel()], npos[best.ravel()], dist[rows, best.ravel()]))
-        found = [np.concatenate(p) for p in zip(*parts)]
-        near = np.isfinite(found[3])
-        return pd.DataFrame({"sample_id": key[0], "id": found[0][near], "nid": found[1][near], "npos": found[2][near], "dist": found[3][near]})
+def _without_idle_copies(rows: pd.DataFrame, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places, in order, of rows that can be among k nearest: of equal vectors the first k and one that may ask itself."""
+    if not rows["id"].is_unique:
+        return np.arange(len(rows))
+    group = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.dtype.itemsize * vectors.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    return np.flatnonzero(pd.Series(group).groupby(group).cumcount().to_numpy() <= k)
+
+
+def _squares(x: np.ndarray, y: np.ndarray):
+    """A function of rows of x: their squared distances to y, less a number a row, by one product of matrices; those numbers; and how far off they may be."""
+    own, others = (x * x).sum(1), (y * y).sum(1)
+    off = 8 * np.finfo(float).eps * (x.shape[1] + 8) * (own.max() + others.max())
+    if not np.isfinite(off):  # squares beyond doubles
+        return lambda at: np.stack([((q - y) ** 2).sum(1) for q in x[at]]), np.zeros(len(x)), 0.0
+    left, right = np.hstack([-2 * x, np.ones((len(x), 1))]), np.hstack([y, others[:, None]]).T.copy()
+    return lambda at: left[at] @ right, own, off
+
+
+def _k_of(asking: pd.DataFrame, x: np.ndarray, asked: pd.DataFrame, y: np.ndarray, k: int, alike: bool) -> pd.DataFrame:
+    """The k rows of ``asked``, which is in order of pos, nearest to each of ``asking``; ``alike``: rows of one id can be on both sides.
+
+    Matrix products give a bound that the k-th distance keeps; the pairs within it are
+    measured exactly, rounded and ranked.
+    """
+    keep = _without_idle_copies(asked, y, k)
+    asked, y = asked.iloc[keep], y[keep]
+    ids, nids, npos = asking["id"].to_numpy(), asked["id"].to_numpy(), asked["pos"].to_numpy()
+    parts = []
+    if len(x) and len(y) and k > 0:
+        square, own, off = _squares(x, y)
+        groups = len(y) // 16 if len(y) >= 64 * k else len(y)
+        for low in range(0, len(x), TILE_ROWS):
+            at = slice(low, low + TILE_ROWS)
+            found = square(at)
+            if alike:
+                found[ids[at, None] == nids[None, :]] = np.inf
+            # k groups of columns each have a row within the k-th least of the groups' minima.
+            least = found[:, : len(y) // groups * groups].reshape(len(found), -1, groups).min(1)
+            bound = np.partition(least, k - 1, axis=1)[:, k - 1] if k <= groups else np.full(len(found), np.inf)
+            reach = (np.sqrt(np.maximum(bound + own[at] + off, 0)) * (1 + 1e-12) + 2 * 10.0**-PLACES) ** 2 - own[at] + off
+            r, c = np.nonzero(found <= np.minimum(reach, np.finfo(float).max)[:, None])
+            r, dist = r + low, np.empty(len(r))
+            for i in range(0, len(r), EXACT_PAIRS):
+                j = slice(i, i + EXACT_PAIRS)
+                dist[j] = np.round(np.sqrt(((x[r[j]] - y[c[j]]) ** 2).sum(1)), PLACES)
+            order = np.lexsort((c, dist, r))
+            r, c, dist = r[order], c[order], dist[order]
+            best = (np.arange(len(r)) - np.searchsorted(r, r) < k) & np.isfinite(dist)
+            parts.append((ids[r[best]], nids[c[best]], npos[c[best]], dist[best]))
+    found = [np.concatenate(p) for p in zip(*parts)] or [[]] * 4
+    return pd.DataFrame(dict(zip(("id", "nid", "npos", "dist"), found)))
+
+
+def _cell_search(k: int):
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos", kind="stable")
+        vectors = np.stack(rows["embedding"]).astype(float)
+        finite = np.isfinite(vectors).all(1)  # others are at no distance
+        rows, vectors = rows[finite].drop(columns="embedding"), vectors[finite]
+        sides = [(rows[held], vectors[held]) for held in ((rows["own"] == n).to_numpy() for n in sorted({key[1], key[2]}))]
+        pairs = [(sides[0], sides[0])] if len(sides) == 1 else [(sides[0], sides[1]), (sides[1], sides[0])]
+        return pd.concat([_k_of(*asking, *asked, k, len(sides) == 1) for asking, asked in pairs]).assign(sample_id=key[0])[["sample_id", "id", "nid", "npos", "dist"]]
 
     return run
 
@@ -59,19 +105,19 @@ def nearest(traj: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """k nearest other rows of each row's population: sample_id, id, nid, npos, dist, rank.
 
     Ties go by the neighbour's ``pos``. A row is not its own neighbour, nor are rows of
-    the same id. Populations are dealt in hashed blocks of bounded size, every block of
-    rows against every block, and each pair of blocks hands on k rows a query only.
+    the same id. Populations are dealt in hashed blocks of bounded size; two blocks meet in
+    one task, which asks both ways, and each meeting hands on k rows a query only. All
+    pairs are looked at, as no bound parts vectors of many components.
     """
     rows = traj.where("embedding IS NOT NULL").select("sample_id", "id", "pos", "embedding")
-    sizes = rows.groupBy("sample_id").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    held = F.least(F.lit(block_rows), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.max(F.size("embedding")), F.lit(1)))))
+    sizes = rows.groupBy("sample_id").agg(F.ceil(F.count("*") / held).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "sample_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asking = dealt.select(F.col("sample_id").alias("s"), F.col("own").alias("a"), every.alias("b"), F.col("id").alias("qid"), F.col("embedding").alias("q"))
-    asked = dealt.select("sample_id", every.alias("a"), F.col("own").alias("b"), "id", "pos", "embedding")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("sample_id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "pos", "embedding")
     of = {f.name: f.dataType for f in rows.schema.fields}
     schema = StructType().add("sample_id", of["sample_id"]).add("id", of["id"]).add("nid", of["id"]).add("npos", of["pos"]).add("dist", "double")
-    found = asking.groupBy("s", "a", "b").cogroup(asked.groupBy("sample_id", "a", "b")).applyInPandas(_block_search(k), schema)
-    return _k_smallest(found, k)
+    return _k_smallest(met.groupBy("sample_id", "a", "b").applyInPandas(_cell_search(k), schema), k)
 
 
 def novelty(neighbours: DataFrame, traj: DataFrame) -> DataFrame:

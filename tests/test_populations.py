@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,23 @@ def test_cache(spark):
     new = R.misses(rows, cache)
     assert new.count() == 1
     assert R.extended(cache, new.withColumn("embedding", F.array(F.lit(2.0)))).count() == 2
+
+
+def _brute(rows, k):
+    out = []
+    for i, p, v in rows:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, 6), q, j) for j, q, w in rows if j != i)
+        out += [(i, j, d) for d, _, j in near[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shift", [0.0, 10000.0])
+def test_matrix_search_equals_definition(shift):
+    """Copies, ties and rows far from the origin, in one block and in meetings of three."""
+    random.seed(6)
+    rows = [(i, (i * 37) % 400, [float(random.randint(0, 3)) + shift if i % 3 else shift for _ in range(4)]) for i in range(400)]
+    for blocks in (1, 3):
+        frame = pd.DataFrame([(i % blocks, i, p, v) for i, p, v in rows], columns=["own", "id", "pos", "embedding"])
+        cells = [N._cell_search(3)((0, a, b), frame[frame["own"].isin([a, b])]) for a in range(blocks) for b in range(a, blocks)]
+        found = pd.concat(cells).sort_values(["id", "dist", "npos"]).groupby("id").head(3)
+        assert sorted(zip(found["id"], found["nid"], found["dist"])) == _brute(rows, 3)
