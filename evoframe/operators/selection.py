@@ -17,17 +17,26 @@ from pyspark.sql.types import StructType
 BLOCK_ROWS, BLOCK_VALUES = 16384, 1 << 20
 #: Rows that ask together, and pairs whose distance is taken exactly together.
 TILE_ROWS, EXACT_PAIRS = 128, 1 << 16
+#: Rows of a population whose pairs a self-join makes one by one; larger ones are searched in blocks.
+JOIN_ROWS = 256
 #: Distances and scores are rounded before they are compared, as summation order is not fixed.
 PLACES = 6
 
 
-def nearest_join(traj: DataFrame, k: int) -> DataFrame:
-    """k nearest other rows of each row's population by a self-join; right for small populations."""
-    a = traj.where("embedding IS NOT NULL").select("sample_id", "id", "embedding")
-    b = traj.where("embedding IS NOT NULL").select("sample_id", F.col("id").alias("nid"), F.col("pos").alias("npos"), F.col("embedding").alias("other"))
+def nearest_join(traj: DataFrame, k: int, join_rows: int = JOIN_ROWS) -> DataFrame:
+    """k nearest other rows of each row's population by a self-join.
+
+    The join makes every pair of a population a row, so populations of more than
+    ``join_rows`` rows go to the block search: rows joined stay below ``join_rows`` times
+    the rows given.
+    """
+    rows = traj.where("embedding IS NOT NULL").select("sample_id", "id", "pos", "embedding")
+    large = rows.groupBy("sample_id").count().where(F.col("count") > join_rows).select("sample_id")
+    a = rows.join(large, "sample_id", "left_anti")
+    b = a.select("sample_id", F.col("id").alias("nid"), F.col("pos").alias("npos"), F.col("embedding").alias("other"))
     square = F.aggregate(F.zip_with("embedding", "other", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     pairs = a.join(b, "sample_id").where("id <> nid").select("sample_id", "id", "nid", "npos", F.round(F.sqrt(square), PLACES).alias("dist"))
-    return _k_smallest(pairs, k)
+    return _k_smallest(pairs, k).unionByName(nearest(rows.join(large, "sample_id", "left_semi"), k))
 
 
 def _k_smallest(pairs: DataFrame, k: int) -> DataFrame:

@@ -112,6 +112,13 @@ def test_cache(spark):
     assert R.extended(cache, new.withColumn("embedding", F.array(F.lit(2.0)))).count() == 2
 
 
+def test_populations_beyond_the_join_are_searched_in_blocks(spark):
+    random.seed(4)
+    rows = spark.createDataFrame([(i % 7 % 2, i, i, [random.random() for _ in range(4)], "", None, None) for i in range(70)], SCHEMA)
+    few, every = ({(r.sample_id, r.id, r.nid, r["rank"]) for r in N.nearest_join(rows, 3, join_rows=n).collect()} for n in (35, 1000))
+    assert few == every and len(every) == 210
+
+
 def _brute(rows, k):
     out = []
     for i, p, v in rows:
