@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evoframe.session import cut
+
 #: Rows, and rows times components, of a block of the distance search; two blocks are one task's state.
 BLOCK_ROWS, BLOCK_VALUES = 16384, 1 << 20
 #: Rows that ask together, and pairs whose distance is taken exactly together.
@@ -148,9 +150,14 @@ def local_competition(neighbours: DataFrame, traj: DataFrame) -> DataFrame:
 
 
 def scores(traj: DataFrame, k: int = 5) -> DataFrame:
-    """traj with novelty and local_competition."""
-    near = nearest(traj, k)
-    both = novelty(near, traj).join(local_competition(near, traj), ["sample_id", "id"])
+    """traj with novelty and local_competition.
+
+    Neighbours are searched once, whatever reads the result, and the narrow columns that it takes are read once.
+    """
+    held = cut(traj.select("sample_id", "id", "pos", "fitness", "embedding"))
+    near = cut(nearest(held, k))
+    rows = held.select("sample_id", "id", "fitness", "embedding")
+    both = cut(novelty(near, rows).join(local_competition(near, rows), ["sample_id", "id"]))
     return traj.drop("novelty", "local_competition").join(both, ["sample_id", "id"], "left")
 
 

@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def traj(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_id, id, pos, embedding, reasoning, source_model, exact_match, length_score, knowledge_score, fitness."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # Scored where texts are read, so that they are not shuffled unless asked for.
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", length_score("text", *LENGTH_BOUNDS).alias("length_score"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = table(spark, sf_dir, "embeddings").join(documents, F.col("vec_id") == F.col("doc_id")).join(labels, "doc_id", "left")
     rows = rows.select(
@@ -43,7 +44,7 @@ def traj(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("reasoning"),
         F.col("source").alias("source_model"),
         (F.col("quality") == 1).alias("exact_match"),
-        length_score("text", *LENGTH_BOUNDS).alias("length_score"),
+        "length_score",
         (1 + F.col("vec_id") % 5).alias("knowledge_score"),
     )
     return rows.withColumn("fitness", F.when(F.col("exact_match").isNotNull(), fitness("exact_match", "length_score", "knowledge_score")))

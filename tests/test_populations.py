@@ -137,3 +137,10 @@ def test_matrix_search_equals_definition(shift):
         cells = [N._cell_search(3)((0, a, b), frame[frame["own"].isin([a, b])]) for a in range(blocks) for b in range(a, blocks)]
         found = pd.concat(cells).sort_values(["id", "dist", "npos"]).groupby("id").head(3)
         assert sorted(zip(found["id"], found["nid"], found["dist"])) == _brute(rows, 3)
+
+
+def test_scores_search_neighbours_once(spark):
+    """Fronts and draws over scores hold no search of their own."""
+    rows = spark.createDataFrame([(1, i, i, [float(i), 1.0], "", None, 0.5) for i in range(6)], SCHEMA)
+    plan = N.pareto_front(N.scores(rows, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cell_search" not in plan and "InPandas" not in plan
