@@ -210,6 +210,36 @@ def test_frequent_words_bring_no_documents(spark):
     assert sum(made) <= 12
 
 
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_postings_are_not_shuffled(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(5_000)}" for _ in range(60))) for i in range(3_000)], "id long, text string").repartition(4).localCheckpoint()
+    before = shuffled_bytes(spark)
+    index = C.build_index(docs, list_words=20_000)
+    assert shuffled_bytes(spark) - before < 5_000  # 175,000 postings; only totals of tasks may move
+    held = index.blocks.agg(F.sum("n"), F.sum(F.size("postings")), F.max("n"), F.count_distinct("term")).first()
+    assert held[0] == held[1] > 150_000 and held[2] <= C.BLOCK_ROWS and held[3] <= 5_000 and index.n == 3_000 and index.average == 60
+
+
+def test_lists_of_any_size_give_the_same_documents(spark):
+    rng = random.Random(4)
+    odd = ["\x1cw1\x1d", "w1\x85w2", "w1\xa0", "\u2028w2", "\x0bW1\x0c", "\u0130X", "\xc9t\xc9", "'(w1)!'", "...", "w.1", "K\u212a", "\r\nw2\t"]
+    docs = [(i, " ".join(rng.choice([*odd, f"w{rng.randrange(9)}", "common"]) for _ in range(rng.randint(0, 40)))) for i in range(150)] + [(500, None), (501, "...")]
+    queries = [(f"q{i}", w) for i, w in enumerate(odd)] + [(f"r{i}", docs[i][1]) for i in range(10)]
+    corpus, asked = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "id string, query string")
+    got = [C.retrieved(asked, C.build_index(corpus, block_rows=8, list_words=n)).select("query", "rank", "id", "bm25", "score").orderBy("query", "rank").collect() for n in (1, 70, C.LIST_WORDS)]
+    assert got[0] == got[1] == got[2] and {r.query for r in got[0]} == {i for i, t in queries if t and t != "..."}
+    words = corpus.select("id", F.explode(C.terms("text")).alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
+    listed = C.build_index(corpus, list_words=70).blocks.select(F.explode("postings").alias("p"), "term").select("p.id", "term", "p.tf")
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, words.collect()))
+
+
 def test_knowledge_comes_before_the_pool(spark):
     samples = spark.createDataFrame([("a", "melting of glacier ice", "x", None), ("b", "zzz", "x", None), ("c", "q", "x", "own")], SAMPLES)
     corpus = C.build_index(spark.createDataFrame([(1, "melting of glacier ice"), (2, "unrelated words here")], "id long, text string"))
