@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evoframe.session import cut
+from evoframe.session import cut, small_side
 
 #: Rows, and rows times components, of a block of the distance search; two blocks are one task's state.
 BLOCK_ROWS, BLOCK_VALUES = 16384, 1 << 20
 #: Rows that ask together, and pairs whose distance is taken exactly together.
 TILE_ROWS, EXACT_PAIRS = 128, 1 << 16
+#: Pairs that are worth a task, tasks a meeting of two blocks so that hashing seldom puts two in one, and tasks at most.
+TASK_PAIRS, MEETING_TASKS, TASKS = 1 << 22, 4, 10_000
 #: Rows of a population whose pairs a self-join makes one by one; larger ones are searched in blocks.
 JOIN_ROWS = 256
 #: Distances and scores are rounded before they are compared, as summation order is not fixed.
@@ -118,14 +120,19 @@ def nearest(traj: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     Ties go by the neighbour's ``pos``. A row is not its own neighbour, nor are rows of
     the same id. Populations are dealt in hashed blocks of bounded size; two blocks meet in
     one task, which asks both ways, and each meeting hands on k rows a query only. All
-    pairs are looked at, as no bound parts vectors of many components.
+    pairs are looked at, as no bound parts vectors of many components. Blocks are counted
+    first, so that meetings are dealt by their own keys over tasks by their work: a join by
+    population would leave all of a population's meetings in the task that holds its rows.
     """
     rows = traj.where("embedding IS NOT NULL").select("sample_id", "id", "pos", "embedding")
     held = F.least(F.lit(block_rows), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.max(F.size("embedding")), F.lit(1)))))
-    sizes = rows.groupBy("sample_id").agg(F.ceil(F.count("*") / held).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "sample_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = rows.where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.count("*").cast("double").alias("n"), held.alias("held"))
+    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / F.col("held")).cast("int")))
+    work = sizes.selectExpr("count(*) AS populations", "sum(n * blocks / held) AS filled", f"sum(n * n) / {TASK_PAIRS} AS shares", "sum(blocks * (blocks + 1D) / 2) AS meetings").first()
+    tasks = int(min(TASKS, max(1, work.filled or 0, min(work.shares or 0, MEETING_TASKS * (work.meetings or 0)))))
+    dealt = rows.join(small_side(sizes.select("sample_id", "blocks"), work.populations), "sample_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("sample_id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "pos", "embedding")
+    met = met.select("sample_id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "pos", "embedding").repartition(tasks, "sample_id", "a", "b")
     of = {f.name: f.dataType for f in rows.schema.fields}
     schema = StructType().add("sample_id", of["sample_id"]).add("id", of["id"]).add("nid", of["id"]).add("npos", of["pos"]).add("dist", "double")
     return _k_smallest(met.groupBy("sample_id", "a", "b").applyInPandas(_cell_search(k), schema), k)

@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from evoframe.functions.text import cache_key
@@ -12,6 +13,7 @@ from evoframe.operators import retrieval as R
 from evoframe.operators import sampling as S
 from evoframe.operators import selection as N
 from evoframe.operators.evaluation import classification, kendall_tau_b
+from evoframe.session import small_side
 
 SCHEMA = "sample_id int, id long, pos long, embedding array<float>, reasoning string, exact_match boolean, fitness double"
 
@@ -119,6 +121,24 @@ def test_populations_beyond_the_join_are_searched_in_blocks(spark):
     assert few == every and len(every) == 210
 
 
+def test_meetings_of_one_population_are_dealt_over_tasks(spark, monkeypatch):
+    """Each meeting reports its task; few share one, whether sizes are broadcast or not."""
+
+    def places(k):
+        def run(key, rows):
+            at = TaskContext.get().partitionId()
+            return pd.DataFrame({"sample_id": [key[0]], "id": [key[1] * 100 + key[2]], "nid": [at], "npos": [at], "dist": [0.0]})
+
+        return run
+
+    monkeypatch.setattr(N, "_cell_search", places)
+    rows = spark.createDataFrame([(1, i, i, [float(i), 1.0], "", None, None) for i in range(70)], SCHEMA)
+    for bound in (0, N.JOIN_ROWS):
+        monkeypatch.setattr(N, "small_side", lambda df, held, bound=bound: small_side(df, held, bound), raising=False)
+        met = [r.nid for r in N.nearest(rows, 1, block_rows=7).collect()]
+        assert len(met) > 40 and len(set(met)) > len(met) / 2
+
+
 def _brute(rows, k):
     out = []
     for i, p, v in rows:
