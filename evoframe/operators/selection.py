@@ -114,7 +114,7 @@ def _cell_search(k: int):
     return run
 
 
-def nearest(traj: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(traj: DataFrame, k: int, block_rows: int = BLOCK_ROWS, materialised: bool = False) -> DataFrame:
     """k nearest other rows of each row's population: sample_id, id, nid, npos, dist, rank.
 
     Ties go by the neighbour's ``pos``. A row is not its own neighbour, nor are rows of
@@ -123,8 +123,10 @@ def nearest(traj: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     pairs are looked at, as no bound parts vectors of many components. Blocks are counted
     first, so that meetings are dealt by their own keys over tasks by their work: a join by
     population would leave all of a population's meetings in the task that holds its rows.
+    Both steps read narrow columns, which are materialised unless traj is already.
     """
     rows = traj.where("embedding IS NOT NULL").select("sample_id", "id", "pos", "embedding")
+    rows = rows if materialised else cut(rows)
     held = F.least(F.lit(block_rows), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.max(F.size("embedding")), F.lit(1)))))
     sizes = rows.where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.count("*").cast("double").alias("n"), held.alias("held"))
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / F.col("held")).cast("int")))
@@ -162,7 +164,7 @@ def scores(traj: DataFrame, k: int = 5) -> DataFrame:
     Neighbours are searched once, whatever reads the result, and the narrow columns that it takes are read once.
     """
     held = cut(traj.select("sample_id", "id", "pos", "fitness", "embedding"))
-    near = cut(nearest(held, k))
+    near = cut(nearest(held, k, materialised=True))
     rows = held.select("sample_id", "id", "fitness", "embedding")
     both = cut(novelty(near, rows).join(local_competition(near, rows), ["sample_id", "id"]))
     return traj.drop("novelty", "local_competition").join(both, ["sample_id", "id"], "left")
